@@ -14,10 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.chunks import ChunkCoder, gather, groups
+from chronofact.llm.chunks import ChunkCoder, groups
 
 #: Words of one recursive query; bounds its memory.
-WORDS = 80_000
+WORDS = 40_000
+#: Characters of the documents that are looked at together.
+CHARS = 6_000_000
 
 #: Rows are tokens at places of words. A step joins neighbours to the merges, finds each word's least rank, leftmost
 #: first, and contracts that pair; words without a pair left drop out, and their last state is the fixpoint.
@@ -59,7 +61,7 @@ class Encoder(ChunkCoder):
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         merges = [(self.ranks[t[:i]] << 20) + self.ranks[t[i:]] for t in self.ranks for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merged = [r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.db.register("m", pa.table({"pair": pa.array(merges, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self.db.register("v", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([t.hex() for t in self.ranks])}))
         self.db.execute("create table merges as from m; create table vocabulary as from v")
@@ -101,12 +103,13 @@ class Encoder(ChunkCoder):
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text."""
         values, codes, ends = self.code(texts)
-        flat = []
-        for i, dtype in ((0, "<u4"), (1, "u1")):
-            data, at = gather([v[i] for v in values], codes, dtype)
-            bounds = [0, *(at[ends - 1] if len(ends) else ends)]
-            flat.append([data[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
-        return list(zip(*flat, strict=True))
+        ids, decoded = [v[0] for v in values], [v[1] for v in values]
+        out, at = [], 0
+        for end in ends:
+            mine = codes[at:end].tolist()
+            out.append((b"".join([ids[c] for c in mine]), b"".join([decoded[c] for c in mine])))
+            at = end
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -125,7 +128,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(ranks_path, pattern)
-        for ids, texts in groups(batches):
+        for ids, texts in groups(batches, CHARS):
             yield batch(ids, e.encode(texts))
 
     def batch(ids: list, done: list[tuple[bytes, bytes]]) -> pa.RecordBatch:

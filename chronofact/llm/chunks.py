@@ -14,7 +14,7 @@ import regex
 #: Characters of the texts that are looked at together; bounds memory, but for a single longer text.
 CHARS = 16_000_000
 #: Values in one of the two generations of a worker's cache.
-GENERATION = 400_000
+GENERATION = 300_000
 #: Longer keys are not kept.
 LONG = 64
 #: A space after white space and before white space or the end: only there can a pre-token reach over a space.
