@@ -40,4 +40,4 @@ def read_feed_entries(spark: SparkSession, path: str, source_id: Column | None =
     """The items of all feed files under a path; the source is the file's name unless it is given."""
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1) if source_id is None else source_id
-    return parse_feeds(files.select(name.alias("source_id"), F.decode("content", F.lit("UTF-8")).alias("content")))
+    return parse_feeds(files.select(name.alias("source_id"), F.decode("content", "UTF-8").alias("content")))
