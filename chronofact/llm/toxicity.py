@@ -24,12 +24,12 @@ class Settings:
     """``sample`` bounds the labelled rows that the model is fitted on, half of each label; everything is scored."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 3.0
     l2: float = 1.0
-    epochs: int = 3
-    sample: int = 16_000
+    epochs: int = 6
+    sample: int = 10_000
 
 
 @dataclass(frozen=True)
