@@ -119,12 +119,12 @@ def parse_int(c: Column) -> Column:
 
 def context_value(c: Column) -> Column:
     """``100K``, ``1.5M``, ``100,000`` -> a positive integer as string; anything else null."""
+    form = r"^(?:(\d+(?:\.\d+)?)\s*([kKmM])|(\d{1,3}(?:,\d{3})+|\d+))$"
     t = F.trim(c)
-    unit = F.upper(F.regexp_extract(t, r"^\d+(?:\.\d+)?\s*([kKmM])$", 1))
-    scaled = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)\s*[kKmM]$", 1).try_cast("decimal(28,9)") * F.when(unit == "K", F.lit(1000)).otherwise(F.lit(1000000))
-    plain = F.when(t.rlike(r"^(\d{1,3}(,\d{3})+|\d+)$"), F.regexp_replace(t, ",", "").try_cast("decimal(38,0)"))
-    number = F.when(unit != "", F.when(scaled == F.floor(scaled), scaled)).otherwise(plain)
-    return F.when(number > 0, number.cast("decimal(38,0)").cast("string"))
+    digits = F.replace(F.concat(F.regexp_extract(t, form, 1), F.regexp_extract(t, form, 3)), F.lit(","), F.lit(""))
+    times = F.element_at(F.create_map(*[F.lit(x) for x in ("", 1, "K", 1000, "M", 1000000)]), F.upper(F.regexp_extract(t, form, 2)))
+    # A whole, positive number: each part stands once in the expression, which keeps generated code short.
+    return F.nullif(F.regexp_extract((digits.try_cast("decimal(28,9)") * times).cast("string"), r"^([1-9]\d*)(?:\.0*)?$", 1), F.lit(""))
 
 
 def network_prefix(ip: Column) -> Column:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,21 @@ def local_session(name: str = "chronofact", cores: int | None = None, memory: st
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a session that would not find it by themselves.
+
+    Workers find it where the folder that holds it is on PYTHONPATH or is the working folder; else it goes along as a zip,
+    once a session.
+    """
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()) if p]
+    context = spark.sparkContext
+    if root in known or any(name.startswith("chronofact-") for name in context._python_includes):
+        return
+    to = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"chronofact-{os.getpid()}.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in [*sorted((root / "chronofact").rglob("*.py")), *root.glob("corpus_pipeline.py")]:
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(to))
