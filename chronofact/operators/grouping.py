@@ -30,6 +30,30 @@ def similar_titles(items: DataFrame, hours: int = 48, overlap: float = 0.6) -> D
     return left.join(right, ["word", "t"]).where(near & alike).select("a", "b").distinct()
 
 
+def event_groups(items: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """items(id) and similar pairs (a, b) -> id, event_id: the smallest id of each group that pairs connect.
+
+    Every item stays, alone if nothing is similar. Each round gives an item the least label of its neighbours and then
+    the label of that label, which halves chains; rounds are checkpointed, so spark.checkpoint.dir must be set.
+    """
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")).distinct().checkpoint()
+    labels = items.select("id", F.col("id").alias("label")).distinct().checkpoint()
+    for _ in range(max_rounds):
+        least = both.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("_m"))
+        met = labels.join(least, "id", "left").select("id", F.col("label").alias("_old"), F.least("label", "_m").alias("label"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("_far"))
+        now = met.join(jump, "label", "left").select("id", "_old", F.least("label", "_far").alias("label")).checkpoint()
+        labels = now.select("id", "label")
+        if now.where("label <> _old").isEmpty():
+            return labels.select("id", F.col("label").alias("event_id"))
+    raise RuntimeError(f"groups have not settled after {max_rounds} rounds")
+
+
+def change_detail(changes: DataFrame, change_ids: DataFrame) -> DataFrame:
+    """The changes asked for (id), each as one row with both sides, from positioned changes."""
+    return changes.join(change_ids.select("id").distinct(), "id", "left_semi").select("id", "change_set_id", "position", "company", "product", "field", "change_type", "previous", "current", "detected_at")
+
+
 def operational_metrics(runs: DataFrame) -> DataFrame:
     """(source_id, ok, finished_at) -> per source: runs, success_rate, last_success."""
     return runs.groupBy("source_id").agg(F.count("*").alias("runs"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.max(F.when(F.col("ok"), F.col("finished_at"))).alias("last_success"))

@@ -149,11 +149,11 @@ ORACLES = {
     "h7_latest_confirmation": f"with {CHANGES} select company_key, field, sum(epoch_us(observed_at) - epoch_us(p_at))::bigint as age_us, count(*) as n from changes group by all",
     "h8_change_shapes": f"with {CHANGES} select change_type, count(*) as n_ok, 0::bigint as n_bad from changes group by all",
     "h9_change_sets": f"with {CHANGES} select {_SET} as change_set_id, company_key, count(*) as n from changes group by all",
-    "h10_positions": f"with {POSITIONED} select company_key, field, snapshot_id as current_id, position from pos",
+    "h10_positions": f"with {POSITIONED} select company_key, field, snapshot_id as current_id, position::integer as position from pos",
     "h11_change_sets_built": f"with {POSITIONED} select company_key, true as consistent, count(*)::integer as n, string_agg(snapshot_id::varchar, ',' order by position) as current_ids from pos group by all",
-    "h12_citations": f"with {POSITIONED} select change_set_id, side, snapshot_id, min(position) as position from (select change_set_id, 'current' as side, snapshot_id, position from pos union all select change_set_id, 'previous', p_id, position from pos) group by all",
+    "h12_citations": f"with {POSITIONED} select change_set_id, side, snapshot_id, min(position)::integer as position from (select change_set_id, 'current' as side, snapshot_id, position from pos union all select change_set_id, 'previous', p_id, position from pos) group by all",
     "h13_changes_for_snapshots": f"with {CHANGES} select company_key, company as subject_company, field, snapshot_id as current_id from changes where snapshot_id % 10 = 0",
-    "h14_field_history": f"with {OBSERVATIONS} select company_key, field, id, row_number() over (partition by company_key, field order by observed_at, id) - 1 as position from obs qualify row_number() over (partition by company_key, field order by observed_at desc, id desc) > 1",
+    "h14_field_history": f"with {OBSERVATIONS} select company_key, field, id, (row_number() over (partition by company_key, field order by observed_at, id) - 1)::integer as position from obs qualify row_number() over (partition by company_key, field order by observed_at desc, id desc) > 1",
     "h15_intervals": f"""
         with {OBSERVATIONS}, f as (select *, floor(try_cast(value as double) / 20)::bigint::varchar as v from obs),
         s as (select * from f window w as (partition by company_key, field order by observed_at, id) qualify lag(id) over w is null or v is distinct from lag(v) over w or disclosure_status is distinct from lag(disclosure_status) over w)

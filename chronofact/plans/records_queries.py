@@ -15,6 +15,7 @@ from chronofact.operators import history as h
 from chronofact.operators import reports as q
 from chronofact.operators import subscriptions as s
 from chronofact.operators import versioning as v
+from chronofact.plans.facts_queries import CHANGES
 from chronofact.plans.tables import OBSERVATIONS, fetched, observations, read
 from chronofact.sources.articles import extract_articles
 from chronofact.sources.feeds import parse_feeds
@@ -270,12 +271,26 @@ def z1_similar_titles(spark, sf_dir):
     return gr.similar_titles(d, hours=72, overlap=0.6)
 
 
+def z2_event_groups(spark, sf_dir):
+    """Groups that the similar titles connect."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    items = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return gr.event_groups(items, z1_similar_titles(spark, sf_dir))
+
+
+def z5_change_details(spark, sf_dir):
+    changes = h.assign_positions(h.detect_changes(observations(spark, sf_dir)))
+    wanted = changes.where("current.snapshot_id % 25 = 0").select("id")
+    return gr.change_detail(changes, wanted).select("company", "field", "change_type", F.col("current.snapshot_id").alias("current_id"))
+
+
 def z4_metrics(spark, sf_dir):
     runs = read(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), (F.col("event_id") % 9 != 0).alias("ok"), F.col("ts").alias("finished_at"))
     return gr.operational_metrics(runs).select("source_id", "runs", F.round("success_rate", 9).alias("success_rate"), "last_success")
 
 
-QUERIES = {f.__name__: f for f in (a1_foreign_keys, a1_latest_pointers, a1_current_facts, a2_unique_keys, a3_checks, a4_provenance, a5_append_only, a6_publication, q1_entries, q2_articles, q3_collection_report, q5_batch_status, q6_run_reports, q7_run_health, q8_combined_status, s2_feed_entries, s3_articles, s3_titles, u1_states, u2_live_tokens, u3_rate_limits, u3_rate_limit_counts, u4_networks, u5_retention, u6_emails, t1_stream_ingest, t2_stream_dedupe, t3_stream_changes, t4_stream_rate_limit, z1_similar_titles, z3_due_sources, z4_metrics)}
+QUERIES = {f.__name__: f for f in (a1_foreign_keys, a1_latest_pointers, a1_current_facts, a2_unique_keys, a3_checks, a4_provenance, a5_append_only, a6_publication, q1_entries, q2_articles, q3_collection_report, q5_batch_status, q6_run_reports, q7_run_health, q8_combined_status, s2_feed_entries, s3_articles, s3_titles, u1_states, u2_live_tokens, u3_rate_limits, u3_rate_limit_counts, u4_networks, u5_retention, u6_emails, t1_stream_ingest, t2_stream_dedupe, t3_stream_changes, t4_stream_rate_limit, z1_similar_titles, z2_event_groups, z3_due_sources, z4_metrics, z5_change_details)}
 
 RUNS = """
     r as (select l_orderkey as run_id, count(*) as selected, count(*) filter (where l_orderkey % 5 = 0 and l_quantity > 45) as failed,
@@ -335,5 +350,6 @@ ORACLES = {
     "t1_stream_ingest": "select 'sha256:' || (n_chars % 200) as dedupe_key, 'sha256:' || sha256(coalesce(text, '')) as content_hash, min(doc_id) as raw_index from documents group by all",
     "t2_stream_dedupe": "select distinct user_id || '-' || event_type as dedupe_key, floor(value)::bigint::varchar as content_hash from events",
     "t4_stream_rate_limit": "select event_type, epoch(time_bucket(interval '1 hour', ts))::bigint as window_s, count(*) as requests from events group by all",
+    "z5_change_details": f"with {CHANGES} select company, field, change_type, snapshot_id as current_id from changes where snapshot_id % 25 = 0",
     "z4_metrics": "select event_type as source_id, count(*) as runs, round(count(*) filter (where event_id % 9 <> 0) / count(*), 9) as success_rate, max(ts) filter (where event_id % 9 <> 0) as last_success from events group by all",
 }

@@ -145,6 +145,15 @@ def test_similar_titles(spark):
     assert sorted((r["a"], r["b"]) for r in gr.similar_titles(df, 48, 0.6).collect()) == [(1, 2), (1, 5), (2, 5)]
 
 
+def test_event_groups(spark, tmp_path):
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    items = spark.createDataFrame([(i,) for i in range(60)], "id int")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(50, 3), (3, 59)], "a int, b int")
+    got = {r["id"]: r["event_id"] for r in gr.event_groups(items, pairs).collect()}
+    assert got == {i: 10 if 10 <= i <= 40 else 3 if i in (50, 59) else i for i in range(60)}
+
+
 def test_streams_equal_batch(spark, sf_dir, tmp_path):
     from chronofact.operators.history import detect_changes
 
