@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_new(rows: DataFrame, path: str, key: list[str], day: str | None = None) -> DataFrame:
-    """Appends the rows whose key isn't stored yet (insert or ignore) and returns them; partitions by the date of ``day``.
+def append_new(rows: DataFrame, path: str, key: list[str], day: str | None = None) -> None:
+    """Appends the rows whose key isn't stored yet (insert or ignore); partitions by the date of ``day``.
 
     Rows of the batch that share a key must agree, so one of them is stored.
     """
@@ -18,7 +18,6 @@ def append_new(rows: DataFrame, path: str, key: list[str], day: str | None = Non
     fresh = fresh if day is None else fresh.withColumn("day", F.to_date(day))
     writer = fresh.write.mode("append")
     (writer if day is None else writer.partitionBy("day")).parquet(path)
-    return fresh
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -105,8 +105,10 @@ def test_sources(spark, tmp_path):
     assert read_contract(spark, f"file://{tmp_path}/t.json", "id string, n int").count() == 2
     path = f"file://{tmp_path}/snapshots"
     rows = spark.createDataFrame([("x", T0), ("x", T0), ("y", T0)], "id string, at timestamp")
-    assert sinks.append_new(rows, path, ["id"], "at").count() == 2
-    assert sinks.append_new(spark.createDataFrame([("y", T0), ("z", T0)], "id string, at timestamp"), path, ["id"], "at") is not None and spark.read.parquet(path).count() == 3
+    sinks.append_new(rows, path, ["id"], "at")
+    assert spark.read.parquet(path).count() == 2
+    sinks.append_new(spark.createDataFrame([("y", T0), ("z", T0)], "id string, at timestamp"), path, ["id"], "at")
+    assert spark.read.parquet(path).count() == 3
     sinks.log_metrics(spark.createDataFrame([("m", 1.0)], "metric string, value double"), f"file://{tmp_path}/m", "r1")
     sinks.log_metrics(spark.createDataFrame([("m", 2.0)], "metric string, value double"), f"file://{tmp_path}/m", "r2")
     assert spark.read.parquet(f"file://{tmp_path}/m").count() == 2
