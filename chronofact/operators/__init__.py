@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Operators: functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Registered queries and their SQL."""
