@@ -164,11 +164,13 @@ def repeats(docs: DataFrame, window: int = 50, seed: int | None = None) -> DataF
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Seeds are few (2 in window - seed + 2 words), so they are written once and read several times.
     found = written(rows.mapInArrow(lambda it: _seeds(it, window, seed), "doc_id long, tag int, first int, count int, anchor long, extent long"), "seeds")
-    least = found.groupBy("anchor", "extent").agg(F.min("doc_id").alias("least"))
-    several = least.groupBy("anchor").agg(F.count("*").alias("extents")).where("extents > 1").select("anchor")
-    whole = found.join(least, ["anchor", "extent"]).where("doc_id > least").select("doc_id", "tag", "first", "count")
-    heads = least.join(several, "anchor", "left_semi")
-    stretch = found.join(heads, ["anchor", "extent"]).where("doc_id = least").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    extents = found.groupBy("anchor", "extent").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    several = extents.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several"))
+    # Extents that only one document has, at an anchor without others, repeat nothing and go no further.
+    shared = written(extents.join(several, "anchor", "left").where("several or least < most").select("anchor", "extent", "least", F.coalesce("several", F.lit(False)).alias("several")), "extents")
+    marks = written(found.join(shared, ["anchor", "extent"]).where("doc_id > least or several").select("doc_id", "tag", "first", "count", (F.col("doc_id") > F.col("least")).alias("whole")), "marks")
+    whole = marks.where("whole").select("doc_id", "tag", "first", "count")
+    stretch = marks.where("not whole").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     texts = rows.select("doc_id", tag_of("text").alias("tag"), "text")
     windows = written(texts.join(stretch, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs").mapInArrow(lambda it: _windows(it, window), "doc_id long, tag int, start int, w0 long, w1 long"), "windows")
     lowest = windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
