@@ -247,8 +247,8 @@ def test_exact_dedup(spark, docs, texts):
 
 
 def test_directory_doubles_and_chains_compare_bytes():
-    cells = np.arange(0, 1 << 16, 64)
-    sizes = np.where(cells < 1 << 12, 100.0, 1.0)
+    cells = np.arange(0, 1 << 20, 1024)
+    sizes = np.where(cells < 1 << 16, 100.0, 1.0)
     b = directory(cells, sizes, 800)
     held = np.bincount(np.searchsorted(b, cells, side="right") - 1, weights=sizes)
     assert b[0] == 0 and (np.diff(b) > 0).all() and held.max() <= 800 and len(b) < 60
