@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Characters of the texts that are looked at together; bounds memory, but for a single longer text.
-CHARS = 16_000_000
+CHARS = 8_000_000
 #: Values in one of the two generations of a worker's cache.
 GENERATION = 300_000
 #: Longer keys are not kept.
@@ -45,7 +45,8 @@ def gather(values: list[bytes], codes: np.ndarray, dtype: str) -> tuple[np.ndarr
     start = length.cumsum() - length
     n = length[codes]
     ends = n.cumsum()
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[codes] - (ends - n), n)], ends
+    shift = (start[codes] - (ends - n)).astype(np.int32)
+    return flat[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(shift, n)], ends
 
 
 class ChunkCoder:

@@ -82,6 +82,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets."""
     found = scan_secrets(table(spark, sf_dir, "documents"))
+
     def joined(kinds):
         return F.concat_ws(",", F.transform(F.filter("spans", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 

@@ -19,6 +19,10 @@ from chronofact.llm.chunks import groups
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or 48 <= b <= 57 else 32 for b in range(256))
 
 
+#: Characters of the texts whose features are held at once.
+CHARS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """``sample`` bounds the labelled rows that the model is fitted on, half of each label; everything is scored."""
@@ -53,7 +57,7 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     parts = pc.ascii_split_whitespace(plain)
     coded = parts.values.dictionary_encode()
     h = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)], dtype=np.uint64)[coded.indices.to_numpy()]
-    doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(parts.offsets.to_numpy()))
     docs, hashed = [doc], [h]
     for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         same = doc[:-gap] == doc[gap:]
@@ -123,9 +127,9 @@ def _rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
     """(doc_id, text, label) -> doc_id, label and the text's distinct features, a sorted list of 2^bits at most."""
     for b in batches:
         at = 0
-        for ids, texts in groups(iter([b.select(["doc_id", "text"])])):
+        for ids, texts in groups(iter([b.select(["doc_id", "text"])]), CHARS):
             doc, x = features(texts, bits)
-            key = np.unique(doc << bits | x)
+            key = np.unique(doc.astype(np.int64) << bits | x)
             cut = np.searchsorted(key, np.arange(1, len(texts)) << bits)
             out = [k & (1 << bits) - 1 for k in np.split(key, cut)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(2).slice(at, len(ids)), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "label", "x"])
@@ -136,7 +140,7 @@ def score_texts(texts: list[str], weights: np.ndarray, m: Model) -> np.ndarray:
     """P(label = 1) of each text; a feature counts once in a text."""
     doc, x = features(texts, m.bits)
     hit = np.flatnonzero(weights[x])
-    key = np.unique(doc[hit] << m.bits | x[hit])
+    key = np.unique(doc[hit].astype(np.int64) << m.bits | x[hit])
     total = m.bias + np.bincount(key >> m.bits, weights=weights[key & (1 << m.bits) - 1], minlength=len(texts))
     return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
 
@@ -149,7 +153,7 @@ def scored(m: Model) -> Column:
         weights = m.dense()
         for b in batches:
             rows = pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), pa.array(b, pa.string(), from_pandas=True)], names=["doc_id", "text"])
-            yield pd.Series(np.concatenate([np.zeros(0), *(score_texts(t, weights, m) for _, t in groups(iter([rows])))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(score_texts(t, weights, m) for _, t in groups(iter([rows]), CHARS))]))
 
     return score(F.col("text"))
 
