@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from chronofact.llm.shared import written
 
-#: Bits of the hash that the directory can use; its histogram has 2^16 rows at most, whatever the input.
-MAX_DEPTH = 16
+#: Bits of the hash that the directory can use; its histogram has 2^20 rows at most, whatever the input.
+MAX_DEPTH = 20
 
 
 def directory(cells: np.ndarray, sizes: np.ndarray, capacity: int, max_depth: int = MAX_DEPTH) -> np.ndarray:
@@ -91,25 +91,25 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield chains.batch()
 
 
-def exact_groups(docs: DataFrame, capacity: int = 16 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
     """docs(doc_id, text) -> the index: bucket, h, text_sha256, chain, keep_id (largest doc_id) and group_size of each text.
 
     Map tasks fold equal texts and look their hash up in the directory; each owner task gets the buckets of some key
     ranges in hash order, chains entries of equal hash, compares their bytes and writes its part of the index to shared
-    files. The capacity of a bucket is 1/2^14 of the input at least, so that the directory stays under 2^16 entries.
+    files. The capacity of a bucket is 1/2^17 of the input at least, so that the directory stays under 2^18 entries.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
     sizes = docs.select(F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("bytes")).groupBy("h").agg(F.max("bytes").alias("bytes"))
     cells = sizes.groupBy(F.shiftrightunsigned("h", 64 - MAX_DEPTH).alias("cell")).agg(F.sum("bytes").alias("bytes")).toPandas()
     held = cells["bytes"].to_numpy(dtype=float)
-    buckets = directory(cells["cell"].to_numpy(dtype=np.int64), held, max(capacity, int(held.sum()) >> 14))
+    buckets = directory(cells["cell"].to_numpy(dtype=np.int64), held, max(capacity, int(held.sum()) >> 17))
     entries = rows.mapInArrow(lambda it: fold(it, buckets), "bucket int, h long, text_sha256 string, text string, keep_id long, n long")
     index = entries.repartition("bucket").sortWithinPartitions("h").mapInArrow(own, "bucket int, h long, text_sha256 string, chain int, keep_id long, group_size long")
     return written(index, "exact-index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 16 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256 for every row; the largest doc_id of equal texts is kept.
 
     A null text counts as empty. A null doc_id is below all others, so it is kept only where no row of its group has an
