@@ -36,6 +36,8 @@ def groups(batches: Iterator[pa.RecordBatch], chars: int = CHARS) -> Iterator[tu
                 ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
+        # What Arrow has freed goes back to the system, as the executor shares its memory with other workers.
+        pa.default_memory_pool().release_unused()
 
 
 def gather(values: list[bytes], codes: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 or 48
 
 
 #: Characters of the texts whose features are held at once.
-CHARS = 2_000_000
+CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
