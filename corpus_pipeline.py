@@ -1,4 +1,4 @@
-"""A corpus pipeline of five operators: toxicity, exact dedup, SimHash near-dedup, secret scans, best-fit packing."""
+"""A corpus pipeline of five operators: toxicity, exact dedup, near-dedup, secret scans, best-fit packing."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from chronofact.llm.exact_dedup import exact_dedup
 from chronofact.llm.packing import pack_documents
 from chronofact.llm.secrets import redact_secrets
-from chronofact.llm.shared import scratch_path, shared_dir
+from chronofact.llm.shared import scratch_path, shared_dir, written
 from chronofact.llm.simhash import simhash_groups
+from chronofact.llm.similar_texts import similar_groups
 from chronofact.llm.toxicity import scored, train
 
 #: Documents that score this or more are rejected.
@@ -33,11 +34,28 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id in each group of close fingerprints over five-word shingles."""
+    """Keeps the document of smallest doc_id in each group of close fingerprints over five-word shingles.
+
+    This is operator 8's rule (2 of 64 bits), which misses most near copies; the pipeline's stage is ``drop_similar``.
+    """
     dropped = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row of smallest doc_id in each group of texts whose five-word shingles have Jaccard 0.8 or more.
+
+    Links are by similarity, groups by links. The decision is made by row: of rows with one doc_id in a group one stays,
+    and a row without doc_id stays only where no row of its group has one.
+    """
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "near_rows")
+    parts = similar_groups(rows)
+    ids = rows.select(F.col("row").alias("node"), F.col("doc_id").isNull().alias("_no"), "doc_id").join(parts, "node")
+    kept = ids.groupBy("component").agg(F.min(F.struct("_no", "doc_id", "node"))["node"].alias("row"))
+    dropped = parts.select(F.col("node").alias("row")).join(kept.select("row"), "row", "left_anti")
+    return rows.join(dropped, "row", "left_anti").select(*docs.columns)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; all documents stay."""
     return redact_secrets(docs)
@@ -51,7 +69,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", reject_toxic),
     ("exact_dedup", drop_copies),
-    ("simhash_near_dedup", drop_near_copies),
+    ("simhash_near_dedup", drop_similar),
     ("secret_scans", mask_secrets),
     ("best_fit_packing", pack_sequences),
 ]
