@@ -8,24 +8,41 @@ from pyspark.sql import functions as F
 from chronofact.functions.text import normalise_name
 
 
+def _titled(items: DataFrame, hours: int) -> DataFrame:
+    """id, words of the title, time bucket and second of the items that have words and a time."""
+    words = F.array_distinct(F.filter(F.split(normalise_name(F.coalesce("title", F.lit(""))), " "), lambda w: w != ""))
+    bucket = F.floor(F.unix_seconds("published_at") / (hours * 3600))
+    return items.where("id is not null and published_at is not null").select("id", words.alias("w"), bucket.alias("t"), F.unix_seconds("published_at").alias("s")).where("size(w) > 0")
+
+
+def title_copies(items: DataFrame, hours: int = 48) -> DataFrame:
+    """(id, title, published_at) -> (a, b) of each class of equal titles: its representative a and every other member b.
+
+    A class lies in one time bucket of ``hours``, so its members are close; with ``similar_titles``, which links
+    representatives, these stars connect all items.
+    """
+    rows = _titled(items, hours)
+    reps = rows.groupBy("w", "t").agg(F.min("id").alias("a"))
+    return rows.join(reps, ["w", "t"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def similar_titles(items: DataFrame, hours: int = 48, overlap: float = 0.6) -> DataFrame:
-    """(id, title, published_at) -> (a, b) of different titles whose words overlap (Jaccard) and whose times are close.
+    """(id, title, published_at) -> (a, b) of titles whose words overlap (Jaccard) and whose times are close.
 
-    Equal titles are one class, represented by the smallest id, so copies form no pairs. By prefix filtering, two titles
-    that overlap enough share one of the first words of each in order of rarity; only those words are joined, within
-    neighbouring time buckets, and every pair is verified.
+    Equal titles of a time bucket are one class, represented by the smallest id, so copies form no pairs;
+    ``title_copies`` gives the members. Classes are close if any two of their members are: within a bucket always, in
+    neighbouring buckets if the earlier's last and the later's first are. By prefix filtering, two titles that overlap
+    enough share one of the first words of each in order of rarity; only those words are joined, within neighbouring
+    time buckets, and every pair is verified.
     """
-    words = F.array_distinct(F.filter(F.split(normalise_name(F.coalesce("title", F.lit(""))), " "), lambda w: w != ""))
-    bucket = F.floor(F.unix_seconds("published_at") / (hours * 3600))
-    rows = items.where("id is not null and published_at is not null").select("id", words.alias("w"), bucket.alias("t"), F.unix_seconds("published_at").alias("s"))
-    classes = rows.where("size(w) > 0").groupBy("w", "t").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s"))
+    classes = _titled(items, hours).groupBy("w", "t").agg(F.min("id").alias("id"), F.struct(F.min("s").alias("first"), F.max("s").alias("last")).alias("s"))
     freq = classes.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     ranked = classes.select("id", "t", "s", F.size("w").alias("k"), "w", F.explode("w").alias("word")).join(freq, "word").groupBy("id", "t", "s", "k", "w").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
     prefix = F.slice(F.transform("o", lambda x: x["word"]), F.lit(1), (F.col("k") - F.ceil(F.col("k") * F.lit(overlap)) + 1).cast("int"))
     keyed = ranked.select("id", "t", "s", "w", F.explode(prefix).alias("word"))
-    left = keyed.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.col("s").alias("sa"), "word", F.explode(F.array(F.col("t") - 1, F.col("t"), F.col("t") + 1)).alias("t"))
+    left = keyed.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.col("s").alias("sa"), F.col("t").alias("ta"), "word", F.explode(F.array(F.col("t") - 1, F.col("t"), F.col("t") + 1)).alias("t"))
     right = keyed.select(F.col("id").alias("b"), F.col("w").alias("wb"), F.col("s").alias("sb"), "word", "t")
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("sa") - F.col("sb")) <= hours * 3600)
+    near = (F.col("a") < F.col("b")) & ((F.col("ta") == F.col("t")) | (F.greatest(F.col("sb.first") - F.col("sa.last"), F.col("sa.first") - F.col("sb.last")) <= hours * 3600))
     alike = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")) >= overlap
     return left.join(right, ["word", "t"]).where(near & alike).select("a", "b").distinct()
 

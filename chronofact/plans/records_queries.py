@@ -265,18 +265,21 @@ def t1_stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{root}/snapshots").select("dedupe_key", "content_hash", "raw_index")
 
 
+def _titles(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 12), " ").alias("title"), F.timestamp_seconds(F.col("doc_id") * 60).alias("published_at"))
+
+
 def z1_similar_titles(spark, sf_dir):
     """Documents of close numbers whose first words are nearly the same."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 12), " ").alias("title"), F.timestamp_seconds(F.col("doc_id") * 60).alias("published_at"))
-    return gr.similar_titles(d, hours=72, overlap=0.6)
+    return gr.similar_titles(_titles(spark, sf_dir), hours=72, overlap=0.6)
 
 
 def z2_event_groups(spark, sf_dir):
-    """Groups that the similar titles connect."""
+    """Groups that the equal and the similar titles connect."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
     items = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return gr.event_groups(items, z1_similar_titles(spark, sf_dir))
+    return gr.event_groups(items, z1_similar_titles(spark, sf_dir).union(gr.title_copies(_titles(spark, sf_dir), hours=72)))
 
 
 def z5_change_details(spark, sf_dir):
