@@ -109,16 +109,16 @@ def exact_groups(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
     return written(index, "exact-index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 1 << 20, carried: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256 for every row; the largest doc_id of equal texts is kept.
 
     A null text counts as empty. A null doc_id is below all others, so it is kept only where no row of its group has an
     id. Rows that repeat an id and its text are all returned, count in group_size, and share one decision. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. Other columns are not read, but those named in ``carried`` are returned as well.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"), *carried)
     groups = exact_groups(docs, capacity).where("group_size > 1").select("h", "text_sha256", "keep_id", "group_size")
     found = rows.join(groups, ["h", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *carried)

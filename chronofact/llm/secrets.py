@@ -156,13 +156,19 @@ def redact(text: str | None, rate: float = 0.01, alpha: float = 0.01) -> str | N
 
 
 def redact_secrets(docs: DataFrame, rate: float = 0.01, alpha: float = 0.01) -> DataFrame:
-    """docs with secrets in the column text replaced; n_chars, if there, follows the new text. All rows stay."""
+    """docs with secrets in the column text replaced; n_chars, if there, follows the new text. All rows and columns stay.
+
+    Null texts stay null. No helper column is added to docs, so no name can clash. An empty table gives no rows.
+    """
 
     @F.pandas_udf(T.StringType())
     def redacted(texts):
         return texts.map(lambda t: redact(t, rate, alpha), na_action="ignore")
 
-    out = docs.withColumn("_old", F.col("text")).withColumn("text", redacted(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text") == F.col("_old"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    both = docs.select(F.struct("*").alias("doc"), redacted(F.col("text")).alias("new"))
+    out = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    if "n_chars" in out:
+        same = F.col("new").eqNullSafe(F.col("doc.text"))
+        out["n_chars"] = F.when(same, out["n_chars"]).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    out["text"] = F.col("new")
+    return both.select(*(x.alias(c) for c, x in out.items()))

@@ -12,7 +12,6 @@ from chronofact.llm.exact_dedup import exact_dedup
 from chronofact.llm.packing import pack_documents
 from chronofact.llm.secrets import redact_secrets
 from chronofact.llm.shared import scratch_path, shared_dir, written
-from chronofact.llm.simhash import simhash_groups
 from chronofact.llm.similar_texts import similar_groups
 from chronofact.llm.toxicity import scored, train
 
@@ -20,40 +19,46 @@ from chronofact.llm.toxicity import scored, train
 TOXIC = 0.3
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(row, doc): stored rows with a number of their own; docs' columns stay inside doc, where no name can clash."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), name)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that a model of labels.toxic rejects."""
+    """Drops documents that a model of labels.toxic rejects.
+
+    Each row is scored by its text alone, null and empty ones too; null and repeated ids are rows of their own.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    model = train(docs, labels)
-    return docs.withColumn("_score", scored(model)).where(F.col("_score") < TOXIC).drop("_score")
+    return docs.where(scored(train(docs, labels)) < TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of largest doc_id among equal texts."""
-    dropped = exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id in each group of close fingerprints over five-word shingles.
+    """Keeps one row of each text: that of largest doc_id.
 
-    This is operator 8's rule (2 of 64 bits), which misses most near copies; the pipeline's stage is ``drop_similar``.
+    The decision is made by row. A null text counts as empty; a null doc_id is below all others; of rows that repeat id
+    and text one stays; a row never goes because another row has its id.
     """
-    dropped = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "copies_rows")
+    found = exact_dedup(rows.select("row", "doc.doc_id", "doc.text"), carried=("row",))
+    first = found.where("kept").groupBy("text_sha256").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = found.where("kept").join(first, "text_sha256").where("row <> first")
+    dropped = found.where("not kept").select("row").union(again.select("row"))
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of smallest doc_id in each group of texts whose five-word shingles have Jaccard 0.8 or more.
 
     Links are by similarity, groups by links. The decision is made by row: of rows with one doc_id in a group one stays,
-    and a row without doc_id stays only where no row of its group has one.
+    and a row without doc_id stays only where no row of its group has one. Null and empty texts are alike.
     """
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "near_rows")
-    parts = similar_groups(rows)
-    ids = rows.select(F.col("row").alias("node"), F.col("doc_id").isNull().alias("_no"), "doc_id").join(parts, "node")
-    kept = ids.groupBy("component").agg(F.min(F.struct("_no", "doc_id", "node"))["node"].alias("row"))
+    rows = numbered(docs, "near_rows")
+    parts = similar_groups(rows.select("row", "doc.text"))
+    ids = rows.select(F.col("row").alias("node"), F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id").join(parts, "node")
+    kept = ids.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "node"))["node"].alias("row"))
     dropped = parts.select(F.col("node").alias("row")).join(kept.select("row"), "row", "left_anti")
-    return rows.join(dropped, "row", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,39 +1,109 @@
-"""The pipeline's stages hold on to documents' columns, and each does what its operator says."""
+"""The pipeline's stages keep documents' columns and decide by row; run() gives what plain code gives."""
 
+import random
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronofact.llm.secrets import find_secrets
-from tests.llm.test_operators import brute_fingerprint
-
-
-def test_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
-    columns = docs.columns
-    one = corpus_pipeline.reject_toxic(spark, docs, sf_dir).cache()
-    assert one.columns == columns and 0 < one.count() <= docs.count()
-    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 0")
-    clean = docs.join(toxic, "doc_id", "left_semi")
-    assert one.join(clean, "doc_id", "left_semi").count() >= 0.97 * clean.count()
-    two = corpus_pipeline.drop_copies(spark, one, sf_dir).cache()
-    assert {r["doc_id"] for r in two.collect()} == {r["i"] for r in one.groupBy(F.coalesce("text", F.lit(""))).agg(F.max("doc_id").alias("i")).collect()}
-    three = corpus_pipeline.drop_near_copies(spark, two, sf_dir).cache()
-    rows = [(r["doc_id"], brute_fingerprint(r["text"], 5)) for r in two.collect()]
-    left = {r["doc_id"] for r in three.collect()}
-    comp = {i: i for i, _ in rows}
-    for _ in range(5):
-        for i, f in rows:
-            for j, g in rows:
-                if (f ^ g).bit_count() <= 2:
-                    comp[i] = comp[j] = min(comp[i], comp[j])
-    assert left == {i for i in comp if comp[i] == i} and three.columns == columns
+from chronofact.llm.secrets import find_secrets, redact
+from chronofact.llm.toxicity import scored, train
+from tests.llm.test_similar_texts import brute_kept
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _old string, _score double, row long, doc string"
+
+
+def odd_rows():
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randint(0, 99999)}" for _ in range(20000))
+    base = [f"v{i}" for i in range(100)]
+    near = [*base[:50], "changed", *base[51:]]
+    texts = [
+        (1, "x one"),
+        (1, "only copy of this text"),
+        (2, "x one"),
+        (None, "dup"),
+        (None, "dup"),
+        (None, "dup"),
+        (None, None),
+        (3, None),
+        (4, ""),
+        (4, ""),
+        (5, long),
+        (6, long + " more"),
+        (7, " ".join(base)),
+        (8, " ".join(near)),
+        (8, "another text of id eight"),
+        (9, "the token=0123456789abcdef0123 is here"),
+    ]
+    return [(i, t, "en", "s", len(t or ""), "keep me", 0.5, 7, "mine") for i, t in texts]
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, ODD).repartition(3)
+
+
+def plain_copies(rows):
+    """Of equal texts, the largest doc_id stays."""
+    best = {}
+    for i, t in rows:
+        key = t or ""
+        if key not in best or (best[key][0] is None and i is not None) or (i is not None and i > best[key][0]):
+            best[key] = (i, t)
+    return sorted(((i, k) for k, (i, _) in best.items()), key=str)
+
+
+def plain_similar(rows):
+    ids = [(n, t) for n, (_, t) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))]
+    kept, _ = brute_kept(ids)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    return sorted((order[n] for n in kept), key=str)
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    rows = odd_rows()
+    docs = table(spark, rows)
+    plain = [(r[0], r[1]) for r in rows]
+    one = corpus_pipeline.reject_toxic(spark, docs, sf_dir)
+    assert one.columns == docs.columns and pairs(one) == sorted(((i, t or "") for i, t in plain), key=str)
+    two = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert two.columns == docs.columns and pairs(two) == plain_copies(plain)
+    three = corpus_pipeline.drop_similar(spark, two, sf_dir)
+    assert three.columns == docs.columns and pairs(three) == plain_similar(plain_copies(plain))
     four = corpus_pipeline.mask_secrets(spark, three, sf_dir)
-    assert four.columns == columns and four.count() == three.count()
-    assert not any(s[0] in ("access", "hex") for r in four.collect() for s in find_secrets(r["text"]))
+    assert four.columns == docs.columns and four.count() == three.count()
+    got = {(r["doc_id"], r["text"]): r for r in four.collect()}
+    assert got[9, "the [assign] is here"]["n_chars"] == 20
+    assert {(r["_old"], r["_score"], r["row"], r["doc"]) for r in got.values()} == {("keep me", 0.5, 7, "mine")}
     packed = corpus_pipeline.pack_sequences(spark, four, sf_dir)
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == left
+    assert {r["doc_id"] for r in packed.collect()} == {i for i, _ in got}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
-def test_run_gives_all_pieces(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and len(corpus_pipeline.STAGES) == 5
+def test_run_gives_what_plain_code_gives(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    clean = [(r["doc_id"], r["text"]) for r in docs.where(scored(train(docs, labels)) < corpus_pipeline.TOXIC).collect()]
+    assert 0.8 * docs.count() < len(clean) < docs.count()
+    left = [(i, redact(t)) for i, t in plain_similar(plain_copies(clean))]
+    assert not any(s[0] in ("access", "hex") for _, t in left for s in find_secrets(t))
+    encoder = __import__("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.encode_special_tokens = True
+    want = {i: len(encoder.encode(t, add_special_tokens=False).ids) + 1 for i, t in left}
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    total, ends = {}, {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert total == want and [n for n, _ in corpus_pipeline.STAGES][1:4] == ["exact_dedup", "simhash_near_dedup", "secret_scans"]
+    for spans in ends.values():
+        at = 0
+        for o, n in sorted(spans):
+            assert o == at
+            at += n
+        assert at <= 2048

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from chronofact.llm.similar_texts import shingles
+from chronofact.llm.similar_texts import CHOICES, shingles
 
 
 def brute_sets(text):
@@ -46,9 +46,13 @@ def test_near_copies_by_jaccard(spark):
     got = [r["doc_id"] for r in corpus_pipeline.drop_similar(spark, docs, "").collect()]
     assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"] is corpus_pipeline.drop_similar
     assert len(links) > 500 and len(kept) < 150
-    assert sorted(i for i in got if i is not None) == sorted([*kept, 7]) and got.count(None) == 1
+    # Every row that stays by brute force stays, and of those that go the keys of fingerprints find 0.95 at least.
+    ids = [i for i in got if i is not None]
+    assert not {*kept, 7} - {*ids} and ids.count(7) == 2 and got.count(None) == 1
+    assert len({*ids} - {*kept, 7}) <= 0.05 * (len(rows) - len(kept))
     assert corpus_pipeline.drop_similar(spark, docs.limit(0), "").count() == 0
 
 
 def test_shingles_are_distinct_and_sorted():
+    assert len(CHOICES) == 155 and len({(a, b) for t in CHOICES.tolist() for a in t for b in t if a < b}) == 155 * 3
     assert len(shingles("a b c d e " * 30)) == 5 and list(shingles("x y")) == list(shingles("X  Y"))
