@@ -17,18 +17,18 @@ from chronofact.llm.shared import written
 
 SEED, GOLDEN = 42, 0x9E3779B97F4A7C15
 WORD_CACHE = 300_000
-#: A fingerprint has WORDS words of 64 bits; its bytes are the blocks.
-WORDS = 4
+#: A fingerprint has WORDS words of 64 bits; its first BLOCKS bytes are the blocks.
+WORDS, BLOCKS = 8, 32
 #: Choices of three blocks in which any two of the blocks 1 to 31 stand together once. Two texts of Jaccard 0.8 differ
 #: in some 15 % of the bits, so they agree in one choice with chance 0.02 and in one of the 155 at least with 0.95; texts
 #: of Jaccard 0.85 do with 0.997.
-CHOICES = np.array([(a, b, a ^ b) for a in range(1, 8 * WORDS) for b in range(a + 1, 8 * WORDS) if a ^ b > b])
-#: Candidates that differ in more bits (of 256) are not looked at: texts of Jaccard 0.8 differ in 39, give or take 6.
-FAR = 60
+CHOICES = np.array([(a, b, a ^ b) for a in range(1, BLOCKS) for b in range(a + 1, BLOCKS) if a ^ b > b])
+#: Candidates that differ in more bits (of 512) are not looked at: texts of Jaccard 0.8 differ in 78, give or take 8.
+FAR = 92
 #: The same for the first word alone, which goes along with the keys: of 64 bits they differ in 10, give or take 3.
 FAR_FIRST = 24
-#: Buckets of this size or less compare all their pairs at once; larger ones go by pivots.
-SMALL = 8
+#: Buckets of this size or less compare all their pairs across groups in the second round; larger ones go by pivots.
+SMALL, PIVOTS = 8, 8
 #: Rows of a batch, and shingles whose bits are counted in one byte.
 ROWS, COUNTED = 256, 255
 FP = [f"f{i}" for i in range(WORDS)]
@@ -142,10 +142,10 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     Two texts are linked if the Jaccard similarity of their shingle sets is ``percent`` or more, computed over the whole
     sets. Texts of equal sets are one class, with stars to its least row. Classes meet where their fingerprints agree in
     a choice of blocks (see CHOICES for the chance), and the distance of whole fingerprints is checked before any set is
-    read. A small bucket compares all its pairs. A larger one is worked off by pivots (four at first, eight times as many
-    each round), compared with its rows of other groups only, so a large group of near copies becomes one after a round
-    or two instead of forming all its pairs; it is done when its rows are in one group or all pairs across groups are
-    compared.
+    read. A bucket's rows are first compared with its least row. While they are in several groups, a small bucket
+    compares all its pairs across groups, and a larger one is worked off by pivots, eight times as many each round,
+    compared with rows of other groups only. So a large group of near copies becomes one after a round or two instead of
+    forming all its pairs, and a bucket is done when its rows are in one group or all pairs across groups are compared.
     """
     sketch = written(sketches(rows, words_in_shingle), "sketches")
     grouped = sketch.groupBy("same").agg(F.min(F.struct("row", "n", *FP)).alias("c"), F.count("*").alias("size"))
@@ -157,34 +157,39 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     keyed = block_keys(classes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(keyed.join(shared, "key").select("key", "row", F.col(FP[0]).alias("f"), "size"), "buckets")
-    few = buckets.where(f"size <= {SMALL}")
-    near = f"bit_count(_f ^ _g) <= {FAR_FIRST}"
-    small = few.select("key", F.col("row").alias("u"), F.col("f").alias("_f")).join(few.select("key", F.col("row").alias("v"), F.col("f").alias("_g")), "key").where(f"u < v and {near}").select("u", "v")
-    left = buckets.where(f"size > {SMALL}").select("key", "row", "f", F.col("row").alias("group"))
-    held, parts, pivots = None, None, 4
+    left = buckets.withColumn("group", F.col("row"))
+    parts, tried, pivots = None, None, 1
     while True:
         least = left.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group", "f")).alias("p"))
         met = left.join(least, "key").where("p.group <> group").where(f"bit_count(f ^ p.f) <= {FAR_FIRST}")
         pairs = met.select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"))
-        pairs = (pairs if small is None else pairs.union(small)).distinct()
+        going = left.where(f"size > {SMALL}")
+        if pivots > 1:
+            few = left.where(f"size <= {SMALL}")
+            a = few.select("key", F.col("row").alias("u"), F.col("f").alias("_f"), F.col("group").alias("_a"))
+            b = few.select("key", F.col("row").alias("v"), F.col("f").alias("_g"), F.col("group").alias("_b"))
+            pairs = pairs.union(a.join(b, "key").where(f"u < v and _a <> _b and bit_count(_f ^ _g) <= {FAR_FIRST}").select("u", "v"))
+        pairs = pairs.distinct()
+        for earlier in tried or []:
+            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
         pairs = pairs.join(lean.select(F.col("row").alias("u"), F.col("s").alias("_su")), "u").join(lean.select(F.col("row").alias("v"), F.col("s").alias("_sv")), "v")
         likely = (_bits_apart("_su", "_sv") <= FAR) & F.expr(f"100 * _su.n >= {percent} * _sv.n and 100 * _sv.n >= {percent} * _su.n")
         pairs = written(pairs.where(likely).select("u", "v"), "pairs")
-        if small is not None or held is None:
-            # Sets are read for the first round's pairs, and once more for all rows that go on.
-            wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v")) if small is not None else left.select("row")
+        if pivots <= PIVOTS:
+            # Sets are read for the rows of the first two rounds' pairs, and then for all rows that go on.
+            wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v"))
+            wanted = wanted if pivots == 1 else wanted.union(going.select("row"))
             held = written(shingle_sets(rows.select("row", "text").join(wanted.distinct(), "row", "left_semi"), words_in_shingle), "sets")
+        tried = [*(tried or []), pairs]
         links.append(written(_links(pairs, held, percent), "links"))
         if parts is None or not links[-1].isEmpty():
             parts = connected_components(reduce(DataFrame.union, links))
         # Rows that served as pivots are compared with the whole bucket; the others go on while their groups differ.
-        rest = left.join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti").select("key", "row", "f")
-        named = rest.join(parts.select(F.col("node").alias("row"), F.col("component").alias("group")), "row", "left").select("key", "row", "f", F.coalesce("group", "row").alias("group"))
-        named = written(named, "named")
+        rest = (left if pivots == 1 else going).join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti").drop("group")
+        named = rest.join(parts.select(F.col("node").alias("row"), F.col("component").alias("group")), "row", "left").withColumn("group", F.coalesce("group", "row"))
+        named = written(named.select("key", "row", "f", "size", "group"), "named")
         several = named.groupBy("key").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("key")
         left = written(named.join(several, "key", "left_semi"), "buckets")
         if left.isEmpty():
             return parts
-        held = held if small is None else None
-        small = None
-        pivots *= 8
+        pivots *= PIVOTS
