@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,64 +40,164 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def best_filling(counts: np.ndarray, room: int, nodes: int) -> list[tuple[int, int]]:
-    """The filling of ``room`` that wastes least, as (length, how many), lengths descending.
+Plan = list[tuple[int, list[tuple[int, int]]]]
 
-    Branch and bound over undominated fillings: the largest length that fits is tried first, with as many pieces as fit,
-    so the first leaf is the best-fit-decreasing incumbent; a branch is left out if what it can still hold cannot beat
-    the incumbent's waste, or if it skips a length that would have fitted into its final waste (a filling with that
-    length dominates it). ``nodes`` bounds the search; then the incumbent stands.
-    """
-    there = np.flatnonzero(counts)
-    best, waste, seen = [], room, 0
-    mass = np.concatenate([[0], np.cumsum(there * counts[there])])
 
-    def visit(top: int, left: int, chosen: list[tuple[int, int]]) -> None:
-        nonlocal best, waste, seen
-        seen += 1
-        if left < waste:
-            best, waste = list(chosen), left
-        while top > 0 and waste > 0 and seen < nodes:
-            top = int(np.searchsorted(there, min(left, there[top - 1]), side="right"))
-            if top == 0 or left - mass[top] >= waste:
-                return
-            length = int(there[top - 1])
-            most = int(min(counts[length], left // length))
-            top -= 1
-            for k in range(most, 0, -1):
-                visit(top, left - k * length, [*chosen, (length, k)])
-                if waste == 0 or seen >= nodes:
-                    return
+def lower_bound(counts: np.ndarray) -> int:
+    """A number of bins that no packing of counts[length] pieces goes below.
+
+    For each threshold up to half a bin: pieces that leave less than it have a bin each, pieces over half a bin have one
+    each, and the pieces from the threshold on up to half a bin fill what room those leave, then further bins.
+    """
+    capacity = len(counts) - 1
+    number, mass = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = number[-1] - number[capacity - k]
+    large, large_mass = number[capacity - k] - number[half], mass[capacity - k] - mass[half]
+    small = mass[half] - mass[np.maximum(k - 1, 0)]
+    further = -(-(small - (large * capacity - large_mass)) // capacity)
+    return int(max(-(-mass[-1] // capacity), (alone + large + np.maximum(further, 0)).max()))
 
-    visit(len(there), room, [])
-    return best
 
+def best_fit(counts: np.ndarray) -> tuple[int, Plan]:
+    """Best-fit decreasing over the histogram: each length goes where least room is left that holds it.
 
-def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 2000) -> list[tuple[int, list[tuple[int, int]]]]:
+    Bins that were filled alike are handled as one group, so there are about as many steps as lengths.
+    """
+    capacity, bins = len(counts) - 1, 0
+    rooms: list[int] = []
+    groups: dict[int, list[tuple[int, tuple]]] = {}
+
+    def add(room: int, n: int, filling: tuple) -> None:
+        if room not in groups:
+            insort(rooms, room)
+            groups[room] = []
+        groups[room].append((n, filling))
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        while left:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                n, filling = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[at]
+            else:
+                room, filling = capacity, ()
+                n = -(-left // (capacity // length))
+                bins += n
+            each = room // length
+            full = min(n, left // each)
+            if full:
+                add(room - each * length, full, (*filling, (length, each)))
+                left -= full * each
+            if full < n and left:
+                add(room - left * length, 1, (*filling, (length, left)))
+                left, full = 0, full + 1
+            if full < n:
+                add(room, n - full, filling)
+    return bins, [(n, list(filling)) for group in groups.values() for n, filling in group]
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int, steps: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Undominated fillings of ``room`` that waste ``most_waste`` at most: (waste, [(length, how many)]), least waste first.
+
+    A filling is dominated if a piece that is there fits beside it, or could take the place of one of its pieces or of
+    two: what it leaves over would then go where they were. Lengths are tried from the largest, most pieces first;
+    ``steps`` bounds the enumeration.
+    """
+    there = np.flatnonzero(counts[: room + 1])
+    mass = np.concatenate([[0], np.cumsum(there * counts[there])])
+    out, seen = [], 0
+
+    def free(low: int, high: int, used: dict[int, int]) -> bool:
+        """Whether a piece of a length from low to high is left."""
+        i = int(np.searchsorted(there, low))
+        while i < len(there) and there[i] <= high:
+            if counts[there[i]] > used.get(int(there[i]), 0):
+                return True
+            i += 1
+        return False
+
+    def dominated(waste: int, used: dict[int, int]) -> bool:
+        if waste and free(1, waste, used):
+            return True
+        lengths = list(used)
+        if waste and any(free(x + 1, x + waste, used) for x in lengths):
+            return True
+        both = [x + y for i, x in enumerate(lengths) for y in lengths[i:] if x != y or used[x] > 1]
+        return any(free(x, x + waste, used) for x in both)
+
+    def visit(top: int, left: int, used: dict[int, int]) -> None:
+        nonlocal seen
+        seen += 1
+        if seen > steps:
+            return
+        top = int(np.searchsorted(there[:top], left, side="right"))
+        if left - mass[top] > most_waste:
+            return
+        if top == 0:
+            if not dominated(left, used):
+                out.append((left, sorted(used.items(), reverse=True)))
+            return
+        length = int(there[top - 1])
+        for k in range(min(int(counts[length]), left // length), -1, -1):
+            visit(top - 1, left - k * length, {**used, length: k} if k else used)
+
+    visit(len(there), room, {})
+    return sorted(out, key=lambda x: x[0])
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 400, steps: int = 400) -> Plan:
     """Lengths with their numbers -> (number of bins, filling as (length, how many)) patterns that use up everything.
 
-    Each pattern completes a bin around the largest length left and is repeated as long as the numbers allow, so there
-    are about as many patterns as lengths, however many pieces there are.
+    Bin completion: a node of the search takes the largest length left, and branches over the undominated fillings
+    around it and over how many bins are filled so (all numbers if few, else all that can be, half of them, one). At
+    each node best-fit decreasing packs what is left, and the best packing seen is the incumbent; a branch ends where
+    its waste, or the lower bound of what is left, leaves no packing of fewer bins. The search ends when the incumbent
+    meets the lower bound, when all is searched (both: optimal), or after ``nodes`` nodes, of ``steps`` steps of
+    enumeration each; then the incumbent, never worse than best-fit decreasing, stands.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    out = []
-    for length in range(capacity, 0, -1):
-        while counts[length]:
-            counts[length] -= 1
-            rest = best_filling(counts[: capacity - length + 1], capacity - length, nodes) if length < capacity else []
-            counts[length] += 1
+    total = int((counts * np.arange(capacity + 1)).sum())
+    bound, (best, plan), seen = lower_bound(counts), best_fit(counts), 0
+
+    def visit(left: np.ndarray, used: int, waste: int, done: Plan) -> None:
+        nonlocal best, plan, seen
+        seen += 1
+        more, rest = best_fit(left) if done else (best, plan)
+        if used + more < best:
+            best, plan = used + more, done + rest
+        if best == bound or seen >= nodes or not left.any() or used + lower_bound(left) >= best:
+            return
+        length = int(np.flatnonzero(left)[-1])
+        left[length] -= 1
+        found = fillings(left, capacity - length, (best - 1) * capacity - total - waste, steps)
+        left[length] += 1
+        for w, rest in found:
             filling = dict(rest)
             filling[length] = filling.get(length, 0) + 1
-            times = min(int(counts[x]) // k for x, k in filling.items())
-            for x, k in filling.items():
-                counts[x] -= times * k
-            out.append((times, sorted(filling.items(), reverse=True)))
-    return out
+            most = min(int(left[x]) // k for x, k in filling.items())
+            for times in range(most, 0, -1) if most <= 4 else (most, most // 2, 1):
+                if waste + times * w > (best - 1) * capacity - total:
+                    continue
+                after = left.copy()
+                for x, k in filling.items():
+                    after[x] -= times * k
+                visit(after, used + times, waste + times * w, [*done, (times, sorted(filling.items(), reverse=True))])
+                if best == bound or seen >= nodes:
+                    return
+
+    if best > bound:
+        visit(counts, 0, 0, [])
+    return plan
 
 
-def slots(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int]]:
+def slots(plan: Plan) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, how many in a bin, first bin, offset): which pieces of a length go where."""
     out, used, first = [], {}, 0
     for times, filling in plan:
@@ -109,7 +210,7 @@ def slots(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int,
     return out
 
 
-def pack(pieces: DataFrame, capacity: int, nodes: int = 2000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, nodes: int = 400) -> DataFrame:
     """pieces(..., length) -> with sequence_id and offset; lengths must be 1 to ``capacity``.
 
     Only the histogram, ``capacity`` rows at most, reaches the driver, where the bins are planned. Pieces are numbered
@@ -138,7 +239,7 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 2000) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(place, ddl + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 2000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 400) -> DataFrame:
     """docs(doc_id, text) -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is its end id alone. Rows are packed as they come: null and repeated doc_ids are rows of their

@@ -205,7 +205,40 @@ def test_bins_are_few_and_use_up_everything():
                 used[x] += times * k
         assert used == {x: items.count(x) for x in items}
         over += sum(t for t, _ in plan) - smallest(items, 20)
-    assert over <= 3
+    assert over == 0
+
+
+def best_fit_decreasing(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fit = [r for r in rooms if r >= x]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else capacity) - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("low,high,n", [(680, 689, 600), (600, 1100, 300), (500, 800, 600), (400, 1000, 300), (1, 2048, 300)])
+def test_bins_are_never_more_than_best_fit(low, high, n):
+    rng = random.Random(low)
+    items = [rng.randint(low, high) for _ in range(n)]
+    counts = np.bincount(items, minlength=2049)
+    plan = packing.plan_bins({x: items.count(x) for x in set(items)}, 2048)
+    used = sum(t for t, _ in plan)
+    assert all(sum(x * k for x, k in filling) <= 2048 for _, filling in plan)
+    assert sorted(x for t, filling in plan for x, k in filling for _ in range(t * k)) == sorted(items)
+    assert packing.best_fit(counts)[0] == best_fit_decreasing(items, 2048)
+    assert packing.lower_bound(counts) <= used <= best_fit_decreasing(items, 2048)
+
+
+def test_many_pieces_of_few_lengths():
+    plan = packing.plan_bins({2048: 10**9, 1024: 10**9 + 1, 700: 10**9, 1: 5}, 2048)
+    used = defaultdict(int)
+    for t, filling in plan:
+        for x, k in filling:
+            used[x] += t * k
+    assert used == {2048: 10**9, 1024: 10**9 + 1, 700: 10**9, 1: 5} and len(plan) < 20
+    assert packing.plan_bins({}, 2048) == []
 
 
 def test_toxicity(spark):
