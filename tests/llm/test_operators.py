@@ -145,6 +145,45 @@ def test_byte_bpe(spark, docs, texts):
     assert byte_bpe(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_long_words(spark):
+    import base64
+    import time
+
+    import tiktoken
+
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=20000)), "".join(rng.choices("ACGT", k=60000)), "".join(chr(rng.randint(0x4E00, 0x5E00)) for _ in range(8000)), "a" * 20001, "".join(rng.choices(["the", "ing", "tion", "ab"], k=6000))]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(9, "some words before " + words[1] + " and behind")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in byte_bpe(df, RANKS, public_tokenizers.PATTERN).collect()}
+    assert time.time() - began < 60
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, t in [*enumerate(words), (9, "some words before " + words[1] + " and behind")]:
+        assert list(np.frombuffer(got[i]["ids"], "<u4")) == enc.encode_ordinary(t) and bytes(got[i]["decoded"]).decode() == t
+
+
+def test_byte_bpe_where_ranks_are_not_in_order(tmp_path):
+    """A token that its own parts' merges don't lead to: equal pairs are contracted one at a time."""
+    import base64
+
+    import tiktoken
+
+    from chronofact.llm.byte_bpe import Encoder
+
+    ranks = {bytes([i]): 300 + i for i in range(256)} | {b"abc": 0, b"ab": 5, b"ca": 6, b"abca": 2}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    e, enc = Encoder(str(path), r"\S+|\s+"), tiktoken.Encoding("odd", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abc", k=k)) for k in (5, 40, 47, 60, 200, 300)] + ["abc" * 60, "ab" * 60]
+    ids, ends = e.encode(texts)
+    assert not e.steady
+    assert [list(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_packing(spark, docs, texts):
     rows = packing.pack_documents(docs, JSON, capacity=64).collect()
     assert packing.pack_documents(empty(spark), JSON).count() == 0
