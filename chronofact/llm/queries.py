@@ -128,6 +128,19 @@ ORACLES: dict[str, str] = {
         )
         select page_id, host, path, rule, coalesce(action, 'allow') as verdict from split left join best using (page_id)
     """,
+    "op3_embedding_near_dedup": """
+        with recursive e as (
+          select vec_id, label, embedding::double[] as v from embeddings
+          where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links as (
+          select a.vec_id as u, b.vec_id as v from e a join e b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+          where list_cosine_similarity(a.v, b.v) >= 0.98
+        ), reached as (
+          select vec_id, vec_id as other from embeddings union select r.vec_id, l.v from reached r join links l on l.u = r.other
+        ), counts as (select u, count(*) as n from links group by u)
+        select vec_id, coalesce(any_value(n), 0) as n_links, min(other) as component_id, min(other) = vec_id as kept
+        from reached left join counts on u = vec_id group by vec_id
+    """,
     "op7_exact_dedup": """
         with t as (select doc_id, coalesce(text, '') as x from documents),
         g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x)
