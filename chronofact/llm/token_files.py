@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, b
 
         def row() -> pa.RecordBatch:
             lengths = [len(f) for f in frames]
-            offsets = [sum(lengths[:i]) for i in range(len(lengths))]
+            offsets = [0, *accumulate(lengths[:-1])]
             return pa.RecordBatch.from_pylist([dict(part=part, block=block, start=start, n_tokens=sum(counts), dictionary=name, width=width, payload=b"".join(frames), doc_ids=ids, offsets=offsets, lengths=lengths, counts=counts)], schema)
 
         for keys, texts in groups(batches):
