@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm.shared import scratch_path, shared_dir
+from chronofact.llm.shared import scratch_path
 from chronofact.llm.chunks import groups
 from chronofact.llm.tokens import encoder
 
@@ -142,7 +142,6 @@ def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame
     their own, in text order. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    shared_dir(spark)
     path = scratch_path(spark, "token-files")
     write_token_files(docs, path, tokenizer, end_id)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

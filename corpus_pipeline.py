@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronofact.llm.exact_dedup import exact_dedup
 from chronofact.llm.packing import pack_documents
 from chronofact.llm.secrets import redact_secrets
-from chronofact.llm.shared import scratch_path, shared_dir, written
+from chronofact.llm.shared import scratch_path, written
 from chronofact.llm.similar_texts import similar_groups
 from chronofact.llm.toxicity import scored, train
 
@@ -85,7 +85,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each but the last is written to the shared folder and read again."""
-    shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
