@@ -125,8 +125,3 @@ def context_value(c: Column) -> Column:
     times = F.element_at(F.create_map(*[F.lit(x) for x in ("", 1, "K", 1000, "M", 1000000)]), F.upper(F.regexp_extract(t, form, 2)))
     # A whole, positive number: each part stands once in the expression, which keeps generated code short.
     return F.nullif(F.regexp_extract((digits.try_cast("decimal(28,9)") * times).cast("string"), r"^([1-9]\d*)(?:\.0*)?$", 1), F.lit(""))
-
-
-def network_prefix(ip: Column) -> Column:
-    """The /24 of an IPv4 address in dotted form, else null."""
-    return F.when(ip.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"), F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24")))

@@ -237,12 +237,12 @@ def e1_evaluation(spark, sf_dir):
 
 
 def e4_recall(spark, sf_dir):
-    found = h.detect_changes(observations(spark, sf_dir).where("id % 40 = 0"))
+    found = h.detect_changes(observations(spark, sf_dir).where("observed_at < timestamp_ntz '2024-01-02'"))
     return e.change_recall(found, h.detect_changes(observations(spark, sf_dir))).select("n_expected", "n_found", F.round("recall", 9).alias("recall"))
 
 
 def e6_replay(spark, sf_dir):
-    return e.replay_case(observations(spark, sf_dir).withColumn("in_detected", F.col("id") % 30 == 0)).select("n_expected", "n_found", F.round("recall", 9).alias("recall"))
+    return e.replay_case(observations(spark, sf_dir).withColumn("in_detected", F.coalesce(F.col("value").cast("double") > 60, F.lit(False)))).select("n_expected", "n_found", F.round("recall", 9).alias("recall"))
 
 
 QUERIES = {q.__name__: q for q in (r1_phrases, r2_trusted_sources, r3_phrase_matches, r4_gated_matches, r5_resolutions, r6_quotes, r7_proposals, r8_registry, r9_routes, p14_numbers, p15_multipliers, g12_gates, g12_gate_counts, d1_claims, d2_citations_exist, d4_validation, d5_digests, d6_vetoes, d7_reconciled, d8_hydrated, d9_details, d10_write_rules, d11_published, x1_fact_table, x2_comparisons, x3_pairs, x4_all_pairs, x5_price_comparisons, e1_evaluation, e4_recall, e6_replay)}
@@ -346,12 +346,12 @@ ORACLES = {
         union all select null, true, sum(n)::bigint, sum(u)::bigint, round((sum(n) - sum(u)) / sum(n), 9), sum(r)::bigint, round(sum(r) / sum(n), 9) from per
     """,
     "e4_recall": f"""
-        with {CHANGES}, sub as (select * from obs where id % 40 = 0),
+        with {CHANGES}, sub as (select * from obs where observed_at < timestamp '2024-01-02'),
         found as (select company, field from sub qualify lag(id) over w is not null and (value is distinct from lag(value) over w or disclosure_status is distinct from lag(disclosure_status) over w) window w as (partition by company_key, field order by observed_at, id))
         select (select count(*) from (select distinct company, field from changes)) as n_expected, (select count(*) from (select distinct company, field from found)) as n_found, round((select count(*) from (select distinct company, field from found)) / (select count(*) from (select distinct company, field from changes)), 9) as recall
     """,
     "e6_replay": f"""
-        with {CHANGES}, sub as (select * from obs where id % 30 = 0),
+        with {CHANGES}, sub as (select * from obs where try_cast(value as double) > 60),
         found as (select company, field from sub qualify lag(id) over w is not null and value is distinct from lag(value) over w window w as (partition by company_key, field order by observed_at, id)),
         want as (select distinct company, field from changes where value is distinct from p_value)
         select (select count(*) from want) as n_expected, (select count(*) from (select distinct company, field from found)) as n_found, round((select count(*) from (select distinct company, field from found)) / (select count(*) from want), 9) as recall

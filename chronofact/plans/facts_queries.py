@@ -47,7 +47,7 @@ def h2_current_facts(spark, sf_dir):
 
 def h3_read_current(spark, sf_dir):
     facts = observations(spark, sf_dir)
-    subjects = facts.where("snapshot_id % 3 = 0").select("company_key", "product_key")
+    subjects = facts.where("cast(value as double) > 99").select("company_key", "product_key")
     return h.read_current(h.current_facts(facts), facts, subjects, ["click", "error"]).select("company_key", "field", "id", "value")
 
 
@@ -107,7 +107,7 @@ def h12_citations(spark, sf_dir):
 def h13_changes_for_snapshots(spark, sf_dir):
     facts = observations(spark, sf_dir)
     subjects = facts.select("company_key", "product_key", "company", "product").distinct()
-    wanted = facts.where("snapshot_id % 10 = 0").select("snapshot_id")
+    wanted = facts.where("field = 'error'").select("snapshot_id")
     return h.changes_for_snapshots(_changes(spark, sf_dir), subjects, wanted).select("company_key", "subject_company", "field", F.col("current.snapshot_id").alias("current_id"))
 
 
@@ -136,7 +136,7 @@ ORACLES = {
           select id, h, case when h is null then '' else concat_ws(',', case when disclosure_status is distinct from h.disclosure_status then 'disclosure_status' end, case when observed_at is distinct from h.observed_at then 'observed_at' end, case when value is distinct from h.value then 'value' end) end as diverges from held)
     """,
     "h2_current_facts": f"with {OBSERVATIONS} select company_key, field, id, value, disclosure_status, observed_at from obs qualify row_number() over (partition by company_key, field order by observed_at desc, snapshot_id desc) = 1",
-    "h3_read_current": f"with {OBSERVATIONS}, c as (select * from obs qualify row_number() over (partition by company_key, field order by observed_at desc, snapshot_id desc) = 1) select company_key, field, id, value from c where field in ('click', 'error') and company_key in (select company_key from obs where snapshot_id % 3 = 0)",
+    "h3_read_current": f"with {OBSERVATIONS}, c as (select * from obs qualify row_number() over (partition by company_key, field order by observed_at desc, snapshot_id desc) = 1) select company_key, field, id, value from c where field in ('click', 'error') and company_key in (select company_key from obs where try_cast(value as double) > 99)",
     "h4_fact_changes": f"with {CHANGES} select company_key, field, change_type, p_value as previous_value, value as current_value, p_id as previous_id, snapshot_id as current_id, observed_at as detected_at from changes",
     "h4_incremental": f"with {CHANGES} select company_key, field, change_type, p_id as previous_id, snapshot_id as current_id from changes where observed_at >= timestamp '2024-01-20'",
     "h5_tolerant_changes": f"""
@@ -152,7 +152,7 @@ ORACLES = {
     "h10_positions": f"with {POSITIONED} select company_key, field, snapshot_id as current_id, position::integer as position from pos",
     "h11_change_sets_built": f"with {POSITIONED} select company_key, true as consistent, count(*)::integer as n, string_agg(snapshot_id::varchar, ',' order by position) as current_ids from pos group by all",
     "h12_citations": f"with {POSITIONED} select change_set_id, side, snapshot_id, min(position)::integer as position from (select change_set_id, 'current' as side, snapshot_id, position from pos union all select change_set_id, 'previous', p_id, position from pos) group by all",
-    "h13_changes_for_snapshots": f"with {CHANGES} select company_key, company as subject_company, field, snapshot_id as current_id from changes where snapshot_id % 10 = 0",
+    "h13_changes_for_snapshots": f"with {CHANGES} select company_key, company as subject_company, field, snapshot_id as current_id from changes where field = 'error'",
     "h14_field_history": f"with {OBSERVATIONS} select company_key, field, id, (row_number() over (partition by company_key, field order by observed_at, id) - 1)::integer as position from obs qualify row_number() over (partition by company_key, field order by observed_at desc, id desc) > 1",
     "h15_intervals": f"""
         with {OBSERVATIONS}, f as (select *, floor(try_cast(value as double) / 20)::bigint::varchar as v from obs),

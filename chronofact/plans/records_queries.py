@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -17,6 +16,7 @@ from chronofact.operators import subscriptions as s
 from chronofact.operators import versioning as v
 from chronofact.plans.facts_queries import CHANGES
 from chronofact.plans.tables import OBSERVATIONS, fetched, observations, read
+from chronofact.session import shared_folder
 from chronofact.sources.articles import extract_articles
 from chronofact.sources.feeds import parse_feeds
 from chronofact.sources.registry import due_sources
@@ -219,8 +219,7 @@ def _stream(spark, sf_dir, name, schema_of):
 def _drain(df, mode):
     """Runs a stream to the end of what is there, into the shared folder, and returns what it wrote."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{root}/out"
     if mode == "append":
         writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
@@ -254,8 +253,7 @@ def t4_stream_rate_limit(spark, sf_dir):
 
 
 def t1_stream_ingest(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
 
     def docs(d):
         text = F.coalesce(F.col("text"), F.lit(""))
@@ -276,15 +274,14 @@ def z1_similar_titles(spark, sf_dir):
 
 def z2_event_groups(spark, sf_dir):
     """Groups that the equal and the similar titles connect."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(spark)
     items = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return gr.event_groups(items, z1_similar_titles(spark, sf_dir).union(gr.title_copies(_titles(spark, sf_dir), hours=72)))
 
 
 def z5_change_details(spark, sf_dir):
     changes = h.assign_positions(h.detect_changes(observations(spark, sf_dir)))
-    wanted = changes.where("current.snapshot_id % 25 = 0").select("id")
+    wanted = changes.where("change_type = 'not_disclosed'").select("id")
     return gr.change_detail(changes, wanted).select("company", "field", "change_type", F.col("current.snapshot_id").alias("current_id"))
 
 
@@ -353,6 +350,6 @@ ORACLES = {
     "t1_stream_ingest": "select 'sha256:' || (n_chars % 200) as dedupe_key, 'sha256:' || sha256(coalesce(text, '')) as content_hash, min(doc_id) as raw_index from documents group by all",
     "t2_stream_dedupe": "select distinct user_id || '-' || event_type as dedupe_key, floor(value)::bigint::varchar as content_hash from events",
     "t4_stream_rate_limit": "select event_type, epoch(time_bucket(interval '1 hour', ts))::bigint as window_s, count(*) as requests from events group by all",
-    "z5_change_details": f"with {CHANGES} select company, field, change_type, snapshot_id as current_id from changes where snapshot_id % 25 = 0",
+    "z5_change_details": f"with {CHANGES} select company, field, change_type, snapshot_id as current_id from changes where change_type = 'not_disclosed'",
     "z4_metrics": "select event_type as source_id, count(*) as runs, round(count(*) filter (where event_id % 9 <> 0) / count(*), 9) as success_rate, max(ts) filter (where event_id % 9 <> 0) as last_success from events group by all",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from chronofact.operators import gates as g
 from chronofact.operators import history as h
 from chronofact.plans.evidence_queries import TURNS, _name
 from chronofact.plans.facts_queries import CHANGES
+from chronofact.session import shared_folder
 from chronofact.plans.tables import FETCHED, observations, read
 from chronofact.sources import sinks
 
@@ -66,8 +66,7 @@ def p13_filters(spark, sf_dir):
 
 def s6_append(spark, sf_dir):
     """Orders appended to a stored table by status, one status after another and the first once more, and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-append-")
-    path = f"{base.rstrip('/')}/append-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/append-{uuid.uuid4().hex}"
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     for status in ("F", "O", "P", "F"):
         sinks.append_new(orders.where(F.col("o_orderstatus") == status), path, ["o_orderkey"])

@@ -26,6 +26,24 @@ def local_session(name: str = "chronofact", cores: int | None = None, memory: st
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; it is made Spark's checkpoint folder too.
+
+    Where the setting is missing, a local session (tests) gets a temporary folder of its own; a cluster is refused, as
+    its executors would each write to their own disks.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers of a session that would not find it by themselves.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 def append_new(rows: DataFrame, path: str, key: list[str], day: str | None = None) -> None:
     """Appends the rows whose key isn't stored yet (insert or ignore); partitions by the date of ``day``.
 
-    Rows of the batch that share a key must agree, so one of them is stored.
+    Of rows of the batch that share a key the least in the order of all columns is stored. One writer at a time.
     """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates(key)
+    fresh = rows.groupBy(*key).agg(F.min(F.struct(*[c for c in rows.columns if c not in key], *key)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in rows.columns])
     if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
     fresh = fresh if day is None else fresh.withColumn("day", F.to_date(day))
@@ -21,9 +22,13 @@ def append_new(rows: DataFrame, path: str, key: list[str], day: str | None = Non
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark finds a file at the path, whatever the store."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether a table is stored at the path, whatever the store."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def write_state(state: DataFrame, path: str, version: int) -> str:

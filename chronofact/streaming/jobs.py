@@ -22,16 +22,21 @@ def stream_ingest(docs: DataFrame, root: str, checkpoint: str) -> DataStreamWrit
     under root/items.
 
     A batch that is run again overwrites its own outputs and reads only those of earlier batches, so replays change
-    nothing. Every row is recorded however late it is.
+    nothing. Every row is recorded however late it is. Of the snapshots stored before, those of the batch's items alone
+    are joined. A batch whose predecessor is missing fails, as its items would all count as new.
     """
 
     def batch(df: DataFrame, no: int) -> None:
         spark = df.sparkSession
         items, snapshots = f"{root}/items", f"{root}/snapshots"
         last = f"{items}/batch={no - 1:012d}"
-        stored = spark.read.parquet(last) if no and exists(spark, last) else None
-        old = spark.read.parquet(*[f"{snapshots}/batch={i:012d}" for i in range(no) if exists(spark, f"{snapshots}/batch={i:012d}")]) if stored is not None else None
+        if no and not exists(spark, last):
+            raise RuntimeError(f"batch {no} has no state to start from: {last} is missing")
+        stored = spark.read.parquet(last) if no else None
         keyed = df.where("dedupe_key is not null").withColumn("item_id", item_id())
+        old = None
+        if no:
+            old = spark.read.parquet(snapshots).where(F.col("batch") < no).drop("batch").join(keyed.select("item_id").distinct(), "item_id", "left_semi")
         add_snapshots(old, keyed).write.mode("overwrite").parquet(f"{snapshots}/batch={no:012d}")
         new = spark.read.parquet(f"{snapshots}/batch={no:012d}")
         up = upsert_items(stored, df).drop("created")

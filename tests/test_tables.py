@@ -180,3 +180,49 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     got = spark.read.option("mergeSchema", True).parquet(f"file://{tmp_path}/t/items/batch=000000000001")
     assert sorted((r["dedupe_key"], r["title"]) for r in got.collect()) == sorted((r["dedupe_key"], r["title"]) for r in items.collect())
     assert spark.read.parquet(f"file://{tmp_path}/t/snapshots").count() == new.count()
+
+
+def test_ingest_needs_its_predecessor(spark, tmp_path):
+    """Batches go on from the stored state; one without it fails instead of starting from nothing."""
+    import shutil
+
+    import pytest
+
+    schema = "dedupe_key string, content_hash string, fetched_at timestamp, publisher string, raw_index long"
+    source, root = str(tmp_path / "in"), f"file://{tmp_path}/out"
+
+    def run(rows):
+        spark.createDataFrame(rows, "dedupe_key string, content_hash string, at long, publisher string").selectExpr("dedupe_key", "content_hash", "timestamp_seconds(at) as fetched_at", "publisher", "at as raw_index").coalesce(1).write.mode("append").parquet(source)
+        jobs.stream_ingest(spark.readStream.schema(schema).parquet(source), root, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run([("a", "x", 1, "p"), ("b", "y", 2, "p")])
+    run([("a", "x", 3, "p"), ("a", "z", 4, "p"), ("c", "y", 5, "p")])
+    got = spark.read.parquet(f"{root}/snapshots").select("dedupe_key", "content_hash", "batch").collect()
+    assert sorted(map(tuple, got)) == [("a", "x", 0), ("a", "z", 1), ("b", "y", 0), ("c", "y", 1)]
+    shutil.rmtree(tmp_path / "out/items/batch=000000000001")
+    with pytest.raises(Exception, match="no state to start from"):
+        run([("d", "w", 6, "p")])
+
+
+def test_append_takes_a_stated_row(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1)], "k long, v string, n int")
+    sinks.append_new(rows, path, ["k"])
+    sinks.append_new(rows.where("k = 2").union(spark.createDataFrame([(3, "z", 0)], rows.schema)), path, ["k"])
+    assert sorted((r["k"], r["v"], r["n"]) for r in spark.read.parquet(path).collect()) == [(1, "a", 9), (2, None, 1), (3, "z", 0)]
+
+
+def test_shared_folder_is_named_on_clusters():
+    import pytest
+
+    from chronofact.session import shared_folder
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda key, other=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Far)
