@@ -59,7 +59,8 @@ class ChunkCoder:
     space, has itself with a space before it as its key.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, generation: int = GENERATION) -> None:
+        self.generation = generation
         self.new: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
@@ -82,7 +83,7 @@ class ChunkCoder:
         heads = [" " + (t if o else keys[c]) for o, t, c in zip(odd, texts, codes[first], strict=True)]
         codes[first] = len(keys) + np.arange(len(texts))
         keys += heads
-        if len(self.new) > GENERATION:
+        if len(self.new) > self.generation:
             self.old, self.new = self.new, {}
         new, old, missing, long = self.new, self.old, [], {}
         for k in keys:

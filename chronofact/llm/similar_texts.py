@@ -16,7 +16,7 @@ from chronofact.llm.components import connected_components
 from chronofact.llm.shared import written
 
 SEED, GOLDEN = 42, 0x9E3779B97F4A7C15
-WORD_CACHE = 300_000
+WORD_CACHE = 60_000
 #: A fingerprint has WORDS words of 64 bits; its first BLOCKS bytes are the blocks.
 WORDS, BLOCKS = 8, 32
 #: Choices of three blocks in which any two of the blocks 1 to 31 stand together once. Two texts of Jaccard 0.8 differ
@@ -71,10 +71,12 @@ def shingles(text: str | None, words_in_shingle: int = 5) -> np.ndarray:
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """The SimHash of distinct shingles, as bytes: a bit is 1 if it is set in over half of the shingles' hashes."""
-    bits = np.unpackbits(mixed(hashes[:, None] + np.arange(WORDS, dtype=np.uint64) * np.uint64(GOLDEN)).view(np.uint8), axis=1)
     ones = np.zeros(64 * WORDS, dtype=np.int64)
-    for at in range(0, len(bits), COUNTED):
-        ones += np.add.reduce(bits[at : at + COUNTED], axis=0, dtype=np.uint8)
+    for start in range(0, len(hashes), 16 * COUNTED):
+        part = hashes[start : start + 16 * COUNTED, None]
+        bits = np.unpackbits(mixed(part + np.arange(WORDS, dtype=np.uint64) * np.uint64(GOLDEN)).view(np.uint8), axis=1)
+        for at in range(0, len(bits), COUNTED):
+            ones += np.add.reduce(bits[at : at + COUNTED], axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > len(hashes))
 
 
@@ -82,15 +84,19 @@ def sketches(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
     """rows(row, text) -> row, n (distinct shingles), same (128-bit hash of the shingle set), the fingerprint's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, same, fps = [], [], np.zeros((b.num_rows, 8 * WORDS), dtype=np.uint8)
-            for i, x in enumerate(b.column(1)):
-                s = shingles(x.as_py(), words_in_shingle)
-                n.append(len(s))
-                same.append(xxhash.xxh3_128_digest(s.tobytes()))
-                fps[i] = wide_fingerprint(s)
-            words = fps.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(same, pa.binary()), *(pa.array(words[:, i]) for i in range(WORDS))], names=["row", "n", "same", *FP])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                n, same, fps = [], [], np.zeros((b.num_rows, 8 * WORDS), dtype=np.uint8)
+                for i, x in enumerate(b.column(1)):
+                    s = shingles(x.as_py(), words_in_shingle)
+                    n.append(len(s))
+                    same.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    fps[i] = wide_fingerprint(s)
+                words = fps.view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(same, pa.binary()), *(pa.array(words[:, i]) for i in range(WORDS))], names=["row", "n", "same", *FP])
+        _words.clear()
+        pa.default_memory_pool().release_unused()
 
     return rows.select("row", "text").mapInArrow(run, f"row long, n int, same binary, {', '.join(f + ' long' for f in FP)}")
 
@@ -121,6 +127,8 @@ def shingle_sets(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
                 sets = [shingles(x.as_py(), words_in_shingle) for x in b.column(1)]
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, sets))], pa.int32()), flat)], names=["row", "hashes"])
+        _words.clear()
+        pa.default_memory_pool().release_unused()
 
     return rows.select("row", "text").mapInArrow(run, "row long, hashes array<long>")
 

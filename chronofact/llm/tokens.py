@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from chronofact.llm.chunks import LONG, ChunkCoder, gather
+from chronofact.llm.chunks import GENERATION, LONG, ChunkCoder, gather
 
 #: Pre-tokens of Latin letters, digits, common marks and lone line ends, which every version of the pattern tells apart
 #: alike; the pattern's suffixes begin with an apostrophe, which is left out.
@@ -26,8 +26,8 @@ def _byte_letters() -> list[str]:
 class Encoder(ChunkCoder):
     """Ids, as little-endian unsigned 32-bit integers, by a tokenizer of kind byte-level BPE."""
 
-    def __init__(self, path: str) -> None:
-        super().__init__()
+    def __init__(self, path: str, generation: int = GENERATION) -> None:
+        super().__init__(generation)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letters = _byte_letters()
@@ -74,6 +74,6 @@ class Encoder(ChunkCoder):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, generation: int = GENERATION) -> Encoder:
     """The worker's encoder of a tokenizer file."""
-    return Encoder(path)
+    return Encoder(path, generation)
