@@ -25,8 +25,6 @@ WORDS, BLOCKS = 8, 32
 CHOICES = np.array([(a, b, a ^ b) for a in range(1, BLOCKS) for b in range(a + 1, BLOCKS) if a ^ b > b])
 #: Candidates that differ in more bits (of 512) are not looked at: texts of Jaccard 0.8 differ in 78, give or take 8.
 FAR = 92
-#: The same for the first word alone, which goes along with the keys: of 64 bits they differ in 10, give or take 3.
-FAR_FIRST = 24
 #: Buckets of this size or less compare all their pairs across groups in the second round; larger ones go by pivots.
 SMALL, PIVOTS = 8, 8
 #: Rows of a batch, and shingles whose bits are counted in one byte.
@@ -102,7 +100,7 @@ def sketches(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
 
 
 def block_keys(classes: DataFrame) -> DataFrame:
-    """classes(row, fingerprint's words) -> (row, key, f0) for each choice of blocks; the key holds the choice and its blocks."""
+    """classes(row, fingerprint's words) -> (row, key) for each choice of blocks; the key holds the choice and its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -112,9 +110,9 @@ def block_keys(classes: DataFrame) -> DataFrame:
                 key = np.arange(len(CHOICES)) << 24
                 for i in range(3):
                     key = key | fps[:, CHOICES[:, i]].astype(np.int64) << 8 * i
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), len(CHOICES))), pa.array(key.ravel()), pa.array(np.repeat(b.column(1).to_numpy(), len(CHOICES)))], names=["row", "key", FP[0]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), len(CHOICES))), pa.array(key.ravel())], names=["row", "key"])
 
-    return classes.select("row", *FP).mapInArrow(run, f"row long, key long, {FP[0]} long")
+    return classes.select("row", *FP).mapInArrow(run, "row long, key long")
 
 
 def shingle_sets(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
@@ -133,8 +131,10 @@ def shingle_sets(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, hashes array<long>")
 
 
-def _bits_apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FP), F.lit(0))
+def _likely(a: str, b: str, percent: int) -> Column:
+    """Whether two sketches, structs of n and the fingerprint's words, may be of similar texts."""
+    apart = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FP), F.lit(0))
+    return (apart <= FAR) & F.expr(f"100 * {a}.n >= {percent} * {b}.n and 100 * {b}.n >= {percent} * {a}.n")
 
 
 def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -164,38 +164,36 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     lean = classes.select("row", F.struct("n", *FP).alias("s"))
     keyed = block_keys(classes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = written(keyed.join(shared, "key").select("key", "row", F.col(FP[0]).alias("f"), "size"), "buckets")
+    buckets = written(keyed.join(shared, "key").join(lean, "row").select("key", "row", "size", "s"), "buckets")
     left = buckets.withColumn("group", F.col("row"))
-    parts, tried, pivots = None, None, 1
+    parts, tried, pivots = None, [], 1
     while True:
-        least = left.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group", "f")).alias("p"))
-        met = left.join(least, "key").where("p.group <> group").where(f"bit_count(f ^ p.f) <= {FAR_FIRST}")
+        least = left.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group", "s")).alias("p"))
+        met = left.join(least, "key").where((F.col("p.group") != F.col("group")) & _likely("s", "p.s", percent))
         pairs = met.select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"))
         going = left.where(f"size > {SMALL}")
         if pivots > 1:
             few = left.where(f"size <= {SMALL}")
-            a = few.select("key", F.col("row").alias("u"), F.col("f").alias("_f"), F.col("group").alias("_a"))
-            b = few.select("key", F.col("row").alias("v"), F.col("f").alias("_g"), F.col("group").alias("_b"))
-            pairs = pairs.union(a.join(b, "key").where(f"u < v and _a <> _b and bit_count(_f ^ _g) <= {FAR_FIRST}").select("u", "v"))
+            a = few.select("key", F.col("row").alias("u"), F.col("s").alias("_f"), F.col("group").alias("_a"))
+            b = few.select("key", F.col("row").alias("v"), F.col("s").alias("_g"), F.col("group").alias("_b"))
+            pairs = pairs.union(a.join(b, "key").where(F.expr("u < v and _a <> _b") & _likely("_f", "_g", percent)).select("u", "v"))
         pairs = pairs.distinct()
-        for earlier in tried or []:
+        for earlier in tried:
             pairs = pairs.join(earlier, ["u", "v"], "left_anti")
-        pairs = pairs.join(lean.select(F.col("row").alias("u"), F.col("s").alias("_su")), "u").join(lean.select(F.col("row").alias("v"), F.col("s").alias("_sv")), "v")
-        likely = (_bits_apart("_su", "_sv") <= FAR) & F.expr(f"100 * _su.n >= {percent} * _sv.n and 100 * _sv.n >= {percent} * _su.n")
-        pairs = written(pairs.where(likely).select("u", "v"), "pairs")
+        pairs = written(pairs, "pairs")
         if pivots <= PIVOTS:
             # Sets are read for the rows of the first two rounds' pairs, and then for all rows that go on.
             wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v"))
             wanted = wanted if pivots == 1 else wanted.union(going.select("row"))
             held = written(shingle_sets(rows.select("row", "text").join(wanted.distinct(), "row", "left_semi"), words_in_shingle), "sets")
-        tried = [*(tried or []), pairs]
+        tried.append(pairs)
         links.append(written(_links(pairs, held, percent), "links"))
         if parts is None or not links[-1].isEmpty():
             parts = connected_components(reduce(DataFrame.union, links))
         # Rows that served as pivots are compared with the whole bucket; the others go on while their groups differ.
         rest = (left if pivots == 1 else going).join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti").drop("group")
         named = rest.join(parts.select(F.col("node").alias("row"), F.col("component").alias("group")), "row", "left").withColumn("group", F.coalesce("group", "row"))
-        named = written(named.select("key", "row", "f", "size", "group"), "named")
+        named = written(named.select("key", "row", "size", "s", "group"), "named")
         several = named.groupBy("key").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("key")
         left = written(named.join(several, "key", "left_semi"), "buckets")
         if left.isEmpty():
