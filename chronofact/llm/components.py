@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.shared import written
+from chronofact.llm.shared import emptied, written
 
 
 def _rows_and_sum(edges: DataFrame) -> tuple[int, int]:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round hangs every node's larger neighbours under its smallest one (large star), then its smaller neighbours
     (small star). Only minima are shuffled ahead of the joins, so a hub needs no group in memory; each round is
-    written to the shared folder. Links with a null end and links to oneself are ignored; nodes without other links are
+    written to the shared folder, and the one before is emptied. Links with a null end and links to oneself are ignored; nodes without other links are
     absent.
     """
     ends = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = written(small.where("u <> v").distinct(), "star")
+        before, now = now, written(small.where("u <> v").distinct(), "star")
+        emptied(before)
         if (after := _rows_and_sum(now)) == state:
             break
         state = after

@@ -118,7 +118,8 @@ def exact_dedup(docs: DataFrame, capacity: int = 1 << 20, carried: tuple[str, ..
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"), *carried)
-    groups = exact_groups(docs, capacity).where("group_size > 1").select("h", "text_sha256", "keep_id", "group_size")
+    # Texts with copies are stored by themselves, so that Spark sees their size before it chooses the join.
+    groups = written(exact_groups(docs, capacity).where("group_size > 1").select("h", "text_sha256", "keep_id", "group_size"), "exact-groups")
     found = rows.join(groups, ["h", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *carried)

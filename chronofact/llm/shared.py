@@ -19,3 +19,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def emptied(table: DataFrame) -> None:
+    """Frees the disk of a table that ``written`` made; call it only when nothing reads the table any more."""
+    (path,) = {f.rsplit("/", 1)[0] for f in table.inputFiles()} or {None}
+    if path:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm.components import connected_components
-from chronofact.llm.shared import written
+from chronofact.llm.shared import emptied, written
 
 SEED, GOLDEN = 42, 0x9E3779B97F4A7C15
 WORD_CACHE = 60_000
@@ -23,6 +23,8 @@ WORDS, BLOCKS = 8, 32
 #: in some 15 % of the bits, so they agree in one choice with chance 0.02 and in one of the 155 at least with 0.95; texts
 #: of Jaccard 0.85 do with 0.997.
 CHOICES = np.array([(a, b, a ^ b) for a in range(1, BLOCKS) for b in range(a + 1, BLOCKS) if a ^ b > b])
+#: Choices that are tried first, so that most groups are known before all choices are.
+FIRST = 8
 #: Candidates that differ in more bits (of 512) are not looked at: texts of Jaccard 0.8 differ in 78, give or take 8.
 FAR = 92
 #: Buckets of this size or less compare all their pairs across groups in the second round; larger ones go by pivots.
@@ -99,20 +101,35 @@ def sketches(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, f"row long, n int, same binary, {', '.join(f + ' long' for f in FP)}")
 
 
-def block_keys(classes: DataFrame) -> DataFrame:
-    """classes(row, fingerprint's words) -> (row, key) for each choice of blocks; the key holds the choice and its blocks."""
+def block_keys(classes: DataFrame, choices: np.ndarray) -> DataFrame:
+    """classes(row, group, fingerprint's words) -> (row, group, key) for each choice of blocks; the key holds the choice and its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                fps = np.stack([b.column(1 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint8)
-                key = np.arange(len(CHOICES)) << 24
+                fps = np.stack([b.column(2 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint8)
+                key = np.arange(len(choices)) << 24
                 for i in range(3):
-                    key = key | fps[:, CHOICES[:, i]].astype(np.int64) << 8 * i
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), len(CHOICES))), pa.array(key.ravel())], names=["row", "key"])
+                    key = key | fps[:, choices[:, i]].astype(np.int64) << 8 * i
+                row, group = (pa.array(np.repeat(b.column(i).to_numpy(), len(choices))) for i in range(2))
+                yield pa.RecordBatch.from_arrays([row, group, pa.array(key.ravel())], names=["row", "group", "key"])
 
-    return classes.select("row", *FP).mapInArrow(run, "row long, key long")
+    return classes.select("row", "group", *FP).mapInArrow(run, "row long, group long, key long")
+
+
+def buckets(classes: DataFrame, choices: np.ndarray) -> DataFrame:
+    """classes(row, group, n, fingerprint's words) -> (key, row, group, size, s) of the keys that rows of several groups share."""
+    keyed = block_keys(classes, choices)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("group").alias("_a"), F.max("group").alias("_b"))
+    lean = classes.select("row", F.struct("n", *FP).alias("s"))
+    return keyed.join(shared.where("_a <> _b").select("key", "size"), "key").join(lean, "row").select("key", "row", "group", "size", "s")
+
+
+def grouped_by(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows(row, ...) with the column group: the row's component, or the row where it has none."""
+    named = rows.join(parts.select(F.col("node").alias("row"), F.col("component").alias("group")), "row", "left")
+    return named.withColumn("group", F.coalesce("group", "row"))
 
 
 def shingle_sets(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
@@ -150,10 +167,12 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     Two texts are linked if the Jaccard similarity of their shingle sets is ``percent`` or more, computed over the whole
     sets. Texts of equal sets are one class, with stars to its least row. Classes meet where their fingerprints agree in
     a choice of blocks (see CHOICES for the chance), and the distance of whole fingerprints is checked before any set is
-    read. A bucket's rows are first compared with its least row. While they are in several groups, a small bucket
-    compares all its pairs across groups, and a larger one is worked off by pivots, eight times as many each round,
-    compared with rows of other groups only. So a large group of near copies becomes one after a round or two instead of
-    forming all its pairs, and a bucket is done when its rows are in one group or all pairs across groups are compared.
+    read. A bucket's rows are first compared with its least row: under the FIRST choices, which tell most groups, then
+    under all choices, where only buckets that hold several groups count. While they do, a small bucket compares all its
+    pairs across groups, and a larger one is worked off by pivots, eight times as many each round, compared with rows of
+    other groups only. So a large group of near copies becomes one after a round or two instead of forming all its pairs,
+    and a bucket is done when its rows are in one group or all pairs across groups are compared. Scratch tables are
+    emptied once nothing reads them any more.
     """
     sketch = written(sketches(rows, words_in_shingle), "sketches")
     grouped = sketch.groupBy("same").agg(F.min(F.struct("row", "n", *FP)).alias("c"), F.count("*").alias("size"))
@@ -161,12 +180,10 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     classes = written(grouped.select("same", "size", "c.*").repartition(rows.rdd.getNumPartitions(), "row"), "classes")
     copies = classes.where("size > 1").select("same", F.col("row").alias("u"))
     links = [written(sketch.join(copies, "same").where("u <> row").select("u", F.col("row").alias("v")), "links")]
-    lean = classes.select("row", F.struct("n", *FP).alias("s"))
-    keyed = block_keys(classes)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = written(keyed.join(shared, "key").join(lean, "row").select("key", "row", "size", "s"), "buckets")
-    left = buckets.withColumn("group", F.col("row"))
-    parts, tried, pivots = None, [], 1
+    emptied(sketch)
+    lean = classes.drop("same", "size")
+    left = written(buckets(lean.withColumn("group", F.col("row")), CHOICES[:FIRST]), "buckets")
+    tried, sets, parts, first, pivots = [], [], None, True, 1
     while True:
         least = left.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group", "s")).alias("p"))
         met = left.join(least, "key").where((F.col("p.group") != F.col("group")) & _likely("s", "p.s", percent))
@@ -182,20 +199,31 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
             pairs = pairs.join(earlier, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
         if pivots <= PIVOTS:
-            # Sets are read for the rows of the first two rounds' pairs, and then for all rows that go on.
+            # Sets are read for the rows of the pairs up to the second round under all choices, and then for all rows that go on.
             wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v"))
             wanted = wanted if pivots == 1 else wanted.union(going.select("row"))
-            held = written(shingle_sets(rows.select("row", "text").join(wanted.distinct(), "row", "left_semi"), words_in_shingle), "sets")
+            wanted = wanted.distinct()
+            for earlier in sets:
+                wanted = wanted.join(earlier.select("row"), "row", "left_anti")
+            sets.append(written(shingle_sets(rows.select("row", "text").join(wanted, "row", "left_semi"), words_in_shingle), "sets"))
         tried.append(pairs)
-        links.append(written(_links(pairs, held, percent), "links"))
-        if parts is None or not links[-1].isEmpty():
-            parts = connected_components(reduce(DataFrame.union, links))
-        # Rows that served as pivots are compared with the whole bucket; the others go on while their groups differ.
-        rest = (left if pivots == 1 else going).join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti").drop("group")
-        named = rest.join(parts.select(F.col("node").alias("row"), F.col("component").alias("group")), "row", "left").withColumn("group", F.coalesce("group", "row"))
-        named = written(named.select("key", "row", "size", "s", "group"), "named")
-        several = named.groupBy("key").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("key")
-        left = written(named.join(several, "key", "left_semi"), "buckets")
+        links.append(written(_links(pairs, reduce(DataFrame.union, sets), percent), "links"))
+        before, parts = parts, connected_components(reduce(DataFrame.union, links))
+        if before is not None:
+            emptied(before)
+        if first:
+            after = written(buckets(grouped_by(lean, parts), CHOICES), "buckets")
+        else:
+            # Rows that served as pivots are compared with the whole bucket; the others go on while their groups differ.
+            rest = (left if pivots == 1 else going).join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti")
+            named = written(grouped_by(rest.drop("group"), parts).select("key", "row", "group", "size", "s"), "named")
+            several = named.groupBy("key").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("key")
+            after = written(named.join(several, "key", "left_semi"), "buckets")
+            emptied(named)
+            pivots *= PIVOTS
+        emptied(left)
+        left, first = after, False
         if left.isEmpty():
+            for table in (classes, left, *tried, *sets, *links):
+                emptied(table)
             return parts
-        pivots *= PIVOTS

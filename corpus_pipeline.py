@@ -39,12 +39,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The decision is made by row. A null text counts as empty; a null doc_id is below all others; of rows that repeat id
     and text one stays; a row never goes because another row has its id.
     """
-    rows = numbered(docs, "copies_rows")
-    found = exact_dedup(rows.select("row", "doc.doc_id", "doc.text"), carried=("row",))
-    first = found.where("kept").groupBy("text_sha256").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = found.where("kept").join(first, "text_sha256").where("row <> first")
-    dropped = found.where("not kept").select("row").union(again.select("row"))
-    return rows.join(dropped, "row", "left_anti").select("doc.*")
+    found = exact_dedup(docs.select("doc_id", "text", F.struct("*").alias("doc")), carried=("doc",)).where("kept")
+    # Only a text with copies can have several kept rows: those that repeat its largest id.
+    one = found.where("group_size > 1").dropDuplicates(["doc_id", "text_sha256"])
+    return found.where("group_size = 1").union(one).select("doc.*")
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
