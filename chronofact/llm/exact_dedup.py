@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofact.llm.shared import written
 
@@ -38,43 +40,57 @@ def directory(cells: np.ndarray, sizes: np.ndarray, capacity: int, max_depth: in
 
 
 def fold(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Folds the equal texts of a batch into one entry and names its bucket; a text with many copies leaves each batch once."""
+    """Folds the equal texts of a batch into one entry, that of the largest doc_id, and names its bucket.
+
+    A text with many copies leaves each batch once. Columns behind doc_id, text, h and text_sha256 go along.
+    """
     for b in batches:
-        t = pa.Table.from_batches([b]).group_by(["h", "text_sha256", "text"]).aggregate([("doc_id", "max"), ([], "count_all")])
-        cell = (t["h"].to_numpy().view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)
-        bucket = np.searchsorted(buckets, cell, side="right") - 1
-        t = pa.table({"bucket": pa.array(bucket, pa.int32()), "h": t["h"], "text_sha256": t["text_sha256"], "text": t["text"], "keep_id": t["doc_id_max"], "n": t["count_all"]})
-        yield from t.to_batches()
+        order = pc.sort_indices(b.select(["doc_id"]), sort_keys=[("doc_id", "descending")])
+        t = pa.table({"i": order, **{c: b[c].take(order) for c in ("h", "text_sha256", "text")}})
+        t = t.group_by(["h", "text_sha256", "text"], use_threads=False).aggregate([("i", "first"), ([], "count_all")])
+        win = b.take(t["i_first"].combine_chunks())
+        cell = (win["h"].to_numpy().view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)
+        bucket = pa.array(np.searchsorted(buckets, cell, side="right") - 1, pa.int32())
+        entry = {"bucket": bucket, "h": win["h"], "text_sha256": win["text_sha256"], "text": win["text"], "keep_id": win["doc_id"], "n": t["count_all"].combine_chunks()}
+        yield pa.RecordBatch.from_pydict(entry | {c: win[c] for c in b.schema.names[4:]})
 
 
 class Chains:
-    """The entries of one hash value: one chain for each different text."""
+    """The entries of one hash value: one chain for each different text, with the place of its kept row."""
 
     def __init__(self) -> None:
         self.h: int | None = None
         self.links: list[list] = []
         self.out: list[tuple] = []
+        self.rows: list[pa.RecordBatch] = []
 
-    def add(self, bucket: int, h: int, sha: str, text: str, keep: int | None, n: int) -> None:
+    def add(self, bucket: int, h: int, sha: str, text: str, keep: int | None, n: int, row: pa.RecordBatch | None = None) -> None:
         if h != self.h:
             self.close()
             self.h = h
         for link in self.links:
             if link[3] == text:
-                link[4] = keep if link[4] is None else link[4] if keep is None else max(link[4], keep)
+                if keep is not None and (link[4] is None or keep > link[4]):
+                    link[4], link[6] = keep, row
                 link[5] += n
                 return
             if link[2] == sha:
                 raise ValueError(f"two different texts have the SHA-256 {sha}")
-        self.links.append([bucket, h, sha, text, keep, n])
+        self.links.append([bucket, h, sha, text, keep, n, row])
 
     def close(self) -> None:
         self.out += [(x[0], x[1], x[2], no, x[4], x[5]) for no, x in enumerate(self.links)]
+        self.rows += [x[6] for x in self.links if x[6] is not None]
         self.links = []
 
-    def batch(self) -> pa.RecordBatch:
-        rows, self.out = self.out, []
-        return pa.RecordBatch.from_pylist([dict(zip(INDEX.names, r, strict=True)) for r in rows], INDEX)
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        out, rows, self.out, self.rows = self.out, self.rows, [], []
+        if out:
+            found = {f.name: pa.array([x[i] for x in out], f.type) for i, f in enumerate(INDEX)}
+            if rows:
+                carried = pa.Table.from_batches(rows)
+                found |= {c: carried[c].combine_chunks() for c in carried.schema.names}
+            yield pa.RecordBatch.from_pydict(found)
 
 
 INDEX = pa.schema([("bucket", pa.int32()), ("h", pa.int64()), ("text_sha256", pa.string()), ("chain", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -84,11 +100,29 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One owner's key range, sorted by hash. Holds the chains of one hash value at a time."""
     chains = Chains()
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            chains.add(*row)
-        yield chains.batch()
+        # With columns that go along, the kept row's text goes along too.
+        carried = b.select(["text", *b.schema.names[6:]]) if b.num_columns > 6 else None
+        for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(6)), strict=True)):
+            chains.add(*row, None if carried is None else carried.slice(i, 1))
+        yield from chains.batch()
     chains.close()
-    yield chains.batch()
+    yield from chains.batch()
+
+
+def _index(docs: DataFrame, capacity: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The index of ``exact_groups``, not stored yet; with ``carried``, then the text and those columns of each kept row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"), *carried)
+    sizes = docs.select(F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("bytes")).groupBy("h").agg(F.max("bytes").alias("bytes"))
+    cells = sizes.groupBy(F.shiftrightunsigned("h", 64 - MAX_DEPTH).alias("cell")).agg(F.sum("bytes").alias("bytes")).toPandas()
+    held = cells["bytes"].to_numpy(dtype=float)
+    buckets = directory(cells["cell"].to_numpy(dtype=np.int64), held, max(capacity, int(held.sum()) >> 17))
+    more = [rows.schema[c] for c in carried]
+    entry = T.StructType.fromDDL("bucket int, h long, text_sha256 string, text string, keep_id long, n long")
+    found = T.StructType.fromDDL("bucket int, h long, text_sha256 string, chain int, keep_id long, group_size long")
+    with_text = [T.StructField("text", T.StringType()), *more] if carried else []
+    entries = rows.mapInArrow(lambda it: fold(it, buckets), T.StructType([*entry, *more]))
+    return entries.repartition("bucket").sortWithinPartitions("h").mapInArrow(own, T.StructType([*found, *with_text]))
 
 
 def exact_groups(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
@@ -98,28 +132,34 @@ def exact_groups(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
     ranges in hash order, chains entries of equal hash, compares their bytes and writes its part of the index to shared
     files. The capacity of a bucket is 1/2^17 of the input at least, so that the directory stays under 2^18 entries.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
-    sizes = docs.select(F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("bytes")).groupBy("h").agg(F.max("bytes").alias("bytes"))
-    cells = sizes.groupBy(F.shiftrightunsigned("h", 64 - MAX_DEPTH).alias("cell")).agg(F.sum("bytes").alias("bytes")).toPandas()
-    held = cells["bytes"].to_numpy(dtype=float)
-    buckets = directory(cells["cell"].to_numpy(dtype=np.int64), held, max(capacity, int(held.sum()) >> 17))
-    entries = rows.mapInArrow(lambda it: fold(it, buckets), "bucket int, h long, text_sha256 string, text string, keep_id long, n long")
-    index = entries.repartition("bucket").sortWithinPartitions("h").mapInArrow(own, "bucket int, h long, text_sha256 string, chain int, keep_id long, group_size long")
-    return written(index, "exact-index")
+    return written(_index(docs, capacity), "exact-index")
+
+
+def exact_survivors(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
+    """docs -> its columns, one row of each text: that of largest doc_id; of rows that repeat id and text, any one.
+
+    The owners of ``exact_groups`` hand out the kept rows themselves, so whole rows are shuffled once and never joined.
+    A null text counts as empty and stays null in a row that is kept; a null doc_id is below all others. Docs' other
+    columns stay in a struct until the end, so no name can clash. An empty table gives no rows.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    packed = docs.select("doc_id", "text", F.struct(*others).alias("doc"), F.col("text").isNull().alias("no_text"))
+    kept = _index(packed, capacity, ("doc", "no_text"))
+    text = F.when(~F.col("no_text"), F.col("text"))
+    return kept.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 1 << 20, carried: tuple[str, ...] = ()) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 1 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256 for every row; the largest doc_id of equal texts is kept.
 
     A null text counts as empty. A null doc_id is below all others, so it is kept only where no row of its group has an
     id. Rows that repeat an id and its text are all returned, count in group_size, and share one decision. An empty
-    table gives no rows. Other columns are not read, but those named in ``carried`` are returned as well.
+    table gives no rows. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"), *carried)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
     # Texts with copies are stored by themselves, so that Spark sees their size before it chooses the join.
     groups = written(exact_groups(docs, capacity).where("group_size > 1").select("h", "text_sha256", "keep_id", "group_size"), "exact-groups")
     found = rows.join(groups, ["h", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *carried)
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm.exact_dedup import exact_dedup
+from chronofact.llm.exact_dedup import exact_survivors
 from chronofact.llm.packing import pack_documents
 from chronofact.llm.secrets import redact_secrets
 from chronofact.llm.shared import scratch_path, written
@@ -39,10 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The decision is made by row. A null text counts as empty; a null doc_id is below all others; of rows that repeat id
     and text one stays; a row never goes because another row has its id.
     """
-    found = exact_dedup(docs.select("doc_id", "text", F.struct("*").alias("doc")), carried=("doc",)).where("kept")
-    # Only a text with copies can have several kept rows: those that repeat its largest id.
-    one = found.where("group_size > 1").dropDuplicates(["doc_id", "text_sha256"])
-    return found.where("group_size = 1").union(one).select("doc.*")
+    return exact_survivors(docs)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +52,8 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     parts = similar_groups(rows.select("row", "doc.text"))
     ids = rows.select(F.col("row").alias("node"), F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id").join(parts, "node")
     kept = ids.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "node"))["node"].alias("row"))
-    dropped = parts.select(F.col("node").alias("row")).join(kept.select("row"), "row", "left_anti")
+    # Stored, so that Spark sees how few rows go before it chooses the join with whole rows.
+    dropped = written(parts.select(F.col("node").alias("row")).join(kept.select("row"), "row", "left_anti"), "near_dropped")
     return rows.join(dropped, "row", "left_anti").select("doc.*")
 
 
