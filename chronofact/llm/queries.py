@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.llm.byte_bpe import byte_bpe
+from chronofact.llm.conversations import repair_conversations
 from chronofact.llm.embedding_dedup import embedding_groups
 from chronofact.llm.exact_dedup import exact_dedup
 from chronofact.llm.packing import pack_documents
+from chronofact.llm.periodic_runs import periodic_runs
+from chronofact.llm.pieces import sentence_pieces
 from chronofact.llm.secrets import scan_secrets
 from chronofact.llm.simhash import simhash_groups
 from chronofact.llm.substring_dedup import substring_dedup
@@ -98,6 +101,66 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults, chosen by each turn's crc32: left out, emptied, unended, repeated, or the user's."""
+    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = turns.withColumn("h", F.crc32(key.cast("binary")) % 20).where("h <> 0")
+    text = F.when(F.col("h") == 1, F.lit("")).when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("h") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("h") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("copy"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, repaired = repair_conversations(damaged(turns))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["role"], t["text"])), "\n")
+    parts = repaired.where(F.size("turns") > 0).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", lines.alias("lines")))).alias("parts"))
+    texts = parts.select(F.col("conv_id").alias("c"), F.array_join("parts.lines", "\n").alias("text"))
+    every = turns.select("conv_id").distinct()
+    out = every.join(found.withColumnRenamed("conv_id", "f"), F.col("conv_id").eqNullSafe(F.col("f")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"))
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, chosen by crc32, goes over into a repeated passage."""
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = rows.withColumn("g", F.expr("h div 10")).withColumn("words", words).withColumn("n", F.size("words"))
+    # Integer division: the passage of p words begins at word a.
+    rows = rows.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    passage = F.expr("slice(words, cast(a as int) + 1, cast(p as int))")
+    tail = F.flatten(F.array_repeat(passage, F.expr("cast((n - a) div p + 1 as int)")))
+    planted = F.concat(F.expr("slice(words, 1, cast(a as int))"), F.slice(tail, F.lit(1), F.expr("cast(n - a as int)")))
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, with passages that repeat planted in a tenth."""
+    found = periodic_runs(periodic(table(spark, sf_dir, "documents")))
+    first = F.expr("aggregate(runs, cast(null as struct<start:long,length:long,period:long>), (b, r) -> if(b is null or r.length > b.length, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.withColumn("longest", first)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to pieces and decoded."""
+    done = sentence_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,6 +174,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_near_dedup,
         op9_secret_scans,
         op10_substring_dedup,
+        op11_conversation_repair,
+        op12_periodic_runs,
+        op13_sentence_pieces,
     )
 }
 
