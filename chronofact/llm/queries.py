@@ -180,6 +180,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: crc32 in SQL: a table for bytes, then a fold over the characters of an ASCII text.
+CRC_TABLE = "crc as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab from (select unnest(range(256)) as i))"
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the crc32 of an ASCII text, beside the table crc."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": r"""
         with rules(h, p, action) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
@@ -222,4 +231,68 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(list_aggregate(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: places is null or not list_contains(places, z[2])), lambda z: z[1]), 'string_agg', ' '), '')) as kept_sha256
         from w left join gone using (doc_id)
     """,
+    "op11_conversation_repair": f"""
+        with recursive {CRC_TABLE},
+        told as (
+          select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as h
+          from conversations, crc
+        ), damaged as (
+          select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                 unnest(range(case when h = 0 then 0 when h = 3 then 2 else 1 end)) as copy
+          from told
+        ), numbered as (
+          select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(length(role) || ':' || role || text), copy) as i from damaged
+        ), faulty as (
+          select *, left(role, 1) as own, lag(left(role, 1)) over (partition by conv_id order by i) as before,
+                 case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else '' end as fault
+          from numbered
+        ), shift(st, r, st2) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        inserts(st, st2, k) as (values (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+        edits as (
+          select st, own, st as st2, 4 as cost, 'D' as edit from range(4) as s(st), (select distinct own from faulty)
+          union all select st, r, st2, 0, 'K' from shift
+          union all select st, own, st2, 3, 'R' from shift, (select distinct own from faulty) where r in ('u', 'a') and r <> own
+        ), best as (
+          select conv_id, 0::bigint as i, st2 as st, struct_pack(cost := 3 * k, audit := repeat('I', k)) as least from (select distinct conv_id from faulty), inserts where st = 0
+          union all
+          select b.conv_id, f.i, n.st2, min(struct_pack(cost := b.least.cost + d.cost + case when d.edit <> 'D' and fault = 'truncated' then 3 else 0 end + 3 * n.k, audit := b.least.audit || d.edit || repeat('I', n.k)))
+          from best b join faulty f on f.conv_id is not distinct from b.conv_id and f.i = b.i + 1
+          join edits d on d.st = b.st and d.own = f.own and (d.edit = 'D' or fault not in ('blank', 'duplicate')) join inserts n on n.st = d.st2
+          group by b.conv_id, f.i, n.st2
+        ), ends as (
+          select conv_id, count(*) as n, case when count(turn) > 0 then max(turn) - min(turn) + 1 - count(distinct turn) else 0 end as gaps, count(*) filter (fault = 'blank') as blank,
+                 count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (before || own not in ('su', 'ua', 'au')) as illegal
+          from faulty group by conv_id
+        ), chosen as (
+          select e.*, (select min(b.least) from best b where b.conv_id is not distinct from e.conv_id and b.i = e.n and b.st in (0, 3)) as c from ends e
+        ), letters as (
+          select conv_id, j, c.audit[j] as edit, length(replace(c.audit[:j], 'I', '')) as i, length(replace(c.audit[:j], 'D', '')) - 1 - length(replace(c.audit, 'D', '')) % 2 as place
+          from (select conv_id, c, unnest(range(1, length(c.audit) + 1)) as j from chosen)
+        ), lines as (
+          select l.conv_id, string_agg(case when edit = 'K' then role when place % 2 = 0 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end, chr(10) order by j) as x
+          from letters l left join faulty f on f.conv_id is not distinct from l.conv_id and f.i = l.i where edit <> 'D' group by l.conv_id
+        )
+        select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               coalesce(c.cost, 0)::bigint as cost, coalesce(c.audit, '') as audit, sha256(coalesce(x, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o left join chosen h on h.conv_id is not distinct from o.conv_id left join lines n on n.conv_id is not distinct from o.conv_id
+    """,
+    "op12_periodic_runs": f"""
+        with {CRC_TABLE},
+        told as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws, {crc32_sql("doc_id::varchar")} as h from documents, crc),
+        sized as (select *, len(ws) as n, case when len(ws) > 0 then (h // 10) % len(ws) end as a from told),
+        docs as (
+          select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: ws[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) end + 1]) else ws end as ws from sized
+        ), lags as (select doc_id, n, ws, unnest(range(1, n // 4 + 1)) as q from docs),
+        grid as (select doc_id, q, ws, unnest(range(0, (n - 1) // q - 2)) * q as i from lags),
+        hopeful as (select distinct doc_id, q from grid where ws[i + 1] = ws[i + q + 1] and ws[i + 1] = ws[i + 2 * q + 1] and ws[i + 1] = ws[i + 3 * q + 1]),
+        same as (select doc_id, q, i from (select doc_id, q, ws, unnest(range(0, n - q)) as i from hopeful join docs using (doc_id)) where ws[i + 1] = ws[i + q + 1]),
+        stretches as (select doc_id, q, min(i) as s, max(i) + 1 + q as e from (select *, i - row_number() over (partition by doc_id, q order by i) as g from same) group by doc_id, q, g),
+        runs as (select doc_id, s, e - s as length, min(q) as q from stretches where e - s >= greatest(6, 4 * q) group by doc_id, s, e),
+        gone as (select doc_id, list(distinct i) as places from (select doc_id, unnest(range(s + q, s + length)) as i from runs) group by doc_id),
+        shape as (select doc_id, count(*) as n_runs, min(struct_pack(l := -length, s := s, q := q)) as b, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) as x from runs group by doc_id)
+        select doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, -b.l as length, b.q as period, 1000 * -b.l // b.q as exponent_milli, sha256(coalesce(x, '')) as runs_sha256,
+               sha256(coalesce(list_aggregate(list_transform(list_filter(list_zip(ws, range(n)), lambda z: places is null or not list_contains(places, z[2])), lambda z: z[1]), 'string_agg', ' '), '')) as collapsed_sha256
+        from docs left join gone using (doc_id) left join shape using (doc_id)
+    """,
 }
