@@ -260,7 +260,7 @@ def t1_stream_ingest(spark, sf_dir):
         return d.select(F.concat(F.lit("sha256:"), (F.col("n_chars") % 200).cast("string")).alias("dedupe_key"), F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("content_hash"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("fetched_at"), F.col("doc_id").alias("raw_index"), F.col("source").alias("publisher"))
 
     jobs.stream_ingest(_stream(spark, sf_dir, "documents", docs), root, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/snapshots").select("dedupe_key", "content_hash", "raw_index")
+    return jobs.ingested(spark, root)[1].read().select("dedupe_key", "content_hash", "raw_index")
 
 
 def _titles(spark, sf_dir):

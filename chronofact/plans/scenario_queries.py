@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofact.functions.text import filter_value
@@ -13,8 +14,9 @@ from chronofact.operators import history as h
 from chronofact.plans.evidence_queries import TURNS, _name
 from chronofact.plans.facts_queries import CHANGES
 from chronofact.session import shared_folder
-from chronofact.plans.tables import FETCHED, observations, read
+from chronofact.plans.tables import FETCHED, fetched, observations, read
 from chronofact.sources import sinks
+from chronofact.sources.state import KeyedState
 
 
 def _line_candidates(spark, sf_dir):
@@ -73,7 +75,20 @@ def s6_append(spark, sf_dir):
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
-QUERIES = {q.__name__: q for q in (g12_number_gates, d4_number_claims, p13_filters, s6_append)}
+def s6_guarded_upsert(spark, sf_dir):
+    """Documents as items upserted in four batches: early ones, late ones, these again, and then those between, which are
+    late and move only items that nothing newer holds. An item keeps the time of its first row and moves to greater tuples."""
+    table = KeyedState(spark, f"{shared_folder(spark)}/state-{uuid.uuid4().hex}", ["dedupe_key"], ["fetched_at", "raw_index"], ["first_fetched_at"])
+    docs = fetched(spark, sf_dir).select("dedupe_key", F.col("fetched_at").alias("first_fetched_at"), "fetched_at", "raw_index", "content_hash", "publisher", "language")
+    third = F.ntile(3).over(Window.orderBy("day"))
+    days = docs.select(F.date_trunc("minute", "fetched_at").alias("day")).distinct().withColumn("part", third)
+    parts = docs.withColumn("day", F.date_trunc("minute", "fetched_at")).join(days, "day")
+    for no, part in enumerate((1, 3, 3, 2)):
+        table.upsert(parts.where(F.col("part") == part).drop("day", "part"), no)
+    return table.read().select("dedupe_key", F.unix_seconds("first_fetched_at").alias("first_s"), "raw_index", "content_hash", "publisher", "language")
+
+
+QUERIES = {q.__name__: q for q in (g12_number_gates, d4_number_claims, p13_filters, s6_append, s6_guarded_upsert)}
 
 _NUMBERS = r"list_distinct(regexp_extract_all({}, '[0-9]+(?:\.[0-9]+)?'))"
 TITLES = f"""
@@ -137,6 +152,12 @@ ORACLES = {
         from claims join texts a on a.id = current_id join texts b on b.id = p_id
     """,
     "p13_filters": "select doc_id, nullif(trim(coalesce(source, '')), '') as source from documents",
+    "s6_guarded_upsert": f"""
+        with {FETCHED}, days as (select day, ntile(3) over (order by day) as part from (select distinct date_trunc('minute', fetched_at) as day from docs)),
+        b as (select docs.*, case part when 1 then 0 when 3 then 1 else 3 end as no from docs join days on day = date_trunc('minute', fetched_at)),
+        firsts as (select dedupe_key, arg_min(fetched_at, struct_pack(no, fetched_at, raw_index)) as first_at, max(struct_pack(fetched_at, raw_index)) as last from b group by all)
+        select dedupe_key, epoch(first_at)::bigint as first_s, raw_index, content_hash, publisher, language from firsts join docs using (dedupe_key) where struct_pack(docs.fetched_at, docs.raw_index) = last
+    """,
     "s6_append": "select o_orderstatus, count(*) as n, sum(round(o_totalprice * 100)::bigint)::bigint as cents from orders group by all",
     "a1_latest_pointers": f"""
         with {FETCHED}, s as (select dedupe_key, content_hash, min(raw_index) as raw_index from docs group by all), latest as (select dedupe_key, max(raw_index) as raw_index from s group by all)

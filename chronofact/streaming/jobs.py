@@ -5,44 +5,48 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronofact.operators.versioning import add_snapshots, advance_latest, item_id, upsert_items
-from chronofact.sources.sinks import exists
+from chronofact.operators.versioning import META, item_id, snapshot_id
+from chronofact.sources.state import KeyedState
 
 CHANGE = "company_key string, product_key string, field string, change_type string, previous_value string, current_value string, previous_snapshot_id string, current_snapshot_id string, detected_at timestamp"
+#: Columns of a document that stay those of its item's first one.
+IDENTITY = ("source_id", "canonical_url")
 STATE = "observed_at timestamp, snapshot_id string, extraction_version int, id string, value string, disclosure_status string"
 
 
-def stream_ingest(docs: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Ingests a stream of documents: snapshots are appended under root/snapshots, the item state is written by batch
-    under root/items.
+def ingested(spark: SparkSession, root: str, buckets: int = 64) -> tuple[KeyedState, KeyedState]:
+    """The stored items and snapshots of ``stream_ingest``: items are guarded by their latest tuple, snapshots only added."""
+    items = KeyedState(spark, f"{root}/items", ["dedupe_key"], ["latest_fetched_at", "latest_snapshot_id"], ["item_id", "first_fetched_at", "first_index", *IDENTITY], ["first_fetched_at", "first_index"], buckets)
+    return items, KeyedState(spark, f"{root}/snapshots", ["item_id", "content_hash"], first_by=["fetched_at", "raw_index"], buckets=buckets)
 
-    A batch that is run again overwrites its own outputs and reads only those of earlier batches, so replays change
-    nothing. Every row is recorded however late it is. Of the snapshots stored before, those of the batch's items alone
-    are joined. A batch whose predecessor is missing fails, as its items would all count as new.
+
+def stream_ingest(docs: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Ingests a stream of documents into stored snapshots and items (see ``ingested``), at the cost of the batch and the
+    buckets that it touches.
+
+    New contents of an item are added once; the item's pointer and metadata move to the greatest (fetched_at,
+    snapshot_id) of new snapshots and only forwards, so late documents are recorded and change no pointer. A batch that
+    is run again finds its own snapshots and changes nothing more. A batch whose predecessor is missing fails, as its
+    items would all count as new.
     """
 
     def batch(df: DataFrame, no: int) -> None:
-        spark = df.sparkSession
-        items, snapshots = f"{root}/items", f"{root}/snapshots"
-        last = f"{items}/batch={no - 1:012d}"
-        if no and not exists(spark, last):
-            raise RuntimeError(f"batch {no} has no state to start from: {last} is missing")
-        stored = spark.read.parquet(last) if no else None
-        keyed = df.where("dedupe_key is not null").withColumn("item_id", item_id())
-        old = None
-        if no:
-            old = spark.read.parquet(snapshots).where(F.col("batch") < no).drop("batch").join(keyed.select("item_id").distinct(), "item_id", "left_semi")
-        add_snapshots(old, keyed).write.mode("overwrite").parquet(f"{snapshots}/batch={no:012d}")
-        new = spark.read.parquet(f"{snapshots}/batch={no:012d}")
-        up = upsert_items(stored, df).drop("created")
-        if stored is not None:
-            up = up.join(stored.drop(*[c for c in up.columns if c != "item_id"]), "item_id", "left")
-        advance_latest(up, new).drop("advanced").write.mode("overwrite").parquet(f"{items}/batch={no:012d}")
+        items, snapshots = ingested(df.sparkSession, root, buckets)
+        if no and min(items.applied, snapshots.applied) < no - 1:
+            raise RuntimeError(f"batch {no} has no state to start from: batch {no - 1} is missing in {root}")
+        for state in (items, snapshots):
+            if state.applied < no and state.compact():
+                state.vacuum()
+        keyed = df.where("dedupe_key is not null").withColumn("item_id", item_id()).withColumn("snapshot_id", snapshot_id())
+        new = snapshots.upsert(keyed, no)
+        identity = [c for c in IDENTITY if c in new.columns]
+        pointers = new.select("dedupe_key", "item_id", F.col("fetched_at").alias("first_fetched_at"), F.col("raw_index").alias("first_index"), *identity, F.col("fetched_at").alias("latest_fetched_at"), F.col("snapshot_id").alias("latest_snapshot_id"), *[c for c in META if c in new.columns])
+        items.upsert(pointers, no)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

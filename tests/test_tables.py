@@ -177,9 +177,10 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
     jobs.stream_ingest(source, f"file://{tmp_path}/t", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     items, new, _ = v.ingest(None, None, df)
-    got = spark.read.option("mergeSchema", True).parquet(f"file://{tmp_path}/t/items/batch=000000000001")
-    assert sorted((r["dedupe_key"], r["title"]) for r in got.collect()) == sorted((r["dedupe_key"], r["title"]) for r in items.collect())
-    assert spark.read.parquet(f"file://{tmp_path}/t/snapshots").count() == new.count()
+    stored, snapshots = jobs.ingested(spark, f"file://{tmp_path}/t")
+    same = ("dedupe_key", "title", "item_id", "latest_fetched_at", "latest_snapshot_id")
+    assert sorted(tuple(r[c] for c in same) for r in stored.read().collect()) == sorted(tuple(r[c] for c in same) for r in items.collect())
+    assert sorted(r["snapshot_id"] for r in snapshots.read().collect()) == sorted(r["snapshot_id"] for r in new.collect())
 
 
 def test_ingest_needs_its_predecessor(spark, tmp_path):
@@ -197,9 +198,13 @@ def test_ingest_needs_its_predecessor(spark, tmp_path):
 
     run([("a", "x", 1, "p"), ("b", "y", 2, "p")])
     run([("a", "x", 3, "p"), ("a", "z", 4, "p"), ("c", "y", 5, "p")])
-    got = spark.read.parquet(f"{root}/snapshots").select("dedupe_key", "content_hash", "batch").collect()
-    assert sorted(map(tuple, got)) == [("a", "x", 0), ("a", "z", 1), ("b", "y", 0), ("c", "y", 1)]
-    shutil.rmtree(tmp_path / "out/items/batch=000000000001")
+    items, snapshots = jobs.ingested(spark, root)
+    got = snapshots.read().select("dedupe_key", "content_hash", "raw_index").collect()
+    assert sorted(map(tuple, got)) == [("a", "x", 1), ("a", "z", 4), ("b", "y", 2), ("c", "y", 5)]
+    # A batch that is run again finds its own rows and adds none.
+    again = snapshots.upsert(snapshots.read().limit(0), 1)
+    assert sorted(r["content_hash"] for r in again.collect()) == ["y", "z"] and snapshots.read().count() == 4
+    shutil.rmtree(tmp_path / "out/items")
     with pytest.raises(Exception, match="no state to start from"):
         run([("d", "w", 6, "p")])
 
