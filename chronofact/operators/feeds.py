@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofact.operators.ordered import with_position
+
 
 def with_windows(requests: DataFrame) -> DataFrame:
     """(digest_date, since) requests -> with window_start, window_end (end excluded) and ok.
@@ -96,16 +98,11 @@ def digests_feed(digests: DataFrame, limit: int, after: tuple | None = None, dat
 def paginate_all(df: DataFrame, ts: str, key: str, page_size: int) -> DataFrame:
     """Adds position (from 0) and page (from 1) of every row in descending (time, id) order.
 
-    Rows are numbered within each day, and days carry the number of rows before them, so no task sorts the whole feed.
-    Every row is on one page; ties go by id. Rows without a time come last.
+    Rows are sorted by ranges of (time, id), so neither a hot day nor many rows without a time end in one task (see
+    ``with_position``). Every row is on one page; ties go by id. Rows without a time come last.
     """
-    day = F.to_date(ts)
-    rows = df.withColumn("_day", F.coalesce(day, F.lit("0001-01-01").cast("date")))
-    sums = rows.groupBy("_day").agg(F.count("*").alias("_n"))
-    before = sums.select("_day", (F.sum("_n").over(Window.orderBy(F.desc("_day"))) - F.col("_n")).alias("_before"))
-    w = Window.partitionBy("_day").orderBy(F.desc_nulls_last(ts), F.desc(key))
-    numbered = rows.withColumn("_no", F.row_number().over(w) - 1).join(before, "_day")
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_no")).alias("position")).withColumn("page", F.floor(F.col("position") / page_size) + 1)
+    numbered = with_position(df, [F.desc_nulls_last(ts), F.desc(key)])
+    return numbered.withColumn("page", F.floor(F.col("position") / page_size) + 1)
 
 
 def latest_published(digests: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofact.functions.text import as_number, normalise_name
-from chronofact.operators.ordered import with_previous
+from chronofact.operators.ordered import as_of, scanned, with_previous
 
 KEYS = ["company_key", "product_key", "field"]
 ORDER = ["observed_at", "snapshot_id", "extraction_version", "id"]
@@ -127,10 +127,13 @@ def change_shape_ok(previous: Column, current: Column, kind: Column) -> Column:
     return F.when(kind == "not_disclosed", grounded(previous) & withheld).when(kind == "disclosed", grounded(current) & opened).otherwise(grounded(previous) & grounded(current))
 
 
-def assign_positions(changes: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Adds position, contiguous from 0 in each change set and going on after its greatest stored one."""
-    w = Window.partitionBy("change_set_id").orderBy("detected_at", "field", "id")
-    out = changes.withColumn("position", F.row_number().over(w) - 1)
+def assign_positions(changes: DataFrame, existing: DataFrame | None = None, bucket: str = "day") -> DataFrame:
+    """Adds position, contiguous from 0 in each change set and going on after its greatest stored one.
+
+    A set's changes are numbered by (detected_at, field, id) within its days; ``bucket`` is that unit of time.
+    """
+    out = scanned(changes, ["change_set_id"], ["detected_at", "field", "id"], F.date_trunc(bucket, "detected_at"), number="_number")
+    out = out.withColumn("position", (F.col("_number") - 1).cast("int")).drop("_number")
     if existing is None:
         return out
     top = existing.groupBy("change_set_id").agg((F.max("position") + 1).alias("_next"))
@@ -162,16 +165,20 @@ def changes_for_snapshots(changes: DataFrame, subjects: DataFrame, snapshots: Da
     return wanted.join(names, ["company_key", "product_key"])
 
 
-def field_history(facts: DataFrame) -> DataFrame:
-    """Superseded facts of each key with their number in order; the current one is left out."""
-    top = facts.groupBy(*KEYS).agg(F.max(F.struct(*ORDER)).alias("_top"))
-    w = Window.partitionBy(*KEYS).orderBy(*ORDER)
-    return facts.join(top, KEYS).where(F.struct(*ORDER) < F.col("_top")).drop("_top").withColumn("position", F.row_number().over(w) - 1)
+def field_history(facts: DataFrame, bucket: str = "day") -> DataFrame:
+    """Superseded facts of each key with their number in order; the current one, the last, is left out."""
+    rows = scanned(facts, KEYS, ORDER, F.date_trunc(bucket, "observed_at"), number="_number", lead={"_following": F.lit(1)})
+    return rows.where("_following is not null").select(*facts.columns, (F.col("_number") - 1).cast("int").alias("position"))
 
 
 def history_intervals(facts: DataFrame, bucket: str = "day") -> DataFrame:
     """Runs of equal value and status of each key -> value, disclosure_status, valid_from, valid_to (null: still valid)."""
     state = F.struct("value", "disclosure_status")
-    starts = with_previous(facts, KEYS, ORDER, F.date_trunc(bucket, "observed_at"), {"_before": state}).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state))
-    w = Window.partitionBy(*KEYS).orderBy(*ORDER)
-    return starts.select(*KEYS, "value", "disclosure_status", F.col("observed_at").alias("valid_from"), F.lead("observed_at").over(w).alias("valid_to"))
+    unit = F.date_trunc(bucket, "observed_at")
+    starts = with_previous(facts, KEYS, ORDER, unit, {"_before": state}).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state))
+    return scanned(starts, KEYS, ORDER, unit, lead={"valid_to": F.col("observed_at")}).select(*KEYS, "value", "disclosure_status", F.col("observed_at").alias("valid_from"), "valid_to")
+
+
+def facts_as_of(facts: DataFrame, probes: DataFrame, keys: list[str] = KEYS, at: str = "observed_at", bucket: str = "day", values: tuple[str, ...] = ("value", "disclosure_status")) -> DataFrame:
+    """probes (the keys and ``at``) with the values of the facts that held at their time: the last at or before it."""
+    return as_of(facts.withColumn(at, F.col("observed_at")), probes, list(keys), [c for c in ORDER if c != at], at, F.date_trunc(bucket, at), list(values))

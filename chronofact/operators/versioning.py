@@ -5,11 +5,12 @@ Documents have: dedupe_key, content_hash, content_text, fetched_at, raw_index an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.functions.text import digest_key
 from chronofact.functions.urls import canonical_url
+from chronofact.operators.ordered import scanned
 
 META = ["publisher", "title", "published_at", "updated_at", "authors", "tags", "language", "event_id"]
 
@@ -70,7 +71,8 @@ def advance_latest(items: DataFrame, new_snapshots: DataFrame) -> DataFrame:
 def ingest(items: DataFrame | None, snapshots: DataFrame | None, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A batch of documents -> (items, new snapshots, outcomes).
 
-    Outcomes has a row per document: whether it created its item, its snapshot, and is the item's latest now.
+    Outcomes has a row per document: whether it created its item (the first by fetched_at and raw_index, which tells
+    documents apart), its snapshot, and is the item's latest now.
     """
     stored = None if items is None else items
     upserted = upsert_items(stored, docs)
@@ -79,7 +81,8 @@ def ingest(items: DataFrame | None, snapshots: DataFrame | None, docs: DataFrame
     base = upserted if items is None else upserted.join(items.select("item_id", *[c for c in items.columns if c.startswith("latest_") or c in META]), "item_id", "left")
     state = advance_latest(base, new)
     created = new.select("item_id", "content_hash", F.col("fetched_at").alias("_f"), F.col("raw_index").alias("_i"), "snapshot_id")
-    firsts = upserted.where("created").select("item_id", F.col("first_fetched_at").alias("_first"))
+    earliest = keyed.groupBy("item_id").agg(F.min(F.struct("fetched_at", "raw_index")).alias("_first"))
+    firsts = upserted.where("created").select("item_id").join(earliest, "item_id")
     outcome = (
         keyed.join(created, (keyed["item_id"] == created["item_id"]) & (keyed["content_hash"] == created["content_hash"]) & (F.col("fetched_at") == F.col("_f")) & (F.col("raw_index") == F.col("_i")), "left")
         .drop(created["item_id"])
@@ -87,15 +90,18 @@ def ingest(items: DataFrame | None, snapshots: DataFrame | None, docs: DataFrame
         .join(firsts, "item_id", "left")
         .join(state.where("advanced").select("item_id", F.col("latest_snapshot_id").alias("_latest")), "item_id", "left")
     )
-    first_doc = F.row_number().over(Window.partitionBy("item_id").orderBy("fetched_at", "raw_index")) == 1
-    outcomes = outcome.select(*docs.columns, "item_id", (F.col("_first").isNotNull() & first_doc).alias("item_created"), F.col("snapshot_id").isNotNull().alias("snapshot_created"), F.coalesce(F.col("snapshot_id") == F.col("_latest"), F.lit(False)).alias("advanced"))
+    first_doc = F.coalesce(F.struct("fetched_at", "raw_index") == F.col("_first"), F.lit(False))
+    outcomes = outcome.select(*docs.columns, "item_id", first_doc.alias("item_created"), F.col("snapshot_id").isNotNull().alias("snapshot_created"), F.coalesce(F.col("snapshot_id") == F.col("_latest"), F.lit(False)).alias("advanced"))
     return state, new, outcomes
 
 
-def snapshot_history(snapshots: DataFrame) -> DataFrame:
-    """Adds revision (from 1), previous_hash and next_fetched_at of each item's snapshots by (fetched_at, snapshot_id)."""
-    w = Window.partitionBy("item_id").orderBy("fetched_at", "snapshot_id")
-    return snapshots.select("*", F.row_number().over(w).alias("revision"), F.lag("content_hash").over(w).alias("previous_hash"), F.lead("fetched_at").over(w).alias("next_fetched_at"))
+def snapshot_history(snapshots: DataFrame, bucket: str = "day") -> DataFrame:
+    """Adds revision (from 1), previous_hash and next_fetched_at of each item's snapshots by (fetched_at, snapshot_id).
+
+    Snapshots are sorted within an item's days (``bucket``), and days are stitched by one row each.
+    """
+    rows = scanned(snapshots, ["item_id"], ["fetched_at", "snapshot_id"], F.date_trunc(bucket, "fetched_at"), number="revision", lag={"previous_hash": F.col("content_hash")}, lead={"next_fetched_at": F.col("fetched_at")})
+    return rows.withColumn("revision", F.col("revision").cast("int"))
 
 
 def item_identity_collapse(raw: DataFrame, url: str = "raw_url") -> DataFrame:

@@ -120,7 +120,14 @@ def h15_intervals(spark, sf_dir):
     return h.history_intervals(facts).select("company_key", "field", "value", "disclosure_status", "valid_from", "valid_to")
 
 
-QUERIES = {f.__name__: f for f in (h1_record_facts, h2_current_facts, h3_read_current, h4_fact_changes, h4_incremental, h5_tolerant_changes, h6_change_types, h7_latest_confirmation, h8_change_shapes, h9_change_sets, h10_positions, h11_change_sets_built, h12_citations, h13_changes_for_snapshots, h14_field_history, h15_intervals)}
+def h15_as_of(spark, sf_dir):
+    """Every event with what its user's last purchase up to then was worth."""
+    facts = observations(spark, sf_dir).where("field = 'purchase'").select(*h.ORDER, "company_key", "value", "disclosure_status")
+    probes = observations(spark, sf_dir).select("company_key", F.col("id").alias("event_id"), "observed_at")
+    return h.facts_as_of(facts, probes, ["company_key"]).select("event_id", "value", "disclosure_status")
+
+
+QUERIES = {f.__name__: f for f in (h1_record_facts, h2_current_facts, h3_read_current, h4_fact_changes, h4_incremental, h5_tolerant_changes, h6_change_types, h7_latest_confirmation, h8_change_shapes, h9_change_sets, h10_positions, h11_change_sets_built, h12_citations, h13_changes_for_snapshots, h14_field_history, h15_intervals, h15_as_of)}
 
 _SET = "sha256(concat('batch', chr(1), company_key, chr(1), product_key))"
 _ID = "sha256(concat(company_key, chr(1), product_key, chr(1), field, chr(1), snapshot_id, chr(1), '1'))"
@@ -159,4 +166,8 @@ ORACLES = {
         s as (select * from f window w as (partition by company_key, field order by observed_at, id) qualify lag(id) over w is null or v is distinct from lag(v) over w or disclosure_status is distinct from lag(disclosure_status) over w)
         select company_key, field, v as value, disclosure_status, observed_at as valid_from, lead(observed_at) over (partition by company_key, field order by observed_at, id) as valid_to from s
     """,
+    "h15_as_of": f"""
+        with {OBSERVATIONS}, facts as (select company_key, observed_at, id, value, disclosure_status from obs where field = 'purchase' qualify row_number() over (partition by company_key, observed_at order by id desc) = 1)
+        select o.id as event_id, f.value, f.disclosure_status from obs o asof left join facts f on o.company_key = f.company_key and o.observed_at >= f.observed_at
+    """,
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "chronofact", cores: int | None = None, memory: str = "12g") -> SparkSession:
@@ -44,6 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back, which cuts lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers of a session that would not find it by themselves.
 
