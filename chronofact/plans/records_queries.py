@@ -229,16 +229,39 @@ def _drain(df, mode):
     return spark.read.schema(df.schema).parquet(out)
 
 
-def t3_stream_changes(spark, sf_dir):
-    """Changes by keyed state over a stream of events; equal to the batch result for one batch in order."""
-    def facts(ev):
-        hidden = F.col("event_id") % 17 == 0
-        return ev.select(F.concat(F.lit("company "), F.col("user_id").cast("string")).alias("company_key"), F.lit("usage").alias("product_key"), F.col("event_type").alias("field"), F.col("ts").cast("timestamp").alias("observed_at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("snapshot_id"), F.lit(1).alias("extraction_version"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.when(~hidden, F.col("value").cast("string")).alias("value"), F.when(hidden, F.lit("not_disclosed")).otherwise(F.lit("disclosed")).alias("disclosure_status"))
+def _in_turn(spark, parts, start):
+    """Runs a stream over parts that arrive one after the other: each is one batch, from the checkpoint of those before."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        start(spark.readStream.schema(part.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return root
+
+
+def _changes_in_turn(spark, sf_dir):
+    """Facts from the 8th on as a stream of three weeks, from the state at that day; a part of the 8th comes with the last one, too late."""
+    facts = observations(spark, sf_dir).drop("company", "product").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    early, late = facts.where("observed_at < '2024-01-08'"), F.expr("observed_at < '2024-01-09' and id % 11 = 0")
+    days = [facts.where(f"observed_at >= '2024-01-{a:02d}' and observed_at < '2024-{b}'") for a, b in ((8, "01-15"), (15, "01-22"), (22, "02-22"))]
+    parts = [days[0].where(~late), days[1], days[2].unionByName(days[0].where(late))]
+
+    def start(stream, out, checkpoint):
+        return jobs.batches_into(jobs.stream_changes(stream, "1 day", h.current_facts(early)), out, checkpoint)
+
+    return _in_turn(spark, parts, start)
 
-    out = _drain(jobs.stream_changes(_stream(spark, sf_dir, "events", facts)), "append")
+
+def t3_stream_changes(spark, sf_dir):
+    """Changes by keyed state over a stream of events that starts from a stored state, up to its last watermark."""
+    out = spark.read.parquet(f"{_changes_in_turn(spark, sf_dir)}/out")
     return out.select("company_key", "field", "change_type", F.col("previous_snapshot_id").cast("long").alias("previous_id"), F.col("current_snapshot_id").cast("long").alias("current_id"))
 
 
+def t3_stream_state(spark, sf_dir):
+    """The state of that stream as it is stored: the last fact of each key that the watermark has passed."""
+    return jobs.stream_state(spark, f"{_changes_in_turn(spark, sf_dir)}/checkpoint").select("company_key", "field", F.col("id").cast("long").alias("id"), "value")
+
+
 def t2_stream_dedupe(spark, sf_dir):
     """First event of each user, type and whole value in the stream."""
     def docs(ev):
@@ -248,8 +271,11 @@ def t2_stream_dedupe(spark, sf_dir):
 
 
 def t4_stream_rate_limit(spark, sf_dir):
-    out = _drain(jobs.stream_rate_limit(_stream(spark, sf_dir, "events", lambda ev: ev.select("event_type", F.col("ts").cast("timestamp").alias("ts"))), "1 hour", ["event_type"]), "complete")
-    return out.groupBy("event_type", "window_start").agg(F.max("requests").alias("requests")).select("event_type", F.unix_seconds("window_start").alias("window_s"), "requests")
+    """Which events of each type are allowed, three an hour, over a stream of three weeks and a batch that is run again."""
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    parts = [ev.where(f"ts < '2024-01-{b:02d}' and ts >= '2024-01-{a:02d}'") for a, b in ((1, 11), (11, 21))] + [ev.where("ts >= '2024-01-21' or ts < '2024-01-01'")]
+    root = _in_turn(spark, parts, lambda stream, out, checkpoint: jobs.batches_into(jobs.stream_rate_limit(stream, "1 hour", 3, ["event_type"]), out, checkpoint, "update"))
+    return spark.read.parquet(f"{root}/out").select("id", "allowed")
 
 
 def t1_stream_ingest(spark, sf_dir):
@@ -290,7 +316,7 @@ def z4_metrics(spark, sf_dir):
     return gr.operational_metrics(runs).select("source_id", "runs", F.round("success_rate", 9).alias("success_rate"), "last_success")
 
 
-QUERIES = {f.__name__: f for f in (a1_foreign_keys, a1_latest_pointers, a1_current_facts, a2_unique_keys, a3_checks, a4_provenance, a5_append_only, a6_publication, q1_entries, q2_articles, q3_collection_report, q5_batch_status, q6_run_reports, q7_run_health, q8_combined_status, s2_feed_entries, s3_articles, s3_titles, u1_states, u2_live_tokens, u3_rate_limits, u3_rate_limit_counts, u4_networks, u5_retention, u6_emails, t1_stream_ingest, t2_stream_dedupe, t3_stream_changes, t4_stream_rate_limit, z1_similar_titles, z2_event_groups, z3_due_sources, z4_metrics, z5_change_details)}
+QUERIES = {f.__name__: f for f in (a1_foreign_keys, a1_latest_pointers, a1_current_facts, a2_unique_keys, a3_checks, a4_provenance, a5_append_only, a6_publication, q1_entries, q2_articles, q3_collection_report, q5_batch_status, q6_run_reports, q7_run_health, q8_combined_status, s2_feed_entries, s3_articles, s3_titles, u1_states, u2_live_tokens, u3_rate_limits, u3_rate_limit_counts, u4_networks, u5_retention, u6_emails, t1_stream_ingest, t2_stream_dedupe, t3_stream_changes, t3_stream_state, t4_stream_rate_limit, z1_similar_titles, z2_event_groups, z3_due_sources, z4_metrics, z5_change_details)}
 
 RUNS = """
     r as (select l_orderkey as run_id, count(*) as selected, count(*) filter (where l_orderkey % 5 = 0 and l_quantity > 45) as failed,
@@ -306,6 +332,11 @@ COLLECTED = """
             from (select distinct source from documents where source is not null) s left join f on f.source = s.source group by s.source),
     st as (select *, case when fetched = 0 then 'failed' when failed > 0 then 'partial' else 'ok' end as status from col)
 """
+STREAMED = f"""
+    {OBSERVATIONS},
+    taken as (select * from obs where (observed_at < timestamp '2024-01-08' or observed_at <= (select max(observed_at) from obs) - interval 1 day) and not (observed_at >= timestamp '2024-01-08' and observed_at < timestamp '2024-01-09' and id % 11 = 0)),
+    pairs as (select *, lag(id) over w as p_id, lag(value) over w as p_value, lag(disclosure_status) over w as p_status from taken window w as (partition by company_key, field order by observed_at, id::varchar))
+"""
 ORACLES = {
     "a1_foreign_keys": "select 'order_customer' as audit, o_custkey::varchar as key, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 50 <> 0) group by o_custkey union all select 'line_order', l_orderkey::varchar, count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 97 <> 0) group by l_orderkey",
     "a1_current_facts": f"with {OBSERVATIONS}, c as (select * from obs qualify row_number() over (partition by company_key, field order by observed_at desc, id desc) = 1) select 'current_fact' as audit, id::varchar as key, 1::bigint as n from c where id % 10 = 0",
@@ -349,7 +380,13 @@ ORACLES = {
     "u5_retention": "select event_id as id from events where (event_id % 2 = 0 or event_id % 7 = 0) and (event_id % 2 = 0 or event_id % 5 = 0 or event_id % 7 = 0) and greatest(case when event_id % 2 = 0 then ts + interval 2 day end, case when event_id % 5 = 0 then ts + interval 1 hour end, case when event_id % 7 = 0 then ts + interval 3 hour end) <= timestamp '2024-04-12' - interval 90 day",
     "t1_stream_ingest": "select 'sha256:' || (n_chars % 200) as dedupe_key, 'sha256:' || sha256(coalesce(text, '')) as content_hash, min(doc_id) as raw_index from documents group by all",
     "t2_stream_dedupe": "select distinct user_id || '-' || event_type as dedupe_key, floor(value)::bigint::varchar as content_hash from events",
-    "t4_stream_rate_limit": "select event_type, epoch(time_bucket(interval '1 hour', ts))::bigint as window_s, count(*) as requests from events group by all",
+    "t3_stream_changes": f"""
+        with {STREAMED}
+        select company_key, field, case when p_value is null then 'disclosed' when value is null then 'not_disclosed' when value::double > p_value::double then 'increased' when value::double < p_value::double then 'decreased' else 'changed' end as change_type, p_id as previous_id, id as current_id
+        from pairs where observed_at >= timestamp '2024-01-08' and p_id is not null and (value is distinct from p_value or disclosure_status is distinct from p_status)
+    """,
+    "t3_stream_state": f"with {STREAMED} select company_key, field, arg_max(id, (observed_at, id::varchar)) as id, arg_max(struct_pack(value), (observed_at, id::varchar)).value as value from taken group by all",
+    "t4_stream_rate_limit": "select event_id as id, row_number() over (partition by event_type, time_bucket(interval '1 hour', ts) order by ts, event_id) <= 3 as allowed from events",
     "z5_change_details": f"with {CHANGES} select company, field, change_type, snapshot_id as current_id from changes where change_type = 'not_disclosed'",
     "z4_metrics": "select event_type as source_id, count(*) as runs, round(count(*) filter (where event_id % 9 <> 0) / count(*), 9) as success_rate, max(ts) filter (where event_id % 9 <> 0) as last_success from events group by all",
 }

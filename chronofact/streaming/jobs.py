@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from chronofact.operators.versioning import META, item_id, snapshot_id
 from chronofact.sources.state import KeyedState
+from chronofact.streaming.kinds import change_kind
 
-CHANGE = "company_key string, product_key string, field string, change_type string, previous_value string, current_value string, previous_snapshot_id string, current_snapshot_id string, detected_at timestamp"
+CHANGE = "company_key string, product_key string, field string, change_type string, previous_value string, current_value string, previous_snapshot_id string, current_snapshot_id string, detected_us long"
 #: Columns of a document that stay those of its item's first one.
 IDENTITY = ("source_id", "canonical_url")
-STATE = "observed_at timestamp, snapshot_id string, extraction_version int, id string, value string, disclosure_status string"
+FACT = "observed_us long, snapshot_id string, extraction_version int, id string, value string, disclosure_status string"
+CHANGE_KEYS, FACT_COLUMNS = ("company_key", "product_key", "field"), tuple(c.split()[0] for c in FACT.split(", "))
+CHANGE_ROW = Row(*(c.split()[0] for c in CHANGE.split(", ")))
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ingested(spark: SparkSession, root: str, buckets: int = 64) -> tuple[KeyedState, KeyedState]:
@@ -56,36 +60,174 @@ def stream_dedupe(docs: DataFrame, delay: str, ts: str = "fetched_at") -> DataFr
     return docs.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["dedupe_key", "content_hash"])
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Holds one key's greatest tuple; rows above it move it, and those that differ from it are changes."""
-    from chronofact.streaming.kinds import change_kind
+class _Changes(StatefulProcessor):
+    """One key's greatest tuple so far, rows that wait for the watermark, and a timer for each time at which some wait.
 
-    held = state.get if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["observed_at", "snapshot_id", "extraction_version", "id"])
-    out = []
-    for r in rows[["observed_at", "snapshot_id", "extraction_version", "id", "value", "disclosure_status"]].itertuples(index=False, name=None):
-        r = tuple(None if v is pd.NaT or (isinstance(v, float) and v != v) else v for v in r)
-        if held is not None and r[:4] <= tuple(held[:4]):
-            continue
-        if held is not None and held[1] != r[1] and (held[4], held[5]) != (r[4], r[5]):
-            out.append((*key, change_kind(held[4], r[4]), held[4], r[4], held[1], r[1], r[0]))
-        held = r
-    if held is not None:
-        state.update(held)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
+    Rows are taken in order of their times by the timers, so a key's rows never meet in memory; only those of one
+    millisecond are sorted together.
+    """
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", FACT)
+        self.waiting = handle.getMapState("waiting", "at long", f"facts array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in FACT.split(', ')))}>>")
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
+        self.held.update(tuple(initialState[c] for c in FACT_COLUMNS))
+        self._keep_until(initialState["observed_us"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.held.get() if self.held.exists() else None
+        for r in rows:
+            fact = tuple(r[c] for c in FACT_COLUMNS)
+            if held is not None and _tuple(fact) <= _tuple(held):
+                continue
+            at = _ms(fact[0])
+            others = self.waiting.getValue((at,))
+            self.waiting.updateValue((at,), ([*(others[0] if others else ()), fact],))
+            if not others:
+                self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        held = self.held.get() if self.held.exists() else None
+        waiting = self.waiting.getValue((at,))
+        if not waiting:
+            if self.idle is not None and held is not None and _ms(held[0]) + self.idle <= at:
+                self.held.clear()
+            return
+        self.waiting.removeKey((at,))
+        for fact in sorted(map(tuple, waiting[0]), key=_tuple):
+            if held is not None and _tuple(fact) <= _tuple(held):
+                continue
+            if held is not None and self.idle is not None and _ms(held[0]) + self.idle <= at:
+                held = None
+            if held is not None and held[1] != fact[1] and held[4:6] != fact[4:6]:
+                yield CHANGE_ROW(*key, change_kind(held[4], fact[4]), held[4], fact[4], held[1], fact[1], fact[0])
+            held = fact
+        self.held.update(held)
+        self._keep_until(held[0])
+
+    def _keep_until(self, last: int) -> None:
+        if self.idle is not None:
+            self.handle.registerTimer(_ms(last) + self.idle)
+
+    def close(self) -> None:
+        pass
+
+
+def _tuple(fact: tuple) -> tuple:
+    """The order of a key's facts; nulls come first, as in Spark."""
+    return tuple((v is not None, v) if v is not None else (False,) for v in fact[:4])
+
+
+def _ms(micros: int) -> int:
+    """Milliseconds, rounded up: a watermark there has passed the time itself."""
+    return -(-micros // 1000)
+
+
+def stream_changes(facts: DataFrame, delay: str = "0 seconds", state: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Changes of a stream of facts, with one tuple of state for each (company, product, field).
+
+    facts: the keys, observed_at, snapshot_id, extraction_version, id, value, disclosure_status. Facts wait until the
+    watermark, ``delay`` behind the latest time seen, has passed them, and are then taken in order of their tuples however
+    they arrived; later ones, at or below the held tuple, give nothing and belong in the fact table all the same. ``state``
+    has the tuples to start from, one row a key, as ``history.current_facts`` gives. A key without facts for ``idle_ms``
+    milliseconds is forgotten (its next fact is a first one); by default none is. The stored state can be read with
+    ``stream_state``. Needs the RocksDB state store, which is set on the session.
+    """
+    facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+    def lean(df: DataFrame) -> DataFrame:
+        at = F.col("observed_at").cast("timestamp")
+        return df.select(*CHANGE_KEYS, at.alias("observed_at"), F.unix_micros(at).alias("observed_us"), F.col("snapshot_id").cast("string").alias("snapshot_id"), F.col("extraction_version").cast("int").alias("extraction_version"), F.col("id").cast("string").alias("id"), "value", "disclosure_status")
+
+    start = None if state is None else lean(state).drop("observed_at").groupBy(*CHANGE_KEYS)
+    found = lean(facts).withWatermark("observed_at", delay).groupBy(*CHANGE_KEYS).transformWithState(_Changes(idle_ms), CHANGE, "Append", "EventTime", start)
+    return found.withColumn("detected_us", F.timestamp_micros("detected_us")).withColumnRenamed("detected_us", "detected_at")
+
+
+def stream_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The held tuples of ``stream_changes`` as its checkpoint stores them: the keys and the columns of a fact."""
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held").load()
+    return held.select(*[F.col(f"key.{k}") for k in CHANGE_KEYS], F.timestamp_micros("value.observed_us").alias("observed_at"), *[F.col(f"value.{c}") for c in FACT_COLUMNS[1:]])
+
+
+class _Limits(StatefulProcessor):
+    """One identity's counter of a window: how many requests it has had. A timer closes it when the watermark passes its end."""
+
+    def __init__(self, limit: int, columns: tuple[str, ...]) -> None:
+        self.limit, self.columns = limit, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n long")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        *identity, end_ms = key
+        if end_ms <= timerValues.getCurrentWatermarkInMs():
+            return
+        answer = Row(*self.columns)
+        had = self.count.get()[0] if self.count.exists() else 0
+        if not had:
+            self.handle.registerTimer(end_ms)
+        # The free places go to the least requests of the batch; only those are held.
+        free, n, best = max(self.limit - had, 0), 0, []
+        for r in rows:
+            n += 1
+            one = _Reversed((r["at_us"], r["request"]))
+            if len(best) < free:
+                heapq.heappush(best, one)
+            else:
+                out = heapq.heappushpop(best, one) if best else one
+                yield answer(*identity, out.value[1], out.value[0], False)
+        for one in best:
+            yield answer(*identity, one.value[1], one.value[0], True)
+        self.count.update((had + n,))
 
-def stream_changes(facts: DataFrame) -> DataFrame:
-    """Changes of a stream of facts, with one tuple of state for each (company, product, field) and no expiry.
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.count.clear()
+        return iter(())
 
-    facts: the keys, observed_at, snapshot_id, extraction_version, id, value, disclosure_status. Late rows, at or below
-    the held tuple, give nothing; they belong in the fact table all the same.
+    def close(self) -> None:
+        pass
+
+
+class _Reversed:
+    """Turns the order round, so that a heap gives its greatest entry first."""
+
+    def __init__(self, value: tuple) -> None:
+        self.value = value
+
+    def __lt__(self, other: _Reversed) -> bool:
+        return self.value > other.value
+
+
+def stream_rate_limit(requests: DataFrame, window: str, limit: int, keys: list[str], ts: str = "ts", request: str = "id", keep: str = "24 hours") -> DataFrame:
+    """Whether each request of a stream is allowed -> keys (as text), request (as long), ts, allowed.
+
+    Windows are aligned to the epoch. An identity has ``limit`` requests in each; earlier batches come first, and within a
+    batch those of least (ts, request). A counter is closed when the watermark, ``keep`` behind the latest time, passes its
+    window; requests that are later than that get no answer. Nulls in a key are an identity like others. Needs the RocksDB
+    state store, which is set on the session.
     """
-    keys = ["company_key", "product_key", "field"]
-    cols = facts.select(*keys, "observed_at", F.col("snapshot_id").cast("string").alias("snapshot_id"), "extraction_version", F.col("id").cast("string").alias("id"), "value", "disclosure_status")
-    return cols.groupBy(*keys).applyInPandasWithState(_advance, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    at = F.col("_at")
+    rows = requests.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(ts).cast("timestamp").alias("_at"), F.col(request).cast("long").alias("request"))
+    rows = rows.withColumn("at_us", F.unix_micros(at)).withColumn("_end_ms", F.unix_millis(F.window(at, window)["end"])).withWatermark("_at", keep)
+    schema = f"{', '.join(f'`{k}` string' for k in keys)}, request long, at_us long, allowed boolean"
+    out = rows.groupBy(*keys, "_end_ms").transformWithState(_Limits(limit, (*keys, "request", "at_us", "allowed")), schema, "Update", "EventTime")
+    return out.select(*keys, F.col("request").alias(request), F.timestamp_micros("at_us").alias(ts), "allowed")
+
 
+def batches_into(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataStreamWriter:
+    """Writes each batch of a stream to a folder of its own, which a repeated batch overwrites, so nothing is there twice."""
+
+    def batch(df: DataFrame, no: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={no:012d}")
 
-def stream_rate_limit(requests: DataFrame, window: str, keys: list[str], ts: str = "ts") -> DataFrame:
-    """Requests per identity and window; counters stay for 24 hours after their window."""
-    return requests.withWatermark(ts, "24 hours").groupBy(*keys, F.window(ts, window).alias("w")).agg(F.count("*").alias("requests")).select(*keys, F.col("w.start").alias("window_start"), "requests")
+    return rows.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint)
