@@ -87,7 +87,7 @@ class _Changes(StatefulProcessor):
                 continue
             at = _ms(fact[0])
             others = self.waiting.getValue((at,))
-            self.waiting.updateValue((at,), ([*(others[0] if others else ()), fact],))
+            self.waiting.updateValue((at,), ([*map(tuple, others[0] if others else ()), fact],))
             if not others:
                 self.handle.registerTimer(at)
         return iter(())

@@ -156,17 +156,77 @@ def test_event_groups(spark, tmp_path):
     assert got == {i: 10 if 10 <= i <= 40 else 3 if i in (50, 59) else i for i in range(60)}
 
 
+def _facts_stream(spark, sf_dir):
+    return observations(spark, sf_dir).select("company_key", "product_key", "field", F.col("observed_at").cast("timestamp").alias("observed_at"), F.lpad(F.col("snapshot_id").cast("string"), 9, "0").alias("snapshot_id"), "extraction_version", F.lpad(F.col("id").cast("string"), 9, "0").alias("id"), "value", "disclosure_status", "company", "product")
+
+
+def _run(spark, rows, start, root):
+    """Adds rows to the stream's input and runs it to their end."""
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    jobs.batches_into(start(source), f"{root}/out", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+
+
 def test_streams_equal_batch(spark, sf_dir, tmp_path):
-    from chronofact.operators.history import detect_changes
-
-    facts = observations(spark, sf_dir).select("company_key", "product_key", "field", F.col("observed_at").cast("timestamp").alias("observed_at"), F.lpad(F.col("snapshot_id").cast("string"), 9, "0").alias("snapshot_id"), "extraction_version", F.lpad(F.col("id").cast("string"), 9, "0").alias("id"), "value", "disclosure_status", "company", "product")
-    for k in range(3):  # in order of time, a file a batch
-        facts.where((F.col("id") >= f"{k * 350:09d}") & (F.col("id") < f"{(k + 1) * 350:09d}")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    source = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    jobs.stream_changes(source).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.parquet(f"file://{tmp_path}/in")
-    want = sorted((r["field"], r["change_type"], r["previous"]["snapshot_id"], r["current"]["snapshot_id"]) for r in detect_changes(stored).collect())
-    assert sorted((r["field"], r["change_type"], r["previous_snapshot_id"], r["current_snapshot_id"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == want
+    """Batches in an order that isn't that of time, within the delay; the last fact waits for the watermark."""
+    from chronofact.operators.history import current_facts, detect_changes
+
+    root, facts = f"file://{tmp_path}", _facts_stream(spark, sf_dir)
+    early, rest = facts.where("observed_at < '2024-01-05'"), facts.where("observed_at >= '2024-01-05'")
+    start = lambda stream: jobs.stream_changes(stream, "40 days", current_facts(early.drop("company", "product")))
+    for k in (2, 0, 1):
+        _run(spark, rest.where(f"id % 3 = {k}"), start, root)
+    # A far fact moves the watermark past all others.
+    far = rest.limit(1).withColumn("observed_at", F.lit("2025-01-01").cast("timestamp")).withColumn("company_key", F.lit("nobody"))
+    _run(spark, far, start, root)
+    want = sorted((r["field"], r["change_type"], r["previous"]["snapshot_id"], r["current"]["snapshot_id"]) for r in detect_changes(facts).where("detected_at >= '2024-01-05'").collect())
+    got = spark.read.parquet(f"{root}/out").collect()
+    assert sorted((r["field"], r["change_type"], r["previous_snapshot_id"], r["current_snapshot_id"]) for r in got) == want
+    held = jobs.stream_state(spark, f"{root}/c")
+    assert sorted((r["company_key"], r["field"], r["id"]) for r in held.collect()) == sorted((r["company_key"], r["field"], r["id"]) for r in current_facts(facts.drop("company", "product")).collect())
+    # A late fact, at or below the held tuple, changes nothing.
+    _run(spark, rest.where("id % 50 = 0").withColumn("value", F.lit("late")), start, root)
+    assert spark.read.parquet(f"{root}/out").count() == len(want)
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    schema = "company_key string, product_key string, field string, at long, snapshot_id string, extraction_version int, id string, value string, disclosure_status string"
+    rows = [("a", "p", "f", 0, "s1", 1, "1", "x", "disclosed"), ("a", "p", "f", 100, "s2", 1, "2", "y", "disclosed"), ("a", "p", "f", 5000, "s3", 1, "3", "z", "disclosed"), ("b", "p", "f", 9000, "s4", 1, "4", "x", "disclosed"), ("a", "p", "f", 5000, "s0", 1, "5", None, "not_disclosed")]
+    frame = spark.createDataFrame(rows, schema).withColumn("observed_at", F.timestamp_seconds(F.col("at") + 1_700_000_000)).drop("at")
+    for name, idle, want in (("all", None, [("x", "y"), ("y", None), (None, "z")]), ("idle", 1_000_000, [("x", "y"), (None, "z")])):
+        _run(spark, frame, lambda stream, idle=idle: jobs.stream_changes(stream, idle_ms=idle), f"file://{tmp_path}/{name}")
+        got = spark.read.parquet(f"file://{tmp_path}/{name}/out").where("company_key = 'a'").orderBy("detected_at", "current_snapshot_id").collect()
+        assert [(r["previous_value"], r["current_value"]) for r in got] == want
+
+
+def test_stream_limits_answer_each_request(spark, tmp_path):
+    """Answers over batches: the least requests of a batch take what earlier ones have left; counters close behind the watermark."""
+    import random
+
+    rng = random.Random(3)
+    root, made, want, had = f"file://{tmp_path}", [], {}, {}
+    for batch in range(3):
+        rows = [(batch * 1000 + i, rng.choice(["a", "a", "b", None]), batch * 7200 + rng.randint(0, 7199)) for i in range(60)]
+        for i, who, at in sorted(rows, key=lambda r: (r[2], r[0])):
+            key = (who, at // 3600)
+            had[key] = had.get(key, 0) + 1
+            want[i] = had[key] <= 5
+        made.append(spark.createDataFrame(rows, "id long, who string, at long").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_699_999_200)).drop("at"))
+    start = lambda stream: jobs.stream_rate_limit(stream, "1 hour", 5, ["who"])
+    for rows in made:
+        _run(spark, rows, start, root)
+    assert {r["id"]: r["allowed"] for r in spark.read.parquet(f"{root}/out").collect()} == want
+    counters = spark.read.format("statestore").option("path", f"{root}/c").option("stateVarName", "count").load()
+    assert {(r["key"]["who"], r["value"]["n"]) for r in counters.collect()} == {(who, n) for (who, _), n in had.items()}
+    late = spark.createDataFrame([(9000, "a", 10_000_000), (9001, "a", 100)], "id long, who string, at long").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_699_999_200)).drop("at")
+    _run(spark, late, start, root)
+    assert counters.sparkSession.read.format("statestore").option("path", f"{root}/c").option("stateVarName", "count").load().count() == 1
+    answers = {r["id"]: r["allowed"] for r in spark.read.parquet(f"{root}/out").collect()}
+    assert answers[9000] and not answers[9001]
+    before = spark.read.parquet(f"{root}/out").count()
+    # A batch that is run again overwrites its own folder.
+    jobs.batches_into(start(spark.readStream.schema(late.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{root}/out").count() == before
 
 
 def test_stream_ingest_equals_batch(spark, tmp_path):
