@@ -64,25 +64,38 @@ def expired_counters(limits: DataFrame, now: Column) -> DataFrame:
     return limits.where(F.col("expires_at") <= now)
 
 
-def _email(raw: str) -> str | None:
-    a = unicodedata.normalize("NFC", raw.strip())
-    local, at, domain = a.rpartition("@")
-    if len(a) > 320 or any(ord(c) < 32 or c.isspace() for c in a) or not at or "@" in local:
-        return None
-    labels = domain.lower().split(".")
-    if not local or local[0] == "." or local[-1] == "." or ".." in local or len(labels) < 2 or any(not x or x[0] == "-" or x[-1] == "-" for x in labels):
-        return None
-    try:
-        plain = [x.encode("idna").decode("ascii") for x in labels]
-    except UnicodeError:
-        return None
-    return f"{local}@{'.'.join(plain)}" if all(c.isalnum() or c in "-." for x in plain for c in x) else None
-
-
-@F.pandas_udf(T.StringType())
-def normalize_email(addresses: pd.Series) -> pd.Series:
-    """NFC, IDNA lower-case domain, local part as it is; null if it is no address."""
-    return addresses.map(_email, na_action="ignore")
+#: An address behind its outer spaces: dotted parts before the one @, and two labels at least behind it, whose ends are no hyphens.
+ADDRESS = r"(?U)^([^@.\s\x00-\x1f]+(?:\.[^@.\s\x00-\x1f]+)*)@((?:(?!-)[^@.\s\x00-\x1f]+(?<!-)\.)+(?!-)[^@.\s\x00-\x1f]+(?<!-))$"
+LONGEST_ADDRESS, LONGEST_LABEL = 320, 63
+
+
+@F.pandas_udf(T.StructType([T.StructField("address", T.StringType()), T.StructField("domain", T.StringType())]))
+def _beyond_ascii(addresses: pd.Series) -> pd.DataFrame:
+    """What Spark has no function for: NFC of an address, and the IDNA form of its domain (null if it has none)."""
+
+    def idna(domain: str) -> str | None:
+        try:
+            return domain.lower().encode("idna").decode("ascii")
+        except UnicodeError:
+            return None
+
+    composed = addresses.map(lambda a: unicodedata.normalize("NFC", a), na_action="ignore")
+    return pd.DataFrame({"address": composed, "domain": composed.map(lambda a: idna(a.rpartition("@")[2]), na_action="ignore")})
+
+
+def normalize_email(address: Column | str) -> Column:
+    """NFC, IDNA lower-case domain, local part as it is; null if it is no address.
+
+    Only addresses beyond ASCII go to Python.
+    """
+    raw = F.col(address) if isinstance(address, str) else address
+    bare = F.regexp_replace(raw, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    plain = bare.rlike(r"^[\x00-\x7f]*$")
+    wide = _beyond_ascii(F.when(~plain, bare))
+    whole = F.when(plain, bare).otherwise(wide["address"])
+    domain = F.when(plain, F.lower(F.regexp_extract(bare, ADDRESS, 2))).otherwise(F.when(wide["address"].rlike(ADDRESS), wide["domain"]))
+    fits = (F.length(whole) <= LONGEST_ADDRESS) & whole.rlike(ADDRESS) & domain.rlike(rf"^[a-z0-9-]{{1,{LONGEST_LABEL}}}(?:\.[a-z0-9-]{{1,{LONGEST_LABEL}}})*$")
+    return F.when(fits, F.concat_ws("@", F.regexp_extract(whole, ADDRESS, 1), domain))
 
 
 def normalize_emails(addresses: DataFrame, address: str = "address") -> DataFrame:

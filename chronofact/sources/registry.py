@@ -44,6 +44,26 @@ def read_contract(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_contract_rows(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files of JSON arrays -> (good rows, quarantine), where one bad row or file fails nothing else.
+
+    A row is bad if it is no object of the schema (a field of another type, at any depth) or a ``required`` field is missing
+    or null. The quarantine has file, place (in its array; null for a file that is no array), reason and raw text. Each
+    file is one array and read whole by a task, so packs should come in files of some megabytes.
+    """
+    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    split = text.withColumn("rows", F.from_json("value", "array<string>"))
+    each = split.where("rows is not null").select("file", F.posexplode("rows").alias("place", "raw"))
+    broken = split.where("rows is null").select("file", F.lit(None).cast("int").alias("place"), F.lit("no array").alias("reason"), F.col("value").alias("raw"))
+    # Read as it is declared, with a column more that takes what doesn't fit.
+    parsed = each.withColumn("row", F.from_json("raw", f"{schema}, _unfit string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unfit"}))
+    missing = F.array_compact(F.array(*[F.when(F.col(f"row.{c}").isNull(), F.lit(c)) for c in required or []])) if required else F.array().cast("array<string>")
+    reason = F.when(F.col("raw").isNull() | F.col("row").isNull() | F.col("row._unfit").isNotNull(), F.lit("schema")).when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+    judged = parsed.withColumn("reason", reason)
+    good = judged.where("reason is null").select("row.*").drop("_unfit")
+    return good, judged.where("reason is not null").select("file", "place", "reason", "raw").unionByName(broken)
+
+
 def due_sources(sources: DataFrame, runs: DataFrame, now) -> DataFrame:
     """Enabled sources whose last run (source_id, finished_at) is a cadence ago, or that never ran."""
     last = runs.groupBy(F.col("source_id").alias("id")).agg(F.max("finished_at").alias("last_run"))

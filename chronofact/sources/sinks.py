@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,22 @@ def merge_state(state: DataFrame, table: str, key: list[str]) -> None:
     state.alias("s").mergeInto(table, on).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 
-def log_metrics(metrics: DataFrame, path: str, run_id: str) -> None:
-    """Appends a run's metric rows to the history."""
-    metrics.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+def log_metrics(metrics: DataFrame, path: str, run_id: str, key: list[str] | None = None) -> None:
+    """Appends a run's metric rows to the history, once: rows of the run with the same ``key`` (default: all columns) stay as they are."""
+    append_new(metrics.withColumn("run_id", F.lit(run_id)), path, ["run_id", *(key or metrics.columns)])
+
+
+class InFlight:
+    """Counts that a job takes of its rows while it runs, and logs once a run.
+
+    ``rows`` gives the frame to use in the job's one action; ``log`` waits for that action.
+    """
+
+    def __init__(self, rows: DataFrame, measures: dict[str, Column]) -> None:
+        self.seen = Observation()
+        self.rows = rows.observe(self.seen, *[c.cast("double").alias(n) for n, c in measures.items()])
+
+    def log(self, path: str, run_id: str) -> None:
+        """Adds (metric, value, run_id) rows to the history; a run that is logged already adds nothing."""
+        found = self.rows.sparkSession.createDataFrame(sorted(self.seen.get.items()), "metric string, value double")
+        log_metrics(found, path, run_id, ["metric"])

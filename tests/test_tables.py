@@ -141,6 +141,35 @@ def test_articles(spark):
     assert got[1]["published_at"] == datetime(2024, 5, 3) and got[2]["title"] == "L" and got[2]["authors"] == ["N"]
 
 
+def test_article_dates(spark):
+    """Dates as Python's own parser reads them."""
+    from datetime import UTC
+
+    from chronofact.sources.articles import iso_time, shown_time
+
+    texts = ["2024-05-01", "20240501", " 2024-05-01T10:11:12Z ", "2024-05-01 10:11", "2024-05-01T10", "20240501T101112", "2024-05-01T10:11:12.123456+02:30", "2024-05-01T10:11:12.5-08:00", "2024-05-01T101112+0230", "2024-13-01", "2024-02-30", "2024", "2024-05", "May 3, 2024", "", None, "2024-05-01T25:00"]
+
+    def plain(t):
+        try:
+            d = datetime.fromisoformat(t.strip().replace("Z", "+00:00"))
+        except (ValueError, AttributeError):
+            return None
+        return (d if d.tzinfo else d.replace(tzinfo=UTC)).timestamp()
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", (F.unix_micros(iso_time(F.col("t"))) / 1e6).alias("s")).collect()
+    assert {texts[r["i"]]: r["s"] for r in got} == {t: plain(t) for t in texts}
+    shown = ["May 3, 2024", "Sep  12,\n2023", "September 1, 2023", "Junuary 1, 2024", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(shown)], "i int, t string").select("i", shown_time(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [r["d"] for r in got] == [datetime(2024, 5, 3), datetime(2023, 9, 12), datetime(2023, 9, 1), None, None]
+
+
+def test_linked_data_and_odd_columns(spark):
+    linked = '<script type="application/ld+json">{"@graph": [{"x": {"headline": "Inner"}, "author": [{"name": "No"}]}, {"headline": "Outer", "author": {"name": "A", "image": {"name": "pic"}}, "datePublished": "2024-01-02"}], "author": "B"}</script><script type="application/ld+json">{bad</script>'
+    page = f"<p>{'words ' * 20}</p>" + linked
+    got = extract_articles(spark.createDataFrame([(1, page, "kept")], "id int, html string, `a.b` string")).first()
+    assert (got["title"], got["authors"], got["published_at"], got["status"], got["a.b"]) == ("Inner", ["A", "B"], datetime(2024, 1, 2), "ok", "kept")
+
+
 def test_similar_titles(spark):
     t = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma epsilon delta"), (3, "other words here now"), (4, "alpha beta gamma delta"), (5, "delta gamma beta alpha zeta")]
     df = spark.createDataFrame([(i, x, T0 + timedelta(hours=i)) for i, x in t] + [(9, t[1][1], T0 + timedelta(days=30)), (10, None, T0)], "id int, title string, published_at timestamp")

@@ -48,23 +48,28 @@ def test_values(spark):
 
 
 def brute_numbers(text):
+    """The definitions: matches that lie in no name and, for plain numbers, in no multiplied number."""
+    number, name, multiplied = (re.compile(p) for p in (r"(?<![A-Za-z])\d+(?:\.\d+)?(?![A-Za-z])", r"[A-Za-z]+-\d+(?:\.\d+)?[A-Za-z]*", r"(?<![A-Za-z])(\d+(?:\.\d+)?)\s*([kKmM])(?![A-Za-z])"))
     plain = re.sub(r"[,$%]", "", text)
-    spans = [m.span() for p in (n.COMPOUND, n.MULTIPLIED) for m in p.finditer(plain)]
-    return {m[0] for m in n.NUMBER.finditer(plain) if not any(a <= m.start() and m.end() <= b for a, b in spans)}
 
+    def outside(m, *patterns):
+        return not any(s.start() <= m.start() and m.end() <= s.end() for p in patterns for s in p.finditer(plain))
 
-def test_numbers():
-    assert n.number_tokens("$256,000 and 256000, GPT-4.5, o1 5%") == ["256000", "5"]
-    assert n.multiplied_tokens("100K or 1.5 m, GPT-4k") == ["100000", "1500000"]
-    assert n.number_tokens("100K tokens") == []
-    rng = random.Random(1)
-    for _ in range(20000):
-        s = "".join(rng.choices("a1K.-, 5m$o", k=rng.randint(0, 12)))
-        assert set(n.number_tokens(s)) == brute_numbers(s), s
+    written = {float(m[1]) * (1e3 if m[2] in "kK" else 1e6) for m in multiplied.finditer(plain) if outside(m, name)}
+    return sorted({m[0] for m in number.finditer(plain) if outside(m, name, multiplied)}), sorted(written)
 
 
-def test_numbers_as_columns(spark):
-    assert column(spark, ["5 and 6K", None, ""], n.all_numbers) == [["5", "6000"], None, []]
+def test_numbers(spark):
+    rng = random.Random(1)
+    texts = ["$256,000 and 256000, GPT-4.5, o1 5%", "100K or 1.5 m, GPT-4k", "100K tokens", "5 k-8", "a-5 K", "a-1.5 M", "1.2.33K", "77a-8", "55x", "", None]
+    texts += ["".join(rng.choices("a1K.-, 5m$o", k=rng.randint(0, 14))) for _ in range(20000)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", n.numbers_in(F.col("t")).alias("p"), n.multiplier_numbers(F.col("t")).alias("m")).collect()
+    for r in rows:
+        t = texts[r["i"]]
+        got = (r["p"], r["m"] if r["m"] is None else sorted(map(float, r["m"])))
+        assert got == ((None, None) if t is None else brute_numbers(t)), t
+    assert [rows[i]["m"] for i in range(3)] == [[], ["100000", "1500000"], ["100000"]] and rows[0]["p"] == ["256000", "5"]
+    assert column(spark, ["5 and 6K", "0.0015K", None, ""], n.all_numbers) == [["5", "6000"], ["1.5"], None, []]
 
 
 def test_canonical_urls(spark):
