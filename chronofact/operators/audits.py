@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofact.operators.fingerprints import differing_parts, only_parts
+
 
 def audit_foreign_key(child: DataFrame, fk: str | list[str], parent: DataFrame, pk: str | list[str], name: str) -> DataFrame:
     """(audit, key, n): non-null keys of child that parent lacks, with their number of rows."""
@@ -47,9 +49,18 @@ def audit_provenance(facts: DataFrame, snapshots: DataFrame) -> DataFrame:
     return rows.where(~F.col("observed_at").eqNullSafe(F.col("fetched_at"))).select(F.lit("provenance").alias("audit"), F.col("id").cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
 
 
-def audit_append_only(before: DataFrame, after: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows deleted, or changed in one of the immutable columns, between two versions of a table; new rows are fine."""
+def audit_append_only(before: DataFrame, after: DataFrame, key: str, columns: list[str] | None = None, fingerprints: bool = False) -> DataFrame:
+    """Rows deleted, or changed in one of the immutable columns, between two versions of a table; new rows are fine.
+
+    With ``fingerprints`` both tables are summed up first by parts of their keys, and only rows of parts that differ are
+    joined: none where the tables are equal. That is worth its scan where most of a table stays as it is.
+    """
     columns = [c for c in before.columns if c != key] if columns is None else columns
+    if fingerprints:
+        parts = differing_parts(before, after, key, columns)
+        if not parts:
+            return before.sparkSession.createDataFrame([], "audit string, key string, n long")
+        before, after = only_parts(before, key, parts), only_parts(after, key, parts)
     joined = before.alias("b").join(after.alias("a"), F.col(f"b.{key}") == F.col(f"a.{key}"), "left")
     differ = F.array_compact(F.array(*[F.when(~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")), F.lit(c)) for c in columns]))
     gone = F.col(f"a.{key}").isNull()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofact.functions.numbers import numbers_in
 from chronofact.functions.text import field_label
+from chronofact.operators.fingerprints import multiset
 
 
 def draft_claims(changes: DataFrame) -> DataFrame:
@@ -35,15 +36,18 @@ def validate_claims(claims: DataFrame, snapshots: DataFrame, key: str = "claim_i
     """Adds citations_exist, numbers_grounded and validation_status to every claim.
 
     A claim is supported if it has citations, all of known snapshots, and every number of its text is among the numbers
-    of the cited contents. Without an existing citation nothing is grounded, whether or not the text has numbers.
+    of the cited contents. Without an existing citation nothing is grounded, whether or not the text has numbers. A
+    snapshot's numbers are found once, by itself, and only those go with its citations; without ``check_numbers`` numbers_grounded is
+    null and contents aren't read.
     """
-    cited = claims.select(key, F.posexplode("citations").alias("_no", "snapshot_id"))
-    found = cited.join(snapshots.select("snapshot_id", "content_text", F.lit(True).alias("_known")), "snapshot_id", "left")
-    per = found.groupBy(key).agg(F.bool_and(F.coalesce("_known", F.lit(False))).alias("_all"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", F.coalesce("content_text", F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("_content"))
-    rows = claims.join(per, key, "left")
+    cited = claims.select(key, F.explode("citations").alias("snapshot_id"))
+    known = snapshots.select("snapshot_id", F.lit(True).alias("_known"), *([numbers_in(F.coalesce("content_text", F.lit(""))).alias("_numbers")] if check_numbers else []))
+    found = cited.join(known, "snapshot_id", "left")
+    theirs = [F.array_distinct(F.flatten(F.collect_set("_numbers"))).alias("_theirs")] if check_numbers else []
+    rows = claims.join(found.groupBy(key).agg(F.bool_and(F.coalesce("_known", F.lit(False))).alias("_all"), *theirs), key, "left")
     exist = F.coalesce("_all", F.lit(False))
-    grounded = exist & (F.size(F.array_except(F.col("_mine"), F.col("_theirs"))) == 0)
-    rows = rows.select("*", numbers_in(F.coalesce("text", F.lit(""))).alias("_mine"), numbers_in(F.coalesce("_content", F.lit(""))).alias("_theirs"))
+    mine = numbers_in(F.coalesce("text", F.lit("")))
+    grounded = exist & (F.size(F.array_except(mine, F.coalesce("_theirs", F.array().cast("array<string>")))) == 0) if check_numbers else F.lit(None).cast("boolean")
     ok = grounded if check_numbers else exist
     return rows.select(*[c for c in claims.columns if c != "validation_status"], exist.alias("citations_exist"), grounded.alias("numbers_grounded"), F.when(ok, F.lit("supported")).otherwise(F.lit("unsupported")).alias("validation_status"))
 
@@ -66,9 +70,12 @@ def veto(digests: DataFrame, comparison_dates: DataFrame, failed_dates: DataFram
 
 
 def claim_signature(claims: DataFrame) -> DataFrame:
-    """(digest_id) -> the sorted multiset of trimmed texts with sorted citations, as a digest and a count."""
-    one = claims.select("digest_id", F.sha2(F.concat_ws("\u0001", F.trim("text"), F.array_sort("citations").cast("string")), 256).alias("c"))
-    return one.groupBy("digest_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("c")), ","), 256).alias("signature"), F.count("*").alias("n"))
+    """(digest_id) -> the multiset of trimmed texts with sorted citations as a signature, and their number.
+
+    Signatures are sums of hashes (see ``fingerprints.multiset``), so no digest's claims are gathered.
+    """
+    one = claims.select("digest_id", F.trim("text").alias("_text"), F.array_sort("citations").alias("_cites"))
+    return one.groupBy("digest_id").agg(multiset("_text", "_cites", F.size("_cites")).alias("signature"), F.count("*").alias("n"))
 
 
 def reconcile_published(new: DataFrame, new_claims: DataFrame, published: DataFrame, published_claims: DataFrame) -> DataFrame:

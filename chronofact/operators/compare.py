@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofact.functions.text import field_label, parse_int, parse_price
+from chronofact.operators.ordered import scanned, with_position
 
 #: Fields with a registered rule: how their values are read.
 RULES = {"context_window_tokens": parse_int}
@@ -28,11 +29,33 @@ def dedupe_reversed_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_no", F.row_number().over(w)).where("_no = 1").drop("_no")
 
 
-def all_pairs(grid: DataFrame) -> DataFrame:
-    """Every unordered pair of subjects that disclose a field, by the field: the question itself is quadratic in subjects."""
-    rows = grid.where("disclosure_status = 'disclosed'").select("field", F.struct("company_key", "product_key").alias("s"))
-    a, b = rows.withColumnRenamed("s", "a"), rows.withColumnRenamed("s", "b")
-    return a.join(b, "field").where("a < b").select(*[F.col(f"{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("company_key", "product_key")], "field")
+def all_pairs(grid: DataFrame, blocks: int = 16) -> DataFrame:
+    """Every unordered pair of subjects that disclose a field, by the field: the question itself is quadratic in subjects.
+
+    A field's subjects are cut into ``blocks`` by hash; a pair meets under its two blocks, the lesser first, so tasks share
+    a field by the triangle of block pairs, and each subject is copied ``blocks`` times. Where counts are all that is
+    asked, ``pair_counts`` makes no pairs.
+    """
+    rows = grid.where("disclosure_status = 'disclosed'").select("field", F.struct("company_key", "product_key").alias("s")).withColumn("_b", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int"))
+    left = rows.select("field", F.col("s").alias("x"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.lit(blocks - 1))).alias("_j"))
+    right = rows.select("field", F.col("s").alias("y"), F.explode(F.sequence(F.lit(0), "_b")).alias("_i"), F.col("_b").alias("_j"))
+    # Within one block a pair would meet twice.
+    pairs = left.join(right, ["field", "_i", "_j"]).where("(_i < _j and x <> y) or x < y")
+    named = pairs.select("field", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return named.select(*[F.col(f"{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("company_key", "product_key")], "field")
+
+
+def pair_counts(grid: DataFrame) -> DataFrame:
+    """How many of ``all_pairs`` each subject begins, by the field, told from its rank without a pair -> company_key, product_key, field, n.
+
+    Equal rows of a subject and field count as often as they do; subjects that begin no pair are left out.
+    """
+    rows = grid.where("disclosure_status = 'disclosed'").groupBy("field", "company_key", "product_key").agg(F.count("*").alias("_times"))
+    placed = with_position(rows, [F.asc("field"), F.asc("company_key"), F.asc("product_key")], "_at")
+    # Blocks of places, so that a field of nearly all subjects isn't summed in one task.
+    summed = scanned(placed, ["field"], ["_at"], F.expr("_at div 100000"), total={"_upto": F.col("_times")})
+    whole = rows.groupBy("field").agg(F.sum("_times").alias("_all"))
+    return summed.join(whole, "field").select("company_key", "product_key", "field", (F.col("_times") * (F.col("_all") - F.col("_upto"))).alias("n")).where("n > 0")
 
 
 def compare_pairs(pairs: DataFrame, grid: DataFrame, rules: dict | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.functions.text import normalise_name
 
+#: Sizes of the sketches of ages and of different snapshots, which set their errors.
+SKETCH_K, SKETCH_BITS = 400, 13
+
 
 def _titled(items: DataFrame, hours: int) -> DataFrame:
     """id, words of the title, time bucket and second of the items that have words and a time."""
@@ -74,3 +77,29 @@ def change_detail(changes: DataFrame, change_ids: DataFrame) -> DataFrame:
 def operational_metrics(runs: DataFrame) -> DataFrame:
     """(source_id, ok, finished_at) -> per source: runs, success_rate, last_success."""
     return runs.groupBy("source_id").agg(F.count("*").alias("runs"), F.avg(F.col("ok").cast("double")).alias("success_rate"), F.max(F.when(F.col("ok"), F.col("finished_at"))).alias("last_success"))
+
+
+def run_sketches(snapshots: DataFrame, at: Column, run: str = "run") -> DataFrame:
+    """(source_id, run, snapshot_id, cited, seen_at) -> per source and run: snapshots, and mergeable sketches of their ages
+    in seconds at ``at`` (``ages``, KLL) and of the different snapshots seen and cited (``seen``, ``cited``, HLL).
+
+    Runs are stored as they come and merged later by ``freshness``, so no run's rows are read again.
+    """
+    age = F.unix_seconds(at.cast("timestamp")) - F.unix_seconds(F.col("seen_at").cast("timestamp"))
+    return snapshots.groupBy("source_id", run).agg(
+        F.count("*").alias("snapshots"),
+        F.kll_sketch_agg_bigint(age, SKETCH_K).alias("ages"),
+        F.hll_sketch_agg("snapshot_id", SKETCH_BITS).alias("seen"),
+        F.hll_sketch_agg(F.when(F.col("cited"), F.col("snapshot_id")), SKETCH_BITS).alias("cited"),
+    )
+
+
+def freshness(sketches: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """Stored ``run_sketches`` -> per source: snapshots, age quantiles (``age_50`` ...), seen, cited and coverage = cited / seen.
+
+    Ranks of quantiles are within 0.01 of those asked for, counts of different snapshots within 3 percent (99 of 100
+    times); both are exact for a source of few snapshots.
+    """
+    merged = sketches.groupBy("source_id").agg(F.sum("snapshots").alias("snapshots"), F.kll_merge_agg_bigint("ages", SKETCH_K).alias("ages"), F.hll_sketch_estimate(F.hll_union_agg("seen")).alias("seen"), F.hll_sketch_estimate(F.hll_union_agg("cited")).alias("cited"))
+    quantiles = [F.kll_sketch_get_quantile_bigint("ages", F.lit(r).cast("double")).alias(f"age_{round(100 * r)}") for r in ranks]
+    return merged.select("source_id", "snapshots", *quantiles, "seen", "cited", (F.col("cited") / F.col("seen")).alias("coverage"))

@@ -217,7 +217,13 @@ def x3_pairs(spark, sf_dir):
 
 
 def x4_all_pairs(spark, sf_dir):
-    return x.all_pairs(_grid(spark, sf_dir).where("field = 'context_window_tokens'")).groupBy("company_key_a").agg(F.count("*").alias("n"))
+    """Pairs of subjects by the field that both disclose."""
+    return x.all_pairs(_grid(spark, sf_dir)).groupBy("field", "company_key_a").agg(F.count("*").alias("n"))
+
+
+def x4_pair_counts(spark, sf_dir):
+    """The same numbers from ranks."""
+    return x.pair_counts(_grid(spark, sf_dir)).groupBy("field", F.col("company_key").alias("company_key_a")).agg(F.sum("n").alias("n"))
 
 
 def x5_price_comparisons(spark, sf_dir):
@@ -245,7 +251,7 @@ def e6_replay(spark, sf_dir):
     return e.replay_case(observations(spark, sf_dir).withColumn("in_detected", F.coalesce(F.col("value").cast("double") > 60, F.lit(False)))).select("n_expected", "n_found", F.round("recall", 9).alias("recall"))
 
 
-QUERIES = {q.__name__: q for q in (r1_phrases, r2_trusted_sources, r3_phrase_matches, r4_gated_matches, r5_resolutions, r6_quotes, r7_proposals, r8_registry, r9_routes, p14_numbers, p15_multipliers, g12_gates, g12_gate_counts, d1_claims, d2_citations_exist, d4_validation, d5_digests, d6_vetoes, d7_reconciled, d8_hydrated, d9_details, d10_write_rules, d11_published, x1_fact_table, x2_comparisons, x3_pairs, x4_all_pairs, x5_price_comparisons, e1_evaluation, e4_recall, e6_replay)}
+QUERIES = {q.__name__: q for q in (r1_phrases, r2_trusted_sources, r3_phrase_matches, r4_gated_matches, r5_resolutions, r6_quotes, r7_proposals, r8_registry, r9_routes, p14_numbers, p15_multipliers, g12_gates, g12_gate_counts, d1_claims, d2_citations_exist, d4_validation, d5_digests, d6_vetoes, d7_reconciled, d8_hydrated, d9_details, d10_write_rules, d11_published, x1_fact_table, x2_comparisons, x3_pairs, x4_all_pairs, x4_pair_counts, x5_price_comparisons, e1_evaluation, e4_recall, e6_replay)}
 
 _NAME = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
@@ -337,7 +343,8 @@ ORACLES = {
     "x1_fact_table": f"with {GRID} select company_key, field, value, disclosure_status, snapshot_id from grid",
     "x2_comparisons": f"with {GRID} select pair_pos, reason, relation, case relation when 'equal' then xc || '''s Usage and ' || yc || '''s Usage have the same context window: ' || xv || '.' when 'higher' then xc || '''s Usage has a higher context window (' || xv || ') than ' || yc || '''s Usage (' || yv || ').' when 'lower' then xc || '''s Usage has a lower context window (' || xv || ') than ' || yc || '''s Usage (' || yv || ').' end as text from rel",
     "x3_pairs": f"with {GRID} select min(pair_pos) as pair_pos, field from pairs group by least(a, b), greatest(a, b), field",
-    "x4_all_pairs": f"with {GRID}, k as (select company_key from grid where field = 'context_window_tokens' and disclosure_status = 'disclosed') select a.company_key as company_key_a, count(*) as n from k a join k b on a.company_key < b.company_key group by all",
+    "x4_all_pairs": f"with {GRID}, k as (select field, company_key from grid where disclosure_status = 'disclosed') select a.field, a.company_key as company_key_a, count(*) as n from k a join k b on a.field = b.field and a.company_key < b.company_key group by all",
+    "x4_pair_counts": f"with {GRID}, k as (select field, company_key from grid where disclosure_status = 'disclosed') select a.field, a.company_key as company_key_a, count(*) as n from k a join k b on a.field = b.field and a.company_key < b.company_key group by all",
     "x5_price_comparisons": f"with {GRID} select coalesce(reason, relation) as outcome, count(*) as n from rel group by all",
     "e1_evaluation": f"""
         with {TURNS}, k as (select conv_id, good, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as x from cl join ok using (claim_id)),
