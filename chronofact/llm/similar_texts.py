@@ -118,9 +118,27 @@ def block_keys(classes: DataFrame, choices: np.ndarray) -> DataFrame:
     return classes.select("row", "group", *FP).mapInArrow(run, "row long, group long, key long")
 
 
-def buckets(classes: DataFrame, choices: np.ndarray) -> DataFrame:
-    """classes(row, group, n, fingerprint's words) -> (key, row, group, size, s) of the keys that rows of several groups share."""
-    keyed = block_keys(classes, choices)
+def prefix_keys(rows: DataFrame, percent: int, words_in_shingle: int) -> DataFrame:
+    """rows(row, group, text) -> (row, group, key) for the least hashes of each shingle set, so many that two sets of the
+    similarity share one: n less the least overlap with an equally large set, and one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                sets = [shingles(x.as_py(), words_in_shingle) for x in b.column(2)]
+                least = [s[: len(s) - -(-percent * len(s) // 100) + 1] for s in sets]
+                n = [len(x) for x in least]
+                row, group = (pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in range(2))
+                yield pa.RecordBatch.from_arrays([row, group, pa.array(np.concatenate(least).view(np.int64))], names=["row", "group", "key"])
+        _words.clear()
+
+    return rows.select("row", "group", "text").mapInArrow(run, "row long, group long, key long")
+
+
+def buckets(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """keyed(key, row, group) -> (key, row, group, size, s) of the keys that rows of several groups share; s from
+    classes(row, n, fingerprint's words)."""
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("group").alias("_a"), F.max("group").alias("_b"))
     lean = classes.select("row", F.struct("n", *FP).alias("s"))
     return keyed.join(shared.where("_a <> _b").select("key", "size"), "key").join(lean, "row").select("key", "row", "group", "size", "s")
@@ -132,6 +150,24 @@ def grouped_by(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return named.withColumn("group", F.coalesce("group", "row"))
 
 
+def grown(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after some more links: only links between different components are contracted."""
+    names = [parts.select(F.col("node").alias(e), F.col("component").alias(f"_{e}")) for e in "uv"]
+    named = links.join(names[0], "u", "left").join(names[1], "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    new = written(named.where("u <> v").distinct(), "new_links")
+    if new.isEmpty():
+        emptied(new)
+        return parts
+    joined = connected_components(new)
+    far = joined.select(F.col("node").alias("component"), F.col("component").alias("_far"))
+    known = parts.join(far, "component", "left").select("node", F.coalesce("_far", "component").alias("component"))
+    single = joined.join(parts.select("node"), "node", "left_anti")
+    after = written(known.unionByName(single), "components")
+    for table in (new, joined, parts):
+        emptied(table)
+    return after
+
+
 def shingle_sets(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
     """rows(row, text) -> row, hashes."""
 
@@ -148,10 +184,13 @@ def shingle_sets(rows: DataFrame, words_in_shingle: int = 5) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, hashes array<long>")
 
 
-def _likely(a: str, b: str, percent: int) -> Column:
-    """Whether two sketches, structs of n and the fingerprint's words, may be of similar texts."""
-    apart = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FP), F.lit(0))
-    return (apart <= FAR) & F.expr(f"100 * {a}.n >= {percent} * {b}.n and 100 * {b}.n >= {percent} * {a}.n")
+def _likely(a: str, b: str, percent: int, far: int | None) -> Column:
+    """Whether two sketches, structs of n and the fingerprint's words, may be of similar texts: by size for certain, and by
+    the distance of fingerprints unless ``far`` is None."""
+    sizes = F.expr(f"100 * {a}.n >= {percent} * {b}.n and 100 * {b}.n >= {percent} * {a}.n")
+    if far is None:
+        return sizes
+    return (sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FP), F.lit(0)) <= far) & sizes
 
 
 def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +200,7 @@ def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return same.where(f"100 * _i >= {percent} * (_t - _i)").select("u", "v")
 
 
-def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5) -> DataFrame:
+def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5, exact: bool = False) -> DataFrame:
     """rows(row, text), row unique -> (node, component) of rows in groups; rows like no other are absent.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is ``percent`` or more, computed over the whole
@@ -173,6 +212,10 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     other groups only. So a large group of near copies becomes one after a round or two instead of forming all its pairs,
     and a bucket is done when its rows are in one group or all pairs across groups are compared. Scratch tables are
     emptied once nothing reads them any more.
+
+    Fingerprints miss some links (see CHOICES and FAR). With ``exact`` no link is lost: groups then also meet under the
+    least hashes of their whole shingle sets, of which any two sets of the similarity share one, and no distance of
+    fingerprints is asked. That makes a key of every fifth shingle, so it costs many times as much.
     """
     sketch = written(sketches(rows, words_in_shingle), "sketches")
     grouped = sketch.groupBy("same").agg(F.min(F.struct("row", "n", *FP)).alias("c"), F.count("*").alias("size"))
@@ -182,37 +225,35 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     links = [written(sketch.join(copies, "same").where("u <> row").select("u", F.col("row").alias("v")), "links")]
     emptied(sketch)
     lean = classes.drop("same", "size")
-    left = written(buckets(lean.withColumn("group", F.col("row")), CHOICES[:FIRST]), "buckets")
-    tried, sets, parts, first, pivots = [], [], None, True, 1
+    left = written(buckets(block_keys(lean.withColumn("group", F.col("row")), CHOICES[:FIRST]), lean), "buckets")
+    tried, sets, parts, first, pivots, far = [], [], None, True, 1, FAR
     while True:
         least = left.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group", "s")).alias("p"))
-        met = left.join(least, "key").where((F.col("p.group") != F.col("group")) & _likely("s", "p.s", percent))
+        met = left.join(least, "key").where((F.col("p.group") != F.col("group")) & _likely("s", "p.s", percent, far))
         pairs = met.select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"))
         going = left.where(f"size > {SMALL}")
         if pivots > 1:
             few = left.where(f"size <= {SMALL}")
             a = few.select("key", F.col("row").alias("u"), F.col("s").alias("_f"), F.col("group").alias("_a"))
             b = few.select("key", F.col("row").alias("v"), F.col("s").alias("_g"), F.col("group").alias("_b"))
-            pairs = pairs.union(a.join(b, "key").where(F.expr("u < v and _a <> _b") & _likely("_f", "_g", percent)).select("u", "v"))
+            pairs = pairs.union(a.join(b, "key").where(F.expr("u < v and _a <> _b") & _likely("_f", "_g", percent, far)).select("u", "v"))
         pairs = pairs.distinct()
-        for earlier in tried:
-            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
         if pivots <= PIVOTS:
             # Sets are read for the rows of the pairs up to the second round under all choices, and then for all rows that go on.
             wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v"))
             wanted = wanted if pivots == 1 else wanted.union(going.select("row"))
             wanted = wanted.distinct()
-            for earlier in sets:
-                wanted = wanted.join(earlier.select("row"), "row", "left_anti")
+            if sets:
+                wanted = wanted.join(reduce(DataFrame.union, [x.select("row") for x in sets]), "row", "left_anti")
             sets.append(written(shingle_sets(rows.select("row", "text").join(wanted, "row", "left_semi"), words_in_shingle), "sets"))
         tried.append(pairs)
         links.append(written(_links(pairs, reduce(DataFrame.union, sets), percent), "links"))
-        before, parts = parts, connected_components(reduce(DataFrame.union, links))
-        if before is not None:
-            emptied(before)
+        parts = connected_components(reduce(DataFrame.union, links)) if parts is None else grown(parts, links[-1])
         if first:
-            after = written(buckets(grouped_by(lean, parts), CHOICES), "buckets")
+            after = written(buckets(block_keys(grouped_by(lean, parts), CHOICES), lean), "buckets")
         else:
             # Rows that served as pivots are compared with the whole bucket; the others go on while their groups differ.
             rest = (left if pivots == 1 else going).join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti")
@@ -223,6 +264,10 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
             pivots *= PIVOTS
         emptied(left)
         left, first = after, False
+        if exact and far is not None and left.isEmpty():
+            emptied(left)
+            texts = grouped_by(lean.select("row"), parts).join(rows.select("row", "text"), "row")
+            left, pivots, far = written(buckets(written(prefix_keys(texts, percent, words_in_shingle), "prefixes"), lean), "buckets"), 1, None
         if left.isEmpty():
             for table in (classes, left, *tried, *sets, *links):
                 emptied(table)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from chronofact.llm.similar_texts import CHOICES, shingles
+from chronofact.llm.similar_texts import CHOICES, grown, shingles, similar_groups
 
 
 def brute_sets(text):
@@ -53,6 +53,30 @@ def test_near_copies_by_jaccard(spark):
     assert corpus_pipeline.drop_similar(spark, docs.limit(0), "").count() == 0
 
 
+def test_the_exact_way_loses_no_link(spark):
+    """All groups of brute force, those that no choice of blocks finds too."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(30):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(40, 200))]
+        for e in (0, len(base) // 50, len(base) // 46, len(base) // 44, len(base) // 42, len(base) // 30):
+            rows.append((len(rows), " ".join(edited(rng, base, e))))
+    big = [f"g{i}" for i in range(120)]
+    rows += [(len(rows) + k, " ".join(edited(rng, big, rng.randint(0, 4)))) for k in range(50)]
+    kept, links = brute_kept(rows)
+    frame = spark.createDataFrame(rows, "row long, text string")
+    found = {r["node"]: r["component"] for r in similar_groups(frame, exact=True).collect()}
+    assert {i for i, _ in rows if found.get(i, i) == i} == kept and all(found[a] == found[b] for a, b in links)
+    assert len(links) > 300 and {*found} == {i for pair in links for i in pair}
+
+
+def test_components_grow(spark):
+    parts = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (9, 5)], "node long, component long")
+    links = spark.createDataFrame([(1, 2), (9, 20), (20, 21), (2, 0), (30, 31)], "u long, v long")
+    assert sorted(map(tuple, grown(parts, links).collect())) == [(0, 0), (1, 0), (2, 0), (5, 5), (9, 5), (20, 5), (21, 5), (30, 30), (31, 30)]
+    assert grown(parts, links.limit(1)) is parts
+
+
 def test_shingles_are_distinct_and_sorted():
     assert len(CHOICES) == 155 and len({(a, b) for t in CHOICES.tolist() for a in t for b in t if a < b}) == 155 * 3
     assert len(shingles("a b c d e " * 30)) == 5 and list(shingles("x y")) == list(shingles("X  Y"))
