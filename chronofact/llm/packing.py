@@ -16,20 +16,20 @@ from chronofact.llm.shared import written
 from chronofact.llm.tokens import encoder
 
 #: Characters that are encoded together, and chunks of a cache's generation: half of what operator 4 takes, as the
-#: pipeline's earlier stages leave memory in the same workers.
+#: pipeline's earlier stages leave memory in the same workers. Only time and memory depend on them.
 CHARS, CACHED = 4_000_000, 120_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, chars: int = CHARS, cached: int = CACHED) -> DataFrame:
     """docs(doc_id, text) -> the pieces of every document: ids with end_id behind them, cut only if over ``capacity``.
 
     All pieces of a long document have ``capacity`` ids but the first, which has what is left over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(tokenizer, CACHED), np.array([end_id], dtype="<u4")
-        for ids, texts in groups(batches, CHARS):
+        e, end = encoder(tokenizer, cached), np.array([end_id], dtype="<u4")
+        for ids, texts in groups(batches, chars):
             flat, at = e.encode(texts)
             out = []
             for doc_id, a, b in zip(ids, [0, *at[:-1]], at, strict=True):
@@ -242,11 +242,11 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 400) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(place, ddl + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 400) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 400, chars: int = CHARS, cached: int = CACHED) -> DataFrame:
     """docs(doc_id, text) -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is its end id alone. Rows are packed as they come: null and repeated doc_ids are rows of their
     own. Ties between pieces of a length go by storage order, which affects ids of sequences alone. An empty table
     gives no rows.
     """
-    return pack(token_pieces(docs, tokenizer, capacity, end_id), capacity, nodes)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, chars, cached), capacity, nodes)
