@@ -84,21 +84,51 @@ def _sanitized(raw: str) -> str:
     return urlunsplit((parts.scheme.lower(), (parts.hostname or "") + ("" if port is None else f":{port}"), parts.path, "", ""))
 
 
+#: A url of plain form: scheme, host of ASCII letters, port, path, query and fragment, without user-info, brackets, spaces or
+#: control characters. Its parts are its groups; any other url goes to Python.
+PLAIN = r"^([A-Za-z][A-Za-z0-9+.-]*)://([A-Za-z0-9._-]+)(?::([0-9]{1,5}))?(/[^?#\s\p{Cntrl}]*)?(?:\?[^#\s\p{Cntrl}]*)?(?:#[^\s\p{Cntrl}]*)?$"
+LARGEST_PORT = 65535
+
+
+def _is_plain(url: Column) -> Column:
+    port = F.regexp_extract(url, PLAIN, 3).try_cast("int")
+    return F.coalesce(url.rlike(PLAIN) & (F.coalesce(port, F.lit(0)) <= LARGEST_PORT), F.lit(False))
+
+
 @F.pandas_udf(T.StringType())
-def sanitize_url(urls: pd.Series) -> pd.Series:
-    """Scheme, host, port and path only, for messages; ``<unparsable-url>`` if it can't be parsed."""
+def _sanitized_odd(urls: pd.Series) -> pd.Series:
     return urls.map(_sanitized, na_action="ignore")
 
 
-@F.pandas_udf(T.StructType([T.StructField("scheme", T.StringType()), T.StructField("host", T.StringType()), T.StructField("userinfo", T.BooleanType()), T.StructField("ok", T.BooleanType())]))
-def url_safety_parts(urls: pd.Series) -> pd.DataFrame:
+def sanitize_url(url: Column | str) -> Column:
+    """Scheme, host, port and path only, for messages; ``<unparsable-url>`` if it can't be parsed."""
+    url = F.col(url) if isinstance(url, str) else url
+    part = [F.regexp_extract(url, PLAIN, i) for i in range(5)]
+    port = F.when(part[3] != "", F.concat(F.lit(":"), part[3].try_cast("int").cast("string"))).otherwise("")
+    plain = _is_plain(url)
+    return F.when(plain, F.concat(F.lower(part[1]), F.lit("://"), F.lower(part[2]), port, part[4])).otherwise(_sanitized_odd(F.when(~plain, url)))
+
+
+PARTS = T.StructType([T.StructField("scheme", T.StringType()), T.StructField("host", T.StringType()), T.StructField("userinfo", T.BooleanType()), T.StructField("ok", T.BooleanType())])
+
+
+@F.pandas_udf(PARTS)
+def _odd_parts(urls: pd.Series) -> pd.DataFrame:
     def one(u):
         if u is None or (found := _split(u)) is None:
             return None, None, None, False
         parts = found[0]
         return parts.scheme.lower(), (parts.hostname or "").lower() or None, bool(parts.username or parts.password), True
 
-    return pd.DataFrame([one(u) for u in urls], columns=["scheme", "host", "userinfo", "ok"])
+    return pd.DataFrame([one(u) for u in urls], columns=PARTS.names)
+
+
+def url_safety_parts(url: Column | str) -> Column:
+    """scheme, host, whether there is user-info, and whether the url can be parsed; not ok for null."""
+    url = F.col(url) if isinstance(url, str) else url
+    plain = _is_plain(url)
+    own = F.struct(F.lower(F.regexp_extract(url, PLAIN, 1)).alias("scheme"), F.lower(F.regexp_extract(url, PLAIN, 2)).alias("host"), F.lit(False).alias("userinfo"), F.lit(True).alias("ok"))
+    return F.when(plain, own.cast(PARTS)).otherwise(_odd_parts(F.when(~plain, url)))
 
 
 def unsafe_reason(url: Column, allowed_hosts: Column) -> Column:
@@ -114,15 +144,23 @@ def unsafe_reason(url: Column, allowed_hosts: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def network_identity(addresses: pd.Series) -> pd.Series:
-    """The grouping key of an address: IPv4 /24, IPv6 /56; null for anything else."""
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4 = rf"^((?:{OCTET}\.){{3}}){OCTET}$"
 
+
+@F.pandas_udf(T.StringType())
+def _ipv6_network(addresses: pd.Series) -> pd.Series:
     def one(a: str) -> str | None:
         try:
-            ip = ipaddress.ip_address(a)
+            return str(ipaddress.IPv6Network((a, 56), strict=False))
         except ValueError:
             return None
-        return str(ipaddress.ip_network((ip, 24 if ip.version == 4 else 56), strict=False))
 
     return addresses.map(one, na_action="ignore")
+
+
+def network_identity(address: Column | str) -> Column:
+    """The grouping key of an address: IPv4 /24, IPv6 /56; null for anything else. Only IPv6 goes to Python."""
+    address = F.col(address) if isinstance(address, str) else address
+    v4 = F.coalesce(address.rlike(IPV4), F.lit(False))
+    return F.when(v4, F.concat(F.regexp_extract(address, IPV4, 1), F.lit("0/24"))).otherwise(_ipv6_network(F.when(~v4 & address.contains(":"), address)))

@@ -105,9 +105,12 @@ def gate_facts(candidates: DataFrame, snapshots: DataFrame) -> DataFrame:
     good = rows.where("_ok")
     conflicts = good.groupBy("snapshot_id", "field").agg((F.count_distinct(F.struct("value", "disclosure_status")) > 1).alias("_conflict"))
     mixed = cross_contaminated(good).withColumn("_mixed", F.lit(True))
+    # A content meets each different span of its snapshot once; candidates get the answer only.
     hay = snapshots.select("snapshot_id", normalise_name(F.coalesce("content_text", F.lit(""))).alias("_hay"))
-    joined = rows.join(conflicts, ["snapshot_id", "field"], "left").join(mixed, ["snapshot_id", "cand_pos"], "left").join(hay, "snapshot_id", "left")
-    grounded = F.coalesce((F.length("_span") > 0) & F.contains("_hay", "_span"), F.lit(False))
+    spans = good.where("_span <> ''").select("snapshot_id", "_span").distinct()
+    found = spans.join(hay, "snapshot_id").where(F.contains("_hay", "_span")).select("snapshot_id", "_span", F.lit(True).alias("_found"))
+    joined = rows.join(conflicts, ["snapshot_id", "field"], "left").join(mixed, ["snapshot_id", "cand_pos"], "left").join(found, ["snapshot_id", "_span"], "left")
+    grounded = F.coalesce("_found", F.lit(False))
     reason = (
         F.when(~F.col("_ok"), F.lit("bad_shape"))
         .when(F.coalesce("_conflict", F.lit(False)), F.lit("conflicting_candidates"))

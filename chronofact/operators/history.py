@@ -151,6 +151,23 @@ def build_change_sets(changes: DataFrame) -> DataFrame:
     return grouped.select("change_set_id", "company_key", "product_key", "consistent", "changes", ids["previous"].alias("previous_snapshot_ids"), ids["current"].alias("current_snapshot_ids"))
 
 
+def change_set_pages(changes: DataFrame, size: int) -> DataFrame:
+    """Positioned changes -> change sets in pages of ``size`` changes, for sets too large for one row.
+
+    change_set_id, company_key, product_key, page (from 0), changes, and the snapshots of both sides that the page is the
+    first to cite, in first-seen order: end to end the pages are what ``build_change_sets`` gives.
+    """
+    page = F.expr(f"position div {int(size)}")
+    keys = ["change_set_id", "company_key", "product_key"]
+    items = F.array_sort(F.collect_list(F.struct("position", "id", "field", "change_type", "previous", "current")))
+    paged = changes.groupBy(*keys, page.alias("page")).agg(items.alias("changes"))
+    cited = change_set_citations(changes).groupBy("change_set_id", page.alias("page")).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("position", "snapshot_id")))).alias(s) for s in ("previous", "current")]
+    )
+    ids = [F.coalesce(F.col(f"{s}.snapshot_id"), F.array()).alias(f"{s}_snapshot_ids") for s in ("previous", "current")]
+    return paged.join(cited, ["change_set_id", "page"], "left").select(*keys, "page", "changes", *ids)
+
+
 def change_set_citations(changes: DataFrame) -> DataFrame:
     """Positioned changes -> change_set_id, side, snapshot_id, first position, each snapshot once a side."""
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}.snapshot_id").alias("snapshot_id")) for s in ("previous", "current")]))
@@ -165,6 +182,13 @@ def changes_for_snapshots(changes: DataFrame, subjects: DataFrame, snapshots: Da
     return wanted.join(names, ["company_key", "product_key"])
 
 
+def changes_for_sets(changes: DataFrame, subjects: DataFrame, sets: DataFrame) -> DataFrame:
+    """Positioned changes of the asked-for sets (change_set_id) with their place in them and the subject's names."""
+    wanted = changes.join(sets.select("change_set_id").distinct(), "change_set_id", "left_semi")
+    names = subjects.select("company_key", "product_key", F.col("company").alias("subject_company"), F.col("product").alias("subject_product"))
+    return wanted.join(names, ["company_key", "product_key"])
+
+
 def field_history(facts: DataFrame, bucket: str = "day") -> DataFrame:
     """Superseded facts of each key with their number in order; the current one, the last, is left out."""
     rows = scanned(facts, KEYS, ORDER, F.date_trunc(bucket, "observed_at"), number="_number", lead={"_following": F.lit(1)})

@@ -17,6 +17,9 @@ MATCH_CONFIDENCE = 0.95
 MIN_CONFIDENCE = 0.6
 EXCERPT_CHARS = 500
 
+#: Phrases up to which every task holds all of them.
+SMALL = 5000
+
 
 def alias_table(aliases: DataFrame, known_subjects: DataFrame | None = None) -> DataFrame:
     """aliases(company, product, aliases array) and known subjects -> phrases: company with product and every alias are
@@ -34,16 +37,49 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
-def phrase_join(texts: DataFrame, phrases: DataFrame, key: str = "item_id", text: str = "haystack") -> DataFrame:
-    """(key, normalised text) and phrases -> key and phrase columns of every whole-phrase occurrence, once each.
+def filed_phrases(texts: DataFrame, phrases: DataFrame, text: str = "haystack", sample: float = 0.05) -> DataFrame:
+    """phrases with _word, the word of each that fewest of the texts have (then the longest, then the least).
 
-    A phrase is filed under its longest word. Distinct words of texts meet that word in an equi-join, and only those
-    pairs are verified, so neither side needs to be small and no pair of text and phrase is formed without a shared word.
+    Frequencies are counted over a sample of the texts: they decide how many candidates there are, never which phrases match.
     """
+    words = phrases.select("phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("_word")).distinct()
+    seen = texts.sample(sample, 7).select(F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
+    counts = seen.join(words.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    best = words.join(counts, "_word", "left").groupBy("phrase").agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), -F.length("_word"), "_word")).alias("_word"))
+    return phrases.join(best, "phrase").select(*phrases.columns, "_word")
+
+
+def phrase_candidates(texts: DataFrame, filed: DataFrame, key: str = "item_id", text: str = "haystack") -> DataFrame:
+    """(key, phrase columns) of texts that have the word under which a phrase is filed."""
     words = texts.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
-    filed = phrases.withColumn("_word", F.array_max(F.transform(F.split("phrase", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    pairs = words.join(filed, "_word").select(key, *phrases.columns)
-    return pairs.join(texts.select(key, text), key).where(contains_phrase(F.col(text), F.col("phrase"))).select(key, *phrases.columns).distinct()
+    return words.join(filed, "_word").drop("_word")
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str = "item_id", text: str = "haystack", also: Column | None = None, most: int = SMALL) -> DataFrame:
+    """(key, normalised text, ...) and phrases -> key and phrase columns of every whole-phrase occurrence, once each.
+
+    Only texts with the word under which a phrase is filed are looked at for it. Up to ``most`` phrases, a text's words are
+    held against all filing words where the text is, and candidates are verified there at once; no text is moved. Above,
+    distinct words meet filing words in an equi-join, and candidates go back to their texts. ``also`` is a further
+    condition over the columns of both.
+    """
+    filed = filed_phrases(texts, phrases, text)
+    held = filed.limit(most + 1).collect()
+    found = contains_phrase(F.col(text), F.col("phrase")) & (F.lit(True) if also is None else also)
+    if len(held) <= most:
+        index = texts.sparkSession.createDataFrame(held, filed.schema)
+        wanted = F.array(*[F.lit(w) for w in sorted({r["_word"] for r in held})]) if held else F.array().cast("array<string>")
+        hit = F.array_intersect(F.split(text, " "), wanted)
+        # At most ``most`` phrases, so each task holds them all.
+        pairs = texts.withColumn("_word", F.explode(hit)).join(F.broadcast(index), "_word")
+    else:
+        pairs = phrase_candidates(texts, filed, key, text).join(texts, key)
+    return pairs.where(found).select(key, *phrases.columns).distinct()
+
+
+def phrase_join(texts: DataFrame, phrases: DataFrame, key: str = "item_id", text: str = "haystack", most: int = SMALL) -> DataFrame:
+    """Every whole-phrase occurrence (see ``phrase_hits``)."""
+    return phrase_hits(texts.select(key, text), phrases, key, text, most=most)
 
 
 def trusted_source_match(items: DataFrame) -> DataFrame:
@@ -52,14 +88,23 @@ def trusted_source_match(items: DataFrame) -> DataFrame:
     return items.join(F.broadcast(pairs), "source_id").select("item_id", "company", "product", F.col("source_id").alias("matched_text"))
 
 
+def named_or_strong() -> Column:
+    """Whether a match counts: a strong phrase, or a bare product name whose company publishes or is named in the text."""
+    company = normalise_name(F.col("company"))
+    return F.col("strong") | (normalise_name(F.col("publisher")) == company) | ((F.length(company) >= 2) & contains_phrase(F.col("haystack"), company))
+
+
 def bare_name_gate(matches: DataFrame, items: DataFrame) -> DataFrame:
     """Matches of bare product names stay only if the publisher is the company or the text names it.
 
-    items has item_id, publisher and haystack.
+    items has item_id, publisher and haystack. Where matches are still to be found, ``gated_matches`` needs no join.
     """
-    company = normalise_name(F.col("company"))
-    ok = F.col("strong") | (normalise_name(F.col("publisher")) == company) | ((F.length(company) >= 2) & contains_phrase(F.col("haystack"), company))
-    return matches.join(items.select("item_id", "publisher", "haystack"), "item_id").where(ok).select(*matches.columns)
+    return matches.join(items.select("item_id", "publisher", "haystack"), "item_id").where(named_or_strong()).select(*matches.columns)
+
+
+def gated_matches(items: DataFrame, phrases: DataFrame, most: int = SMALL) -> DataFrame:
+    """Phrase matches of items (item_id, publisher, haystack) that the gate lets through, in one pass over the texts."""
+    return phrase_hits(items.select("item_id", "publisher", "haystack"), phrases, also=named_or_strong(), most=most)
 
 
 def with_haystack(items: DataFrame) -> DataFrame:
@@ -75,7 +120,7 @@ def resolve(items: DataFrame, phrases: DataFrame) -> DataFrame:
     matching ones as candidates, never guessed. matched_text is the first strong phrase in text order, else the bare name.
     """
     hay = with_haystack(items)
-    hits = bare_name_gate(phrase_join(hay, phrases), hay)
+    hits = gated_matches(hay, phrases)
     by_subject = hits.groupBy("item_id", "company", "product").agg(F.min_by("phrase", F.struct(~F.col("strong"), F.col("phrase"))).alias("phrase"))
     found = by_subject.groupBy("item_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("company", "product"))).alias("candidates"), F.min(F.struct("company", "product", "phrase")).alias("one"))
     trusted = trusted_source_match(items).select("item_id", F.struct("company", "product", F.col("matched_text").alias("phrase")).alias("trusted"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronofact.operators.ordered import scanned
+
 # Limits of requests by scope, as (window, number).
 LIMITS = {"subscribe_address": ("1 hour", 3), "subscribe_network": ("1 hour", 20), "subscription_token_network": ("10 minutes", 30)}
 
@@ -37,14 +39,31 @@ def live_tokens(tokens: DataFrame, subscriptions: DataFrame, now: Column) -> Dat
     return rows.where(F.col("revoked_at").isNull() & (F.col("consent_generation") == F.col("_g")) & (confirm | leave)).select(*tokens.columns)
 
 
-def rate_limit(requests: DataFrame, window: str, limit: int, keys: list[str], ts: str = "ts", order: str = "id") -> DataFrame:
+def rate_limit(requests: DataFrame, window: str, limit: int, keys: list[str], ts: str = "ts", order: str = "id", part: str = "minute") -> DataFrame:
     """Every request with its epoch-aligned window, its number in it and whether it is allowed: the first ``limit`` are.
 
-    Windows part even a hot identity's requests by time.
+    An identity's requests are numbered within parts of a window (``part``) and the parts are stitched by one row each, so
+    no task sorts a hot identity's whole window.
+    """
+    rows = requests.withColumn("window_start", F.window(ts, window)["start"])
+    numbered = scanned(rows, [*keys, "window_start"], [ts, order], F.date_trunc(part, ts), number="number")
+    return numbered.withColumn("number", F.col("number").cast("int")).withColumn("allowed", F.col("number") <= limit)
+
+
+def allowed_until(requests: DataFrame, window: str, limit: int, keys: list[str], ts: str = "ts", order: str = "id") -> DataFrame:
+    """Per identity and window the (time, id) of the last request that is allowed, null while all are.
+
+    What answers requests needs no numbers: each task keeps the ``limit`` least of an identity's requests, and these are
+    merged, so a window of any size costs ``limit`` entries a task.
     """
     rows = requests.withColumn("window_start", F.window(ts, window)["start"])
-    w = Window.partitionBy(*keys, "window_start").orderBy(ts, order)
-    return rows.withColumn("number", F.row_number().over(w)).withColumn("allowed", F.col("number") <= limit)
+    seen = F.struct(F.col(ts).alias("ts"), F.col(order).alias("id"))
+    # Parts of a window keep their least first, so that what is merged is bounded.
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(64)))
+    w = Window.partitionBy(*keys, "window_start", "_part").orderBy(ts, order)
+    least = salted.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= limit)
+    grouped = least.groupBy(*keys, "window_start").agg(F.slice(F.array_sort(F.collect_list(seen)), 1, limit).alias("least"))
+    return grouped.select(*keys, "window_start", F.when(F.size("least") == limit, F.get("least", F.lit(limit - 1))).alias("last_allowed"))
 
 
 def rate_limit_counts(requests: DataFrame, window: str, limit: int, keys: list[str], ts: str = "ts") -> DataFrame:

@@ -170,7 +170,14 @@ def f8_latest_published(spark, sf_dir):
     return f.latest_published(o).select("id", "digest_date")
 
 
-QUERIES = {q.__name__: q for q in (p1_canonical_urls, p2_tracking_params, p3_dedupe_keys, p4_contents, p8_url_safety, p9_sanitized_urls, p10_names, p11_field_labels, p12_claim_texts, p17_values, c1_items, c1_items_upserted, c2_snapshots, c3_latest, c4_ingest_outcomes, c5_history, c6_collapse, f1_windows, f2_window_selection, f3_selection, f4_feed_page, f5_changes_feed, f6_digests_feed, f7_pages, f8_latest_published, f9_capped_rows)}
+def f8_published_by_date(spark, sf_dir):
+    """The published digests of the day with the last finished order."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("digest_date"), F.when(F.col("o_orderstatus") == "F", F.lit("published")).otherwise(F.lit("draft")).alias("status"))
+    last = f.latest_published(o).select(F.col("digest_date").alias("last_date"))
+    return f.published_by_date(o.join(last, F.col("digest_date") == F.col("last_date")), F.col("last_date")).select("id", "digest_date")
+
+
+QUERIES = {q.__name__: q for q in (p1_canonical_urls, p2_tracking_params, p3_dedupe_keys, p4_contents, p8_url_safety, p9_sanitized_urls, p10_names, p11_field_labels, p12_claim_texts, p17_values, c1_items, c1_items_upserted, c2_snapshots, c3_latest, c4_ingest_outcomes, c5_history, c6_collapse, f1_windows, f2_window_selection, f3_selection, f4_feed_page, f5_changes_feed, f6_digests_feed, f7_pages, f8_latest_published, f8_published_by_date, f9_capped_rows)}
 
 #: Urls of the pages have plain hosts and at most the parameters page, ref and utm_source.
 CANONICAL = r"""
@@ -222,5 +229,6 @@ ORACLES = {
     "f5_changes_feed": "with o as (select *, row_number() over (order by ts desc, event_id desc) as rn, count(*) over () as n from events where event_type = 'click' and ts >= timestamp '2024-01-02' and ts < timestamp '2024-01-20') select event_id as id, 'Company ' || user_id as company, rn::integer as position, n > 50 as has_more from o where rn <= 50",
     "f6_digests_feed": "with o as (select *, row_number() over (order by o_orderdate::date desc, o_orderkey desc) as rn, count(*) over () as n from orders where o_orderstatus = 'F' and o_orderdate::date < date '1996-06-01') select o_orderkey as id, o_orderdate::date as digest_date, rn::integer as position, n > 30 as has_more from o where rn <= 30",
     "f7_pages": "select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey desc) - 1 as position, ((row_number() over (order by o_orderdate desc, o_orderkey desc) - 1) // 20 + 1)::bigint as page from orders",
+    "f8_published_by_date": "select o_orderkey as id, o_orderdate::date as digest_date from orders where o_orderstatus = 'F' and o_orderdate::date = (select max(o_orderdate::date) from orders where o_orderstatus = 'F')",
     "f8_latest_published": "select o_orderkey as id, o_orderdate::date as digest_date from orders where o_orderstatus = 'F' order by o_orderdate::date desc, o_orderkey desc limit 1",
 }

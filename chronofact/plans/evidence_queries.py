@@ -42,7 +42,7 @@ def r4_gated_matches(spark, sf_dir):
     words = F.split(F.trim("text"), r"\s+")
     bare = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("company"), words[1].alias("product"), r.normalise_name(words[1]).alias("phrase"), F.lit(False).alias("strong")).where("length(phrase) >= 2").distinct()
     hay = r.with_haystack(_items(spark, sf_dir))
-    return r.bare_name_gate(r.phrase_join(hay, bare), hay).select("item_id", "company", "product")
+    return r.gated_matches(hay, bare).select("item_id", "company", "product")
 
 
 def r5_resolutions(spark, sf_dir):
@@ -98,10 +98,10 @@ def _candidates(spark, sf_dir):
     value = F.when(~hidden, F.when(k % 5 == 0, F.lit("Zzz Zzz")).otherwise(F.concat_ws(" ", F.slice("w", 2, 2))))
     field = F.element_at(F.array(*[F.lit(f) for f in _FIELDS]), (k % 7 + 1).cast("int"))
     cands = docs.select(F.floor(k / 3).alias("snapshot_id"), k.alias("cand_pos"), field.alias("field"), value.alias("value"), F.when(hidden, F.lit("not_disclosed")).otherwise(F.lit("disclosed")).alias("disclosure_status"), quote.alias("quoted_span"), ((k % 10 + 1) / 10.0).alias("confidence"))
-    snaps = docs.where(k % 3 == 0).select(F.floor(k / 3).alias("snapshot_id"), F.concat(F.concat_ws(" ", "w"), F.lit(". Input pricing has not been announced. Licence terms are not yet public.")).alias("content_text"))
-    # A third of the snapshots stands for its neighbours' texts too, so that their quotes are grounded.
-    more = docs.where(k % 3 == 1).select(F.floor(k / 3).alias("snapshot_id"), F.concat_ws(" ", F.slice("w", 1, 6)).alias("_m"))
-    both = snaps.join(more, "snapshot_id", "left").withColumn("content_text", F.concat_ws(" ", "content_text", "_m")).drop("_m")
+    # A snapshot has the texts of three documents; every third one is filed with the next ones, so its own quotes aren't grounded.
+    said = F.concat(F.concat_ws(" ", "w"), F.when(k % 3 == 0, F.lit(". Input pricing has not been announced. Licence terms are not yet public.")).otherwise(F.lit("")))
+    parts = docs.select(F.floor((k + 1) / 3).alias("snapshot_id"), F.struct(k.alias("k"), said.alias("said")).alias("part"))
+    both = parts.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list("part"))["said"], " ").alias("content_text"))
     return cands, both
 
 
@@ -299,7 +299,7 @@ GATES = f"""
     c1 as (select *, case when field0 = 'context_window' then 'context_window_tokens' else field0 end as field, case when field0 = 'context_window' then null else trim(value0) end as value from cand),
     c2 as (select *, (status = 'not_disclosed' and value is null) or (status = 'disclosed' and coalesce(length(value), 0) > 0) as shape from c1),
     conf as (select snapshot_id, field, count(distinct struct_pack(value, status)) > 1 as conflict from c2 where shape group by all),
-    snap as (select a.doc_id // 3 as snapshot_id, {_name("concat_ws(' ', array_to_string(a.w, ' ') || '. Input pricing has not been announced. Licence terms are not yet public.', array_to_string(b.w[1:6], ' '))")} as hay from dw a left join dw b on b.doc_id = a.doc_id + 1 where a.doc_id % 3 = 0),
+    snap as (select (doc_id + 1) // 3 as snapshot_id, {_name("string_agg(array_to_string(w, ' ') || case when doc_id % 3 = 0 then '. Input pricing has not been announced. Licence terms are not yet public.' else '' end, ' ' order by doc_id)")} as hay from dw group by 1),
     judged as (select c2.*, case when not shape then 'bad_shape' when coalesce(conflict, false) then 'conflicting_candidates' when field = 'colour' then 'unknown_field' when confidence < 0.6 then 'low_confidence'
       when {_name("quote")} = '' or not contains(coalesce(hay, ''), {_name("quote")}) then 'ungrounded_span' when value is not null and not ({_name("value")} <> '' and contains(' ' || {_name("quote")} || ' ', ' ' || {_name("value")} || ' ')) then 'value_not_in_quote'
       when value is null and not ((quote like 'Input%' and field = 'input_price_usd') or (quote like 'Licence%' and field = 'licence_terms')) then 'non_disclosure_not_supported' end as reason0
@@ -313,6 +313,23 @@ ORACLES = {
     "r4_gated_matches": f"with {PHRASES}, bare as (select distinct 'src' || (item_id % 20) as company, regexp_split_to_array(trim(text), '\\s+')[2] as product from benchmark) select item_id, company, product from hay join bare on contains(' ' || h || ' ', ' ' || {_name('product')} || ' ') where length({_name('product')}) >= 2 and (publisher = company or contains(' ' || h || ' ', ' ' || company || ' '))",
     "r5_resolutions": f"with {PHRASES} select item_id, method, company, product, matched_text, n_candidates from res",
     "r9_routes": f"with {PHRASES} select case method when 'alias_match' then 'extract' when 'no_match' then 'propose' else 'stop' end as next, count(*) as n from res group by all",
+    "r6_quotes": f"""
+        with q as (select item_id, text as quote, {_name("array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:3], ' ')")} as phrase, {_name("text")} as said from benchmark),
+        r as (select doc_id, text, q.* from documents join q on doc_id % 40 = item_id)
+        select doc_id, coalesce(length(quote) > 0 and regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(quote) || '([^\\p{{L}}\\p{{N}}_]|$)') and contains(' ' || said || ' ', ' ' || phrase || ' '), false) as supported from r
+    """,
+    "r7_proposals": f"""
+        with t as (select doc_id, left(coalesce(text, ''), 30) as title, string_split(left(coalesce(text, ''), 30), ' ')[1] as w, coalesce(text, '') as content from documents),
+        p as (select *, case when doc_id % 5 <> 0 then 'Acme' end as company, case when doc_id % 3 = 0 then 'Other' else w end as product, case when doc_id % 7 <> 0 then w else 'invented' end as quote, (doc_id % 10) / 10.0 as confidence, title || chr(10) || left(content, 500) as evidence from t),
+        j as (select *, confidence >= 0.6 as sure, coalesce(length(company) > 0 and length(product) > 0, false) as proposed, company = 'Acme' and product = w as known,
+              length(quote) > 0 and regexp_matches(evidence, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(quote) || '([^\\p{{L}}\\p{{N}}_]|$)') and length({_name("product")}) >= 2 and contains(' ' || {_name("quote")} || ' ', ' ' || {_name("product")} || ' ') as supported from p)
+        select case when not sure then 'llm_low_confidence' when proposed and known and supported then 'llm_resolved' when proposed and known then 'llm_unsupported_subject_evidence' when proposed then 'llm_subject_not_in_candidates' else 'llm_new_subject_proposal' end as method, count(*) as n, sum(doc_id)::bigint as ids from j group by 1
+    """,
+    "p14_numbers": r"""
+        with named as (select doc_id, regexp_replace(regexp_replace(text, '[,$%]', '', 'g'), '[A-Za-z]+-[0-9]+(\.[0-9]+)?[A-Za-z]*', 'x', 'g') as t from documents),
+        plain as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[0-9]+(\.[0-9]+)?\s*[kKmM]($|[^A-Za-z])', '~\2', 'g'), '[0-9]([A-Za-z])', '~\1', 'g'), '[A-Za-z][0-9]', '~', 'g') as t from named)
+        select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)?'))), ',') as numbers from plain
+    """,
     "r8_registry": f"with k as (select case when event_id % 2 = 0 then 'Company ' || user_id else 'company-' || user_id || '.' end as company, upper(event_type[1]) || event_type[2:] as product, ts from events) select {_name('company')} as company_key, {_name('product')} as product_key, arg_min(company, (ts, company, product)) as company, arg_min(product, (ts, company, product)) as product, min(ts) as created_at from k group by 1, 2",
     "p15_multipliers": "select event_id, (floor(value) * case when event_id % 2 = 0 then 1000 else 1000000 end)::bigint::varchar as numbers from events",
     "g12_gates": f"with {GATES} select snapshot_id, cand_pos, field, reason is null as accepted, reason from gated",

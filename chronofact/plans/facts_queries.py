@@ -100,6 +100,11 @@ def h11_change_sets_built(spark, sf_dir):
     return sets.select("company_key", "consistent", F.size("changes").alias("n"), F.concat_ws(",", F.transform("current_snapshot_ids", lambda x: x.cast("string"))).alias("current_ids"))
 
 
+def h11_change_set_pages(spark, sf_dir):
+    sets = h.change_set_pages(_positioned(spark, sf_dir), 20)
+    return sets.select("company_key", "page", F.size("changes").alias("n"), F.concat_ws(",", F.transform("current_snapshot_ids", lambda x: x.cast("string"))).alias("current_ids"))
+
+
 def h12_citations(spark, sf_dir):
     return h.change_set_citations(_positioned(spark, sf_dir)).select("change_set_id", "side", "snapshot_id", "position")
 
@@ -111,6 +116,14 @@ def h13_changes_for_snapshots(spark, sf_dir):
     return h.changes_for_snapshots(_changes(spark, sf_dir), subjects, wanted).select("company_key", "subject_company", "field", F.col("current.snapshot_id").alias("current_id"))
 
 
+def h13_changes_for_sets(spark, sf_dir):
+    """Changes of the sets with more than sixty."""
+    facts, changes = observations(spark, sf_dir), _positioned(spark, sf_dir)
+    subjects = facts.select("company_key", "product_key", "company", "product").distinct()
+    large = changes.groupBy("change_set_id").count().where("count > 60")
+    return h.changes_for_sets(changes, subjects, large).select("change_set_id", "subject_company", "field", "position", F.col("current.snapshot_id").alias("current_id"))
+
+
 def h14_field_history(spark, sf_dir):
     return h.field_history(observations(spark, sf_dir)).select("company_key", "field", "id", "position")
 
@@ -127,7 +140,7 @@ def h15_as_of(spark, sf_dir):
     return h.facts_as_of(facts, probes, ["company_key"]).select("event_id", "value", "disclosure_status")
 
 
-QUERIES = {f.__name__: f for f in (h1_record_facts, h2_current_facts, h3_read_current, h4_fact_changes, h4_incremental, h5_tolerant_changes, h6_change_types, h7_latest_confirmation, h8_change_shapes, h9_change_sets, h10_positions, h11_change_sets_built, h12_citations, h13_changes_for_snapshots, h14_field_history, h15_intervals, h15_as_of)}
+QUERIES = {f.__name__: f for f in (h1_record_facts, h2_current_facts, h3_read_current, h4_fact_changes, h4_incremental, h5_tolerant_changes, h6_change_types, h7_latest_confirmation, h8_change_shapes, h9_change_sets, h10_positions, h11_change_sets_built, h11_change_set_pages, h12_citations, h13_changes_for_snapshots, h13_changes_for_sets, h14_field_history, h15_intervals, h15_as_of)}
 
 _SET = "sha256(concat('batch', chr(1), company_key, chr(1), product_key))"
 _ID = "sha256(concat(company_key, chr(1), product_key, chr(1), field, chr(1), snapshot_id, chr(1), '1'))"
@@ -158,8 +171,10 @@ ORACLES = {
     "h9_change_sets": f"with {CHANGES} select {_SET} as change_set_id, company_key, count(*) as n from changes group by all",
     "h10_positions": f"with {POSITIONED} select company_key, field, snapshot_id as current_id, position::integer as position from pos",
     "h11_change_sets_built": f"with {POSITIONED} select company_key, true as consistent, count(*)::integer as n, string_agg(snapshot_id::varchar, ',' order by position) as current_ids from pos group by all",
+    "h11_change_set_pages": f"with {POSITIONED} select company_key, position // 20 as page, count(*)::integer as n, string_agg(snapshot_id::varchar, ',' order by position) as current_ids from pos group by all",
     "h12_citations": f"with {POSITIONED} select change_set_id, side, snapshot_id, min(position)::integer as position from (select change_set_id, 'current' as side, snapshot_id, position from pos union all select change_set_id, 'previous', p_id, position from pos) group by all",
     "h13_changes_for_snapshots": f"with {CHANGES} select company_key, company as subject_company, field, snapshot_id as current_id from changes where field = 'error'",
+    "h13_changes_for_sets": f"with {POSITIONED} select change_set_id, company as subject_company, field, position::integer as position, snapshot_id as current_id from pos qualify count(*) over (partition by change_set_id) > 60",
     "h14_field_history": f"with {OBSERVATIONS} select company_key, field, id, (row_number() over (partition by company_key, field order by observed_at, id) - 1)::integer as position from obs qualify row_number() over (partition by company_key, field order by observed_at desc, id desc) > 1",
     "h15_intervals": f"""
         with {OBSERVATIONS}, f as (select *, floor(try_cast(value as double) / 20)::bigint::varchar as v from obs),

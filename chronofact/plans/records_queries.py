@@ -70,7 +70,9 @@ def a6_publication(spark, sf_dir):
     t = read(spark, sf_dir, "conversations")
     digests = t.select(F.col("conv_id").alias("digest_id"), F.lit("published").alias("status")).distinct()
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    claims = t.where("role = 'assistant' and conv_id % 10 <> 3").select(key.alias("claim_id"), F.col("conv_id").alias("digest_id"), F.when(F.length("text") % 4 == 0, F.lit("unsupported")).otherwise(F.lit("supported")).alias("validation_status"))
+    # Claims of a tenth belong to digests that aren't published, which leaves the conversation's own without any.
+    digest = F.when(F.col("conv_id") % 10 == 3, F.col("conv_id") + 1_000_000).otherwise(F.col("conv_id"))
+    claims = t.where("role = 'assistant'").select(key.alias("claim_id"), digest.alias("digest_id"), F.when(F.length("text") % 4 == 0, F.lit("unsupported")).otherwise(F.lit("supported")).alias("validation_status"))
     return a.audit_publication(digests, claims, claims.where("length(claim_id) % 2 = 0").select("claim_id"))
 
 
@@ -158,7 +160,7 @@ def q2_articles(spark, sf_dir):
 
 def z3_due_sources(spark, sf_dir):
     src = _sources(spark, sf_dir).select("id", F.lit(True).alias("enabled"), (F.length("id") * 60 * 24).alias("cadence_minutes"))
-    runs = read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("source").alias("source_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("doc_id") % 10).cast("int"))).alias("finished_at"))
+    runs = read(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("doc_id") % 10).cast("int"))).alias("finished_at"))
     return due_sources(src, runs, F.lit("2024-01-14").cast("timestamp")).select("id", F.unix_seconds("last_run").alias("last_run"))
 
 
@@ -190,6 +192,12 @@ def u3_rate_limits(spark, sf_dir):
     return s.rate_limit(ev, "1 hour", 3, ["event_type"]).select("id", "window_start", "number", "allowed")
 
 
+def u3_last_allowed(spark, sf_dir):
+    """The last event of each type and hour that three an hour allow."""
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "ts")
+    return s.allowed_until(ev, "1 hour", 3, ["event_type"]).select("event_type", "window_start", F.col("last_allowed.id").alias("last_id"))
+
+
 def u3_rate_limit_counts(spark, sf_dir):
     return s.rate_limit_counts(read(spark, sf_dir, "events"), "10 minutes", 1, ["event_type"])
 
@@ -204,6 +212,12 @@ def u5_retention(spark, sf_dir):
     return s.retention(_tokens(spark, sf_dir), F.lit("2024-04-12").cast("timestamp_ntz")).select("id")
 
 
+def u5_expired_counters(spark, sf_dir):
+    """Hourly counters of events that are a day past their hour at the end of January."""
+    counters = s.rate_limit_counts(read(spark, sf_dir, "events"), "1 hour", 3, ["event_type"]).withColumn("expires_at", F.col("window_start") + F.expr("interval 25 hours"))
+    return s.expired_counters(counters, F.lit("2024-01-25").cast("timestamp_ntz")).select("event_type", "window_start", "requests")
+
+
 def u6_emails(spark, sf_dir):
     k = F.col("event_id")
     mail = F.when(k % 10 == 0, F.lit("nobody")).when(k % 10 == 1, F.concat(F.lit(" User"), F.col("user_id").cast("string"), F.lit("@EXAMPLE.org "))).when(k % 10 == 2, F.lit("a..b@example.org")).otherwise(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@Bücher.example")))
@@ -316,7 +330,7 @@ def z4_metrics(spark, sf_dir):
     return gr.operational_metrics(runs).select("source_id", "runs", F.round("success_rate", 9).alias("success_rate"), "last_success")
 
 
-QUERIES = {f.__name__: f for f in (a1_foreign_keys, a1_latest_pointers, a1_current_facts, a2_unique_keys, a3_checks, a4_provenance, a5_append_only, a6_publication, q1_entries, q2_articles, q3_collection_report, q5_batch_status, q6_run_reports, q7_run_health, q8_combined_status, s2_feed_entries, s3_articles, s3_titles, u1_states, u2_live_tokens, u3_rate_limits, u3_rate_limit_counts, u4_networks, u5_retention, u6_emails, t1_stream_ingest, t2_stream_dedupe, t3_stream_changes, t3_stream_state, t4_stream_rate_limit, z1_similar_titles, z2_event_groups, z3_due_sources, z4_metrics, z5_change_details)}
+QUERIES = {f.__name__: f for f in (a1_foreign_keys, a1_latest_pointers, a1_current_facts, a2_unique_keys, a3_checks, a4_provenance, a5_append_only, a6_publication, q1_entries, q2_articles, q3_collection_report, q5_batch_status, q6_run_reports, q7_run_health, q8_combined_status, s2_feed_entries, s3_articles, s3_titles, u1_states, u2_live_tokens, u3_rate_limits, u3_last_allowed, u3_rate_limit_counts, u4_networks, u5_retention, u5_expired_counters, u6_emails, t1_stream_ingest, t2_stream_dedupe, t3_stream_changes, t3_stream_state, t4_stream_rate_limit, z1_similar_titles, z2_event_groups, z3_due_sources, z4_metrics, z5_change_details)}
 
 RUNS = """
     r as (select l_orderkey as run_id, count(*) as selected, count(*) filter (where l_orderkey % 5 = 0 and l_quantity > 45) as failed,
@@ -366,7 +380,7 @@ ORACLES = {
     """,
     "s2_feed_entries": r"select regexp_extract(url, '://([^/?#]+)', 1) as source_id, (row_number() over (partition by regexp_extract(url, '://([^/?#]+)', 1) order by page_id) - 1)::integer as raw_index, 'Page ' || page_id as title, url as link, 'full text' as description, 'A,B' as authors from pages",
     "s3_titles": r"select page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title from pages",
-    "z3_due_sources": "with s as (select distinct source as id from documents where source is not null), r as (select source as id, max(timestamp '2024-01-01' + to_days((doc_id % 10)::integer)) as l from documents where doc_id % 3 <> 0 group by all) select id, epoch(l)::bigint as last_run from s left join r using (id) where l is null or l + to_days(length(id)::integer) <= timestamp '2024-01-14'",
+    "z3_due_sources": "with s as (select distinct source as id from documents where source is not null), r as (select source as id, max(timestamp '2024-01-01' + to_days((doc_id % 10)::integer)) as l from documents group by all) select id, epoch(l)::bigint as last_run from s left join r using (id) where l is null or l + to_days(length(id)::integer) <= timestamp '2024-01-14'",
     "u1_states": """
         with c as (select user_id, day(ts) // 11 as g, case when event_id % 700 = 0 then 'suppressed' when event_id % 3 = 0 then 'consent_requested' when event_id % 3 = 1 then 'confirmed' else 'unsubscribed' end as k, ts from events),
         m as (select user_id, max(g) as g from c group by all), sup as (select user_id, max(ts) as sup from c where k = 'suppressed' group by all)
@@ -376,7 +390,12 @@ ORACLES = {
     """,
     "u2_live_tokens": "select event_id as id, case when event_id % 2 = 0 then 'confirm' else 'unsubscribe' end as purpose from events where event_id % 7 <> 0 and event_id % 3 = user_id % 3 and ((event_id % 2 = 0 and user_id % 4 = 0 and event_id % 5 <> 0 and ts + interval 2 day > timestamp '2024-01-20') or (event_id % 2 = 1 and user_id % 4 in (1, 2)))",
     "u3_rate_limits": "select event_id as id, time_bucket(interval '1 hour', ts) as window_start, (row_number() over (partition by event_type, time_bucket(interval '1 hour', ts) order by ts, event_id))::integer as number, row_number() over (partition by event_type, time_bucket(interval '1 hour', ts) order by ts, event_id) <= 3 as allowed from events",
+    "u3_last_allowed": """
+        with e as (select *, time_bucket(interval '1 hour', ts) as window_start, row_number() over (partition by event_type, time_bucket(interval '1 hour', ts) order by ts, event_id) as no from events)
+        select event_type, window_start, max(event_id) filter (where no = 3) as last_id from e group by all
+    """,
     "u3_rate_limit_counts": "select event_type, time_bucket(interval '10 minutes', ts) as window_start, count(*) as requests, greatest(count(*) - 1, 0) as refused from events group by all",
+    "u5_expired_counters": "select * from (select event_type, time_bucket(interval '1 hour', ts) as window_start, count(*) as requests from events group by all) where window_start + interval 25 hour <= timestamp '2024-01-25'",
     "u5_retention": "select event_id as id from events where (event_id % 2 = 0 or event_id % 7 = 0) and (event_id % 2 = 0 or event_id % 5 = 0 or event_id % 7 = 0) and greatest(case when event_id % 2 = 0 then ts + interval 2 day end, case when event_id % 5 = 0 then ts + interval 1 hour end, case when event_id % 7 = 0 then ts + interval 3 hour end) <= timestamp '2024-04-12' - interval 90 day",
     "t1_stream_ingest": "select 'sha256:' || (n_chars % 200) as dedupe_key, 'sha256:' || sha256(coalesce(text, '')) as content_hash, min(doc_id) as raw_index from documents group by all",
     "t2_stream_dedupe": "select distinct user_id || '-' || event_type as dedupe_key, floor(value)::bigint::varchar as content_hash from events",

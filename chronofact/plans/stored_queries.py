@@ -18,6 +18,17 @@ def _folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def s1_sources(spark, sf_dir):
+    """The problems of a registry with an entry a supplier, stored as JSON arrays and read back: insecure and signed-in urls,
+    priorities and cadences out of range, and ids that two suppliers share."""
+    path, k = _folder(spark, "registry"), F.col("s_suppkey")
+    url = F.concat(F.when(k % 7 == 0, "http://").when(k % 11 == 0, "https://me:pw@").otherwise("https://"), F.lit("s"), k.cast("string"), F.lit(".example.org/feed"))
+    row = F.to_json(F.struct(F.concat(F.lit("s"), F.when(k % 13 == 0, k - 1).otherwise(k).cast("string")).alias("id"), F.col("s_name").alias("publisher"), F.lit("rss").alias("type"), url.alias("url"), (k % 5).cast("int").alias("priority"), ((k % 9) * 60).cast("int").alias("cadence_minutes")))
+    rows = read(spark, sf_dir, "supplier").select((k % 4).alias("part"), row.alias("row"))
+    rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+    return registry.source_problems(registry.read_sources(spark, f"{path}/*/*.txt")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
 def s5_days(spark, sf_dir):
     """Facts stored by day, of which the second week is read: other days' files stay shut."""
     path = _folder(spark, "facts")
@@ -82,9 +93,15 @@ def a5_by_parts(spark, sf_dir):
     return a.audit_append_only(before, after, "line", ["l_returnflag", "l_quantity"], fingerprints=True).groupBy("audit").agg(F.sum("n").alias("n"))
 
 
-QUERIES = {q.__name__: q for q in (s4_contract, s5_days, s5_bucketed, s7_metrics, z4_freshness, a5_by_parts)}
+QUERIES = {q.__name__: q for q in (s1_sources, s4_contract, s5_days, s5_bucketed, s7_metrics, z4_freshness, a5_by_parts)}
 
 ORACLES = {
+    "s1_sources": """
+        with r as (select s_suppkey as k, case when s_suppkey % 13 = 0 then s_suppkey - 1 else s_suppkey end as id from supplier)
+        select 'url is not https' as problem, count(*) as n from r where k % 7 = 0 having n > 0 union all select 'user-info in url', count(*) as n from r where k % 7 <> 0 and k % 11 = 0 having n > 0
+        union all select 'priority out of range', count(*) as n from r where k % 5 = 4 having n > 0 union all select 'cadence not positive', count(*) as n from r where k % 9 = 0 having n > 0
+        union all select 'repeated id', count(*) as n from (select id from r group by id having count(*) > 1) having n > 0
+    """,
     "s4_contract": """
         with r as (select *, case when conv_id % 7 = 6 then 'no array' when conv_id % 5 = 3 then 'schema' when conv_id % 5 = 1 and turn = 2 then 'missing role' else 'good' end as outcome from conversations)
         select outcome, case when outcome = 'no array' then 1 else count(*) end as n, case when outcome = 'good' then sum(turn)::bigint end as turns from r group by outcome

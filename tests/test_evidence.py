@@ -33,6 +33,27 @@ def test_resolution(spark):
     assert {k["next"] for k in r.route(r.resolve(items, phrases(spark))).collect()} == {"extract", "propose", "stop"}
 
 
+def test_phrase_index(spark):
+    """Phrases are filed under their rarest word; both ways of finding them agree with the plain search."""
+    import random
+
+    rng = random.Random(2)
+    words = ["the", "of", "longcommonword", *[f"w{i}" for i in range(60)]]
+    weights = [200, 150, 150, *[3] * 60]
+    texts = [(i, " ".join(rng.choices(words, weights, k=rng.randint(0, 60)))) for i in range(400)]
+    made = sorted({" ".join(rng.choices(words, weights, k=rng.randint(1, 3))) for _ in range(80)})
+    t = spark.createDataFrame(texts, "item_id long, haystack string")
+    p = spark.createDataFrame([("C", f"P{i}", x, True) for i, x in enumerate(made)], "company string, product string, phrase string, strong boolean")
+    want = sorted((i, x) for i, text in texts for x in made if f" {x} " in f" {text} ")
+    for most in (5000, 3):
+        assert sorted((k["item_id"], k["phrase"]) for k in r.phrase_join(t, p, most=most).collect()) == want
+    filed = r.filed_phrases(t, p, sample=1.0)
+    longest = p.withColumn("_word", F.array_max(F.transform(F.split("phrase", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    rare, long = (r.phrase_candidates(t, f).count() for f in (filed, longest))
+    assert len(want) <= rare < 0.8 * long
+    assert all("longcommonword" != k["_word"] or set(k["phrase"].split()) <= {"the", "of", "longcommonword"} for k in filed.collect())
+
+
 def test_proposals(spark):
     items = spark.createDataFrame([(str(i), "Rocket seen", "x" * 490 + " Rocket late") for i in range(7)], "item_id string, title string, content_text string").withColumn("candidates", F.array(F.struct(F.lit("Acme").alias("company"), F.lit("Rocket").alias("product"))))
     p = spark.createDataFrame([("0", "Acme", "Rocket", None, "Rocket seen", 0.9), ("1", "Acme", "Rocket", None, "Rocket late", 0.9), ("2", "Acme", "Boat", None, "Rocket seen", 0.9), ("3", None, None, "Boat", None, 0.7), ("4", "Acme", "Rocket", None, "Rocket seen", 0.5), ("5", "Acme", "Rocket", None, "Rocket seen", float("nan")), ("6", "Acme", "Rocket", None, "Rock", 0.9)], "item_id string, company string, product string, new_subject_proposal string, supporting_quote string, confidence double")

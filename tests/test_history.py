@@ -92,3 +92,16 @@ def test_positions_go_on(spark):
     two = h.assign_positions(c, one)
     assert {r["change_set_id"]: r["m"] for r in two.groupBy("change_set_id").agg(F.min("position").alias("m")).collect()} == n
     assert all(r["consistent"] for r in h.build_change_sets(one).collect())
+
+
+def test_change_set_pages_are_the_sets(spark, sf_dir):
+    """Pages end to end give a set's changes and its snapshots in first-seen order."""
+    changes = h.assign_positions(h.detect_changes(observations(spark, sf_dir)).withColumn("current", F.col("current").withField("snapshot_id", F.col("current.snapshot_id") % 40)))
+    whole = {r["company_key"]: r for r in h.build_change_sets(changes).collect()}
+    pages = {}
+    for r in sorted(h.change_set_pages(changes, 7).collect(), key=lambda r: r["page"]):
+        held = pages.setdefault(r["company_key"], ([], [], []))
+        assert len(r["changes"]) <= 7
+        for i, c in enumerate(("changes", "previous_snapshot_ids", "current_snapshot_ids")):
+            held[i].extend(r[c])
+    assert {k: tuple(v[c] for c in ("changes", "previous_snapshot_ids", "current_snapshot_ids")) for k, v in whole.items()} == pages

@@ -84,3 +84,41 @@ def test_url_rules(spark):
     hosts = F.array(F.lit("A.org"))
     assert column(spark, ["https://a.org/", "http://a.org/", "https://u@a.org/", "https://b.org/", "https://a.org:99999/"], lambda c: u.unsafe_reason(c, hosts)) == [None, "scheme is not https", "user-info in url", "host not on the allowlist", "unparseable url"]
     assert column(spark, ["10.1.2.3", "2001:db8:1:2ff::1", "x", None], u.network_identity) == ["10.1.2.0/24", "2001:db8:1:200::/56", None, None]
+
+
+def test_plain_urls_need_no_python(spark):
+    """Urls of every form against Python's own parser, and addresses against its networks."""
+    import ipaddress
+    from urllib.parse import urlsplit, urlunsplit
+
+    rng = random.Random(7)
+    made = ["".join(rng.choices(["http", "https", "HTTP", "://", "a.org", "B.Org", ":80", ":065", ":99999", ":", "/", "/p//q", "?x=1", "#f", "@", "u:p", "[::1]", "é", " ", "\t", "%20", "a_b"], k=rng.randint(1, 7))) for _ in range(3000)]
+    made += ["https://" + u for u in made[:1500]] + ["https://a.org" + u for u in made[:500]]
+
+    def plain(u):
+        try:
+            parts = urlsplit(u)
+            port = parts.port
+        except ValueError:
+            return "<unparsable-url>", None
+        host = parts.hostname or ""
+        shown = u if not parts.scheme and not host else urlunsplit((parts.scheme, host + ("" if port is None else f":{port}"), parts.path, "", ""))
+        return shown, (parts.scheme, host.lower() or None, bool(parts.username or parts.password))
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, t string").select("i", u.sanitize_url("t").alias("s"), u.url_safety_parts("t").alias("p")).collect()
+    for r in got:
+        shown, parts = plain(made[r["i"]])
+        assert r["s"] == shown and (tuple(r["p"])[:3] == parts if parts else not r["p"]["ok"]), made[r["i"]]
+    ips = ["10.1.2.3", "010.1.2.3", "256.1.1.1", "1.2.3", "::1", "2001:db8::1%eth0", "2001:db8:1:2ff::9", "::ffff:1.2.3.4", "1.2.3.4 ", "", None, "x:y"]
+
+    def network(a):
+        try:
+            ip = ipaddress.ip_address(a)
+        except ValueError:
+            return None
+        try:
+            return str(ipaddress.ip_network((a, 24 if ip.version == 4 else 56), strict=False))
+        except ValueError:
+            return None
+
+    assert column(spark, ips, u.network_identity) == [network(a) if a is not None else None for a in ips]
