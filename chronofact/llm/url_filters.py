@@ -61,6 +61,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     filed = ruled.join(held, "token", "left").groupBy("rule", "action", "pattern").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), F.col("token").alias("token"))).alias("token"))
     hits = exploded.join(filed, "token").where(F.expr("rlike(concat(host, path), pattern)"))
     best = hits.groupBy("_url").agg(F.min_by(F.struct("rule", "action"), F.struct((-F.length("rule")).alias("n"), F.col("rule").alias("r"), F.col("action").alias("a"))).alias("best"))
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_url")]
+    kept = ["`" + c.replace("`", "``") + "`" for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_url")]
     host, path = url_parts(F.col("_url"))
     return pages.withColumn("_url", F.coalesce(F.col(url), F.lit(""))).join(best, "_url", "left").select(*kept, host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

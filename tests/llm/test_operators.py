@@ -100,6 +100,8 @@ def test_url_filters(spark):
     free = rule_table(spark, [("", "/only", "block"), ("x.com", "", "block")])
     assert filter_urls(pages, free).count() == len(urls)
     assert filter_urls(pages.limit(0), free).count() == 0
+    dotted = filter_urls(pages.withColumn("a.b", F.lit("kept")), free)
+    assert "a.b" in dotted.columns and dotted.where("`a.b` = 'kept'").count() == len(urls)
 
 
 def reference_ids(text):

@@ -10,7 +10,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from chronofact.llm import queries
 from chronofact.llm.conversations import GRAMMAR, Repairer, faults, repair_conversations
