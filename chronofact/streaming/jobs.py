@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ CHANGE = "company_key string, product_key string, field string, change_type stri
 IDENTITY = ("source_id", "canonical_url")
 FACT = "observed_us long, snapshot_id string, extraction_version int, id string, value string, disclosure_status string"
 CHANGE_KEYS, FACT_COLUMNS = ("company_key", "product_key", "field"), tuple(c.split()[0] for c in FACT.split(", "))
+KEYED_COLUMNS, N_KEYS = CHANGE_KEYS + FACT_COLUMNS, len(CHANGE_KEYS)
+KEYED_FACTS = f"array<struct<{', '.join([f'{k}: string' for k in CHANGE_KEYS] + [': '.join(c.split()) for c in FACT.split(', ')])}>>"
+#: Shards of keys, width of a slot of waiting facts, and facts of a batch that a shard gathers before it stores them.
+SHARDS, SLOT_MS, FLUSH = 128, 3_600_000, 20_000
 CHANGE_ROW = Row(*(c.split()[0] for c in CHANGE.split(", ")))
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,10 +66,11 @@ def stream_dedupe(docs: DataFrame, delay: str, ts: str = "fetched_at") -> DataFr
 
 
 class _Changes(StatefulProcessor):
-    """One key's greatest tuple so far, rows that wait for the watermark, and a timer for each time at which some wait.
+    """The keys of one shard: each one's greatest tuple so far, facts that wait for the watermark in slots of an hour, and a
+    timer for the earliest of them.
 
-    Rows are taken in order of their times by the timers, so a key's rows never meet in memory; only those of one
-    millisecond are sorted together.
+    The store is asked by shard and slot, not by fact, and has facts as JSON, which it need not take apart. Slots are taken in order of time when the watermark is in or past
+    them, one in memory at a time; a slot that it is in keeps its later facts.
     """
 
     def __init__(self, idle_ms: int | None) -> None:
@@ -72,54 +78,88 @@ class _Changes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", FACT)
-        self.waiting = handle.getMapState("waiting", "at long", f"facts array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in FACT.split(', ')))}>>")
+        self.held = handle.getValueState("held", "facts string")
+        self.waiting = handle.getMapState("waiting", "slot long", "facts string")
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
-        self.held.update(tuple(initialState[c] for c in FACT_COLUMNS))
-        self._keep_until(initialState["observed_us"])
+        held = _by_key(tuple(f[c] for c in KEYED_COLUMNS) for f in initialState["facts"])
+        self._hold(held)
+        self._wake(self._idle_at(held))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        held = self.held.get() if self.held.exists() else None
+        first, slots, n = None, {}, 0
         for r in rows:
-            fact = tuple(r[c] for c in FACT_COLUMNS)
-            if held is not None and _tuple(fact) <= _tuple(held):
-                continue
-            at = _ms(fact[0])
-            others = self.waiting.getValue((at,))
-            self.waiting.updateValue((at,), ([*map(tuple, others[0] if others else ()), fact],))
-            if not others:
-                self.handle.registerTimer(at)
+            fact = tuple(r[c] for c in KEYED_COLUMNS)
+            at = _ms(fact[N_KEYS])
+            first = at if first is None else min(first, at)
+            slots.setdefault(at // SLOT_MS, []).append(fact)
+            n += 1
+            if n % FLUSH == 0:
+                self._wait(slots)
+                slots = {}
+        self._wait(slots)
+        self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        held = self.held.get() if self.held.exists() else None
-        waiting = self.waiting.getValue((at,))
-        if not waiting:
-            if self.idle is not None and held is not None and _ms(held[0]) + self.idle <= at:
-                self.held.clear()
+        upto = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
+        slots = sorted(k[0] for k in self.waiting.keys())
+        due = [s for s in slots if s * SLOT_MS <= upto]
+        if not due and self.idle is None:
             return
-        self.waiting.removeKey((at,))
-        for fact in sorted(map(tuple, waiting[0]), key=_tuple):
-            if held is not None and _tuple(fact) <= _tuple(held):
-                continue
-            if held is not None and self.idle is not None and _ms(held[0]) + self.idle <= at:
-                held = None
-            if held is not None and held[1] != fact[1] and held[4:6] != fact[4:6]:
-                yield CHANGE_ROW(*key, change_kind(held[4], fact[4]), held[4], fact[4], held[1], fact[1], fact[0])
-            held = fact
-        self.held.update(held)
-        self._keep_until(held[0])
-
-    def _keep_until(self, last: int) -> None:
+        value = self.held.get()
+        held, wake = _by_key([f[c] for c in KEYED_COLUMNS] for f in json.loads(value[0])) if value else {}, [s * SLOT_MS for s in slots[len(due) : len(due) + 1]]
+        for slot in due:
+            facts = list(map(tuple, json.loads(self.waiting.getValue((slot,))[0])))
+            later = [f for f in facts if _ms(f[N_KEYS]) > upto]
+            for f in sorted((f for f in facts if _ms(f[N_KEYS]) <= upto), key=lambda f: _tuple(f[N_KEYS:])):
+                of, fact = f[:N_KEYS], f[N_KEYS:]
+                last = held.get(of)
+                if last is not None and _tuple(fact) <= _tuple(last):
+                    continue
+                if last is not None and self.idle is not None and _ms(last[0]) + self.idle <= _ms(fact[0]):
+                    last = None
+                if last is not None and last[1] != fact[1] and last[4:6] != fact[4:6]:
+                    yield CHANGE_ROW(*of, change_kind(last[4], fact[4]), last[4], fact[4], last[1], fact[1], fact[0])
+                held[of] = fact
+            if later:
+                self.waiting.updateValue((slot,), (json.dumps(later),))
+                wake.append(min(_ms(f[N_KEYS]) for f in later))
+            else:
+                self.waiting.removeKey((slot,))
         if self.idle is not None:
-            self.handle.registerTimer(_ms(last) + self.idle)
+            held = {of: fact for of, fact in held.items() if _ms(fact[0]) + self.idle > upto}
+        self._hold(held)
+        self._wake(min(wake, default=None))
+        self._wake(self._idle_at(held))
+
+    def _wait(self, slots: dict[int, list]) -> None:
+        for slot, facts in slots.items():
+            others = self.waiting.getValue((slot,))
+            self.waiting.updateValue((slot,), (json.dumps([*(json.loads(others[0]) if others else ()), *facts]),))
+
+    def _hold(self, held: dict[tuple, tuple]) -> None:
+        if held:
+            self.held.update((json.dumps([dict(zip(KEYED_COLUMNS, (*of, *fact), strict=True)) for of, fact in held.items()]),))
+        else:
+            self.held.clear()
+
+    def _idle_at(self, held: dict[tuple, tuple]) -> int | None:
+        return None if self.idle is None or not held else min(_ms(fact[0]) for fact in held.values()) + self.idle
+
+    def _wake(self, at: int | None) -> None:
+        if at is not None:
+            self.handle.registerTimer(at)
 
     def close(self) -> None:
         pass
 
 
+def _by_key(facts: Iterable) -> dict[tuple, tuple]:
+    """Facts by their keys."""
+    return {tuple(f[:N_KEYS]): tuple(f[N_KEYS:]) for f in facts}
+
+
 def _tuple(fact: tuple) -> tuple:
     """The order of a key's facts; nulls come first, as in Spark."""
     return tuple((v is not None, v) if v is not None else (False,) for v in fact[:4])
@@ -130,7 +170,7 @@ def _ms(micros: int) -> int:
     return -(-micros // 1000)
 
 
-def stream_changes(facts: DataFrame, delay: str = "0 seconds", state: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+def stream_changes(facts: DataFrame, delay: str = "0 seconds", state: DataFrame | None = None, idle_ms: int | None = None, shards: int = SHARDS) -> DataFrame:
     """Changes of a stream of facts, with one tuple of state for each (company, product, field).
 
     facts: the keys, observed_at, snapshot_id, extraction_version, id, value, disclosure_status. Facts wait until the
@@ -138,23 +178,26 @@ def stream_changes(facts: DataFrame, delay: str = "0 seconds", state: DataFrame
     they arrived; later ones, at or below the held tuple, give nothing and belong in the fact table all the same. ``state``
     has the tuples to start from, one row a key, as ``history.current_facts`` gives. A key without facts for ``idle_ms``
     milliseconds is forgotten (its next fact is a first one); by default none is. The stored state can be read with
-    ``stream_state``. Needs the RocksDB state store, which is set on the session.
+    ``stream_state``. Keys are dealt to ``shards`` by hash, and the store is asked once a shard, batch and hour of facts, which
+    bounds its cost whatever the number of keys; a checkpoint keeps the number it began with. Needs the RocksDB state
+    store, which is set on the session.
     """
     facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def lean(df: DataFrame) -> DataFrame:
         at = F.col("observed_at").cast("timestamp")
-        return df.select(*CHANGE_KEYS, at.alias("observed_at"), F.unix_micros(at).alias("observed_us"), F.col("snapshot_id").cast("string").alias("snapshot_id"), F.col("extraction_version").cast("int").alias("extraction_version"), F.col("id").cast("string").alias("id"), "value", "disclosure_status")
+        shard = F.pmod(F.xxhash64(*CHANGE_KEYS), F.lit(shards)).cast("int").alias("_shard")
+        return df.select(shard, *[F.col(k).cast("string").alias(k) for k in CHANGE_KEYS], at.alias("observed_at"), F.unix_micros(at).alias("observed_us"), F.col("snapshot_id").cast("string").alias("snapshot_id"), F.col("extraction_version").cast("int").alias("extraction_version"), F.col("id").cast("string").alias("id"), "value", "disclosure_status")
 
-    start = None if state is None else lean(state).drop("observed_at").groupBy(*CHANGE_KEYS)
-    found = lean(facts).withWatermark("observed_at", delay).groupBy(*CHANGE_KEYS).transformWithState(_Changes(idle_ms), CHANGE, "Append", "EventTime", start)
+    start = None if state is None else lean(state).groupBy("_shard").agg(F.collect_list(F.struct(*KEYED_COLUMNS)).alias("facts")).groupBy("_shard")
+    found = lean(facts).withWatermark("observed_at", delay).groupBy("_shard").transformWithState(_Changes(idle_ms), CHANGE, "Append", "EventTime", start)
     return found.withColumn("detected_us", F.timestamp_micros("detected_us")).withColumnRenamed("detected_us", "detected_at")
 
 
 def stream_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The held tuples of ``stream_changes`` as its checkpoint stores them: the keys and the columns of a fact."""
     held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held").load()
-    return held.select(*[F.col(f"key.{k}") for k in CHANGE_KEYS], F.timestamp_micros("value.observed_us").alias("observed_at"), *[F.col(f"value.{c}") for c in FACT_COLUMNS[1:]])
+    return held.select(F.explode(F.from_json("value.facts", KEYED_FACTS)).alias("f")).select(*[F.col(f"f.{k}") for k in CHANGE_KEYS], F.timestamp_micros("f.observed_us").alias("observed_at"), *[F.col(f"f.{c}") for c in FACT_COLUMNS[1:]])
 
 
 class _Limits(StatefulProcessor):
