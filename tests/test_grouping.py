@@ -19,3 +19,21 @@ def test_copies_join_their_group(spark, tmp_path):
     assert (80, 82) in {(r["a"], r["b"]) for r in gr.similar_titles(items).collect()}
     got = {r["id"]: r["event_id"] for r in gr.event_groups(items.select("id"), pairs).collect()}
     assert got == {**{i: 1 for i in range(1, 30)}, 40: 1, 50: 50, 51: 50, 60: 60, 61: 61, 70: 70, 80: 80, 81: 80, 82: 80, 90: 90}
+
+
+def test_labels_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Labels are as many as items, so no round may build them on the driver."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    plans, checkpoint = [], type(spark.range(1)).checkpoint
+
+    def noted(df, *args):
+        out = checkpoint(df, *args)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", noted)
+    items, pairs = spark.range(200), spark.range(100).selectExpr("id as a", "id + 100 as b")
+    got = gr.event_groups(items, pairs).collect()
+    assert {r["id"]: r["event_id"] for r in got} == {i: i % 100 for i in range(200)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
