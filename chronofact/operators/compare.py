@@ -29,20 +29,33 @@ def dedupe_reversed_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_no", F.row_number().over(w)).where("_no = 1").drop("_no")
 
 
+def pair_lists(grid: DataFrame, blocks: int = 16, listed: int = 1024) -> DataFrame:
+    """``all_pairs`` without a row for each: company_key_a, product_key_a, field and ``others``, up to ``listed`` subjects b
+    (structs of company_key and product_key) that pair with a.
+
+    A field's subjects are put in order and cut into lists. A subject meets the rest of its own list and every later list
+    whole, so there are ``listed`` times fewer rows than pairs and no pair is compared. The lists are dealt to ``blocks``
+    tasks a field, and each subject is copied to all of them. Equal rows of a subject pair as often as they stand.
+    """
+    rows = grid.where("disclosure_status = 'disclosed'").groupBy("field", "company_key", "product_key").agg(F.count("*").cast("int").alias("_times"))
+    placed = with_position(rows, [F.asc("field"), F.asc("company_key"), F.asc("product_key")], "_at")
+    placed = placed.select("field", F.struct("company_key", "product_key").alias("s"), "_times", "_at", F.expr(f"_at div {listed}").alias("_i"))
+    # How many of its list stand up to the subject itself.
+    upto = F.sum("_times").over(Window.partitionBy("field", "_i").orderBy("_at")).cast("int")
+    left = placed.withColumn("_upto", upto).select("field", F.col("s").alias("a"), "_i", "_upto", F.explode(F.flatten(F.array_repeat(F.sequence(F.lit(0), F.lit(blocks - 1)), F.col("_times")))).alias("_b"))
+    lists = placed.groupBy("field", F.col("_i").alias("_j")).agg(F.array_sort(F.collect_list(F.struct("_at", F.array_repeat("s", F.col("_times")).alias("same")))).alias("_in")).select("field", "_j", F.flatten("_in.same").alias("others")).withColumn("_b", F.pmod("_j", F.lit(blocks)).cast("int"))
+    met = left.join(lists.hint("merge"), ["field", "_b"]).where("_i < _j or (_i = _j and _upto < size(others))")
+    rest = F.when(F.col("_i") < F.col("_j"), F.col("others")).otherwise(F.slice("others", F.col("_upto") + 1, F.lit(1 << 30)))
+    return met.select(F.col("a.company_key").alias("company_key_a"), F.col("a.product_key").alias("product_key_a"), "field", rest.alias("others"))
+
+
 def all_pairs(grid: DataFrame, blocks: int = 16) -> DataFrame:
-    """Every unordered pair of subjects that disclose a field, by the field: the question itself is quadratic in subjects.
+    """Every unordered pair of subjects that disclose a field, by the field: as rows they are quadratic in subjects.
 
-    A field's subjects are cut into ``blocks`` by hash; a pair meets under its two blocks, the lesser first, so tasks share
-    a field by the triangle of block pairs, and each subject is copied ``blocks`` times. Where counts are all that is
-    asked, ``pair_counts`` makes no pairs.
+    They are the ``pair_lists`` written out. Where counts are all that is asked, ``pair_counts`` makes no pairs.
     """
-    rows = grid.where("disclosure_status = 'disclosed'").select("field", F.struct("company_key", "product_key").alias("s")).withColumn("_b", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int"))
-    left = rows.select("field", F.col("s").alias("x"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.lit(blocks - 1))).alias("_j"))
-    right = rows.select("field", F.col("s").alias("y"), F.explode(F.sequence(F.lit(0), "_b")).alias("_i"), F.col("_b").alias("_j"))
-    # Within one block a pair would meet twice.
-    pairs = left.join(right, ["field", "_i", "_j"]).where("(_i < _j and x <> y) or x < y")
-    named = pairs.select("field", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return named.select(*[F.col(f"{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("company_key", "product_key")], "field")
+    pairs = pair_lists(grid, blocks).select("company_key_a", "product_key_a", F.explode("others").alias("b"), "field")
+    return pairs.select("company_key_a", "product_key_a", F.col("b.company_key").alias("company_key_b"), F.col("b.product_key").alias("product_key_b"), "field")
 
 
 def pair_counts(grid: DataFrame) -> DataFrame:

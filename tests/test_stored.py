@@ -106,6 +106,17 @@ def test_pairs_by_blocks(spark):
     assert x.all_pairs(grid.limit(0)).count() == x.pair_counts(grid.limit(0)).count() == 0
 
 
+def test_pairs_in_lists(spark):
+    """Lists hold every pair once, also of subjects that stand twice, in rows far fewer than pairs."""
+    rows = [(f"c{i:03}", "p", "f", "disclosed") for i in range(120)] + [("c007", "p", "f", "disclosed"), ("c007", "p", "g", "disclosed"), ("c008", "q", "g", "unknown")]
+    grid = spark.createDataFrame(rows, "company_key string, product_key string, field string, disclosure_status string")
+    held = x.pair_lists(grid, blocks=3, listed=25).collect()
+    got = sorted((r["company_key_a"], o["company_key"]) for r in held for o in r["others"])
+    keys = sorted(r[0] for r in rows if r[2] == "f")
+    assert got == sorted((a, b) for a, b in itertools.combinations(keys, 2) if a != b) and {r["field"] for r in held} == {"f"}
+    assert max(len(r["others"]) for r in held) <= 26 and len(held) < len(got) / 15
+
+
 def test_sketches_of_runs_merge(spark):
     rows = spark.range(4000).select(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source_id"), (F.col("id") % 10).alias("run"), (F.col("id") % 1500).cast("string").alias("snapshot_id"), (F.col("id") % 4 < 2).alias("cited"), F.timestamp_seconds(F.lit(1704067200) - F.col("id")).alias("seen_at"))
     at = F.lit("2024-01-01").cast("timestamp")
