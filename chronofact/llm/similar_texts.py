@@ -9,7 +9,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofact.llm.components import connected_components
@@ -136,12 +136,19 @@ def prefix_keys(rows: DataFrame, percent: int, words_in_shingle: int) -> DataFra
     return rows.select("row", "group", "text").mapInArrow(run, "row long, group long, key long")
 
 
-def buckets(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """keyed(key, row, group) -> (key, row, group, size, s) of the keys that rows of several groups share; s from
-    classes(row, n, fingerprint's words)."""
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("group").alias("_a"), F.max("group").alias("_b"))
-    lean = classes.select("row", F.struct("n", *FP).alias("s"))
-    return keyed.join(shared.where("_a <> _b").select("key", "size"), "key").join(lean, "row").select("key", "row", "group", "size", "s")
+def buckets(keyed: DataFrame) -> DataFrame:
+    """keyed(key, row, group) -> (key, row, group, size, p) of the keys that rows of several groups share; size counts a
+    key's rows, p is its least row and that row's group. Keys are shuffled once, by windows, and carry no sketches."""
+    w = Window.partitionBy("key")
+    least = F.min(F.struct("row", "group")).over(w)
+    sized = keyed.select("key", "row", "group", F.count("*").over(w).alias("size"), least.alias("p"), F.min("group").over(w).alias("_a"), F.max("group").over(w).alias("_b"))
+    return sized.where("_a <> _b").drop("_a", "_b")
+
+
+def likely_pairs(pairs: DataFrame, lean: DataFrame, percent: int, far: int | None) -> DataFrame:
+    """The pairs (u, v) whose sketches, looked up in lean(row, n, fingerprint's words), may be of similar texts."""
+    u, v = (lean.select(F.col("row").alias(e), F.struct("n", *FP).alias(f"_s{e}")) for e in "uv")
+    return pairs.join(v, "v").join(u, "u").where(_likely("_su", "_sv", percent, far)).select("u", "v")
 
 
 def grouped_by(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -225,22 +232,26 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     links = [written(sketch.join(copies, "same").where("u <> row").select("u", F.col("row").alias("v")), "links")]
     emptied(sketch)
     lean = classes.drop("same", "size")
-    left = written(buckets(block_keys(lean.withColumn("group", F.col("row")), CHOICES[:FIRST]), lean), "buckets")
+    left = written(buckets(block_keys(lean.withColumn("group", F.col("row")), CHOICES[:FIRST])), "buckets")
     tried, sets, parts, first, pivots, far = [], [], None, True, 1, FAR
     while True:
-        least = left.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group", "s")).alias("p"))
-        met = left.join(least, "key").where((F.col("p.group") != F.col("group")) & _likely("s", "p.s", percent, far))
-        pairs = met.select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"))
         going = left.where(f"size > {SMALL}")
+        if pivots == 1:
+            met = left
+        else:
+            least = going.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group")).alias("p"))
+            met = going.drop("p").join(least, "key")
+        # A pair that meets under many keys is looked at once: pairs are made different before sketches are read.
+        pairs = met.where("p.group <> group").select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"))
         if pivots > 1:
             few = left.where(f"size <= {SMALL}")
-            a = few.select("key", F.col("row").alias("u"), F.col("s").alias("_f"), F.col("group").alias("_a"))
-            b = few.select("key", F.col("row").alias("v"), F.col("s").alias("_g"), F.col("group").alias("_b"))
-            pairs = pairs.union(a.join(b, "key").where(F.expr("u < v and _a <> _b") & _likely("_f", "_g", percent, far)).select("u", "v"))
+            a = few.select("key", F.col("row").alias("u"), F.col("group").alias("_a"))
+            b = few.select("key", F.col("row").alias("v"), F.col("group").alias("_b"))
+            pairs = pairs.union(a.join(b, "key").where("u < v and _a <> _b").select("u", "v"))
         pairs = pairs.distinct()
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(likely_pairs(pairs, lean, percent, far), "pairs")
         if pivots <= PIVOTS:
             # Sets are read for the rows of the pairs up to the second round under all choices, and then for all rows that go on.
             wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v"))
@@ -248,26 +259,26 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
             wanted = wanted.distinct()
             if sets:
                 wanted = wanted.join(reduce(DataFrame.union, [x.select("row") for x in sets]), "row", "left_anti")
+            # Stored, so that Spark sees how few rows are wanted and sends these to the texts, not the texts through a shuffle.
+            wanted = written(wanted, "wanted")
             sets.append(written(shingle_sets(rows.select("row", "text").join(wanted, "row", "left_semi"), words_in_shingle), "sets"))
+            emptied(wanted)
         tried.append(pairs)
         links.append(written(_links(pairs, reduce(DataFrame.union, sets), percent), "links"))
         parts = connected_components(reduce(DataFrame.union, links)) if parts is None else grown(parts, links[-1])
         if first:
-            after = written(buckets(block_keys(grouped_by(lean, parts), CHOICES), lean), "buckets")
+            after = written(buckets(block_keys(grouped_by(lean, parts), CHOICES)), "buckets")
         else:
             # Rows that served as pivots are compared with the whole bucket; the others go on while their groups differ.
-            rest = (left if pivots == 1 else going).join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti")
-            named = written(grouped_by(rest.drop("group"), parts).select("key", "row", "group", "size", "s"), "named")
-            several = named.groupBy("key").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("key")
-            after = written(named.join(several, "key", "left_semi"), "buckets")
-            emptied(named)
+            rest = left.where("row <> p.row") if pivots == 1 else going.join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti")
+            after = written(buckets(grouped_by(rest.select("key", "row"), parts).select("key", "row", "group")), "buckets")
             pivots *= PIVOTS
         emptied(left)
         left, first = after, False
         if exact and far is not None and left.isEmpty():
             emptied(left)
             texts = grouped_by(lean.select("row"), parts).join(rows.select("row", "text"), "row")
-            left, pivots, far = written(buckets(written(prefix_keys(texts, percent, words_in_shingle), "prefixes"), lean), "buckets"), 1, None
+            left, pivots, far = written(buckets(prefix_keys(texts, percent, words_in_shingle)), "buckets"), 1, None
         if left.isEmpty():
             for table in (classes, left, *tried, *sets, *links):
                 emptied(table)

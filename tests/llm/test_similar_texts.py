@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from chronofact.llm.similar_texts import CHOICES, grown, shingles, similar_groups
+from chronofact.llm.similar_texts import CHOICES, buckets, grown, shingles, similar_groups
 
 
 def brute_sets(text):
@@ -70,6 +70,14 @@ def test_the_exact_way_loses_no_link(spark):
     assert len(links) > 300 and {*found} == {i for pair in links for i in pair}
 
 
+def test_keys_are_shuffled_once(spark):
+    """Buckets know their size and least row from one shuffle of the keys, which carry no sketches."""
+    keyed = spark.createDataFrame([(1, 10, 10), (1, 11, 11), (1, 12, 10), (2, 10, 10), (2, 12, 10), (3, 11, 11)], "key long, row long, group long")
+    got = buckets(keyed)
+    assert sorted((r["key"], r["row"], r["group"], r["size"], *r["p"]) for r in got.collect()) == [(1, 10, 10, 3, 10, 10), (1, 11, 11, 3, 10, 10), (1, 12, 10, 3, 10, 10)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_components_grow(spark):
     parts = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (9, 5)], "node long, component long")
     links = spark.createDataFrame([(1, 2), (9, 20), (20, 21), (2, 0), (30, 31)], "u long, v long")
