@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chronofact.functions import numbers as n
 from chronofact.operators import claims as c
 from chronofact.operators import compare as x
 from chronofact.operators import gates as g
@@ -110,3 +111,14 @@ def test_comparisons(spark):
 def test_emails(spark):
     df = spark.createDataFrame([(v,) for v in (" Bob@Bücher.example ", "a@b", "a@b.c@d.e", ".a@b.cd", "a..b@b.cd", "a@-b.cd", None, "ok@x.org", "e\u0301@x.org", "a@x_y.org", "a b@x.org", "a@" + "l" * 64 + ".org", "\u00a0c@X.ORG\x1f", "é" * 316 + "@x.org", "a@b.c.", "a.@x.org", "x@ß.org")], "v string")
     assert [k[0] for k in df.select(normalize_email("v")).collect()] == ["Bob@xn--bcher-kva.example", None, None, None, None, None, None, "ok@x.org", "\u00e9@x.org", None, None, None, "c@x.org", None, None, None, "x@ss.org"]
+
+
+def test_candidates_are_judged_once(spark):
+    """Numbers and clauses of a candidate are told once and stored; no join or filter tells them again."""
+    cands = spark.createDataFrame([(1, 1, "input_price_usd", "5", "disclosed", "costs 5, K or 2.5%M", 0.9), (1, 2, "output_price_usd", None, "not_disclosed", "Output pricing has not been announced", 0.9)], "snapshot_id long, cand_pos long, field string, value string, disclosure_status string, quoted_span string, confidence double")
+    snaps = spark.createDataFrame([(1, "It costs 5, K or 2.5%M. Output pricing has not been announced.")], "snapshot_id long, content_text string")
+    got = g.gate_facts(cands, snaps)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "withheld|" not in plan
+    assert {r["cand_pos"]: r["reason"] for r in got.collect()} == {1: None, 2: None}
+    assert [tuple(r) for r in cands.select(n.numbers_in(F.col("quoted_span")), n.all_numbers(F.col("quoted_span"))).orderBy("cand_pos").collect()] == [([], ["2500000", "5000"]), ([], [])]
