@@ -8,6 +8,7 @@ from chronofact.operators import compare as x
 from chronofact.operators import gates as g
 from chronofact.operators import resolve as r
 from chronofact.operators.subscriptions import normalize_email
+from chronofact.plans import evidence_queries
 
 ITEM = "item_id string, source_id string, publisher string, title string, content_text string"
 
@@ -122,3 +123,9 @@ def test_candidates_are_judged_once(spark):
     assert "regexp_extract_all" not in plan and "withheld|" not in plan
     assert {r["cand_pos"]: r["reason"] for r in got.collect()} == {1: None, 2: None}
     assert [tuple(r) for r in cands.select(n.numbers_in(F.col("quoted_span")), n.all_numbers(F.col("quoted_span"))).orderBy("cand_pos").collect()] == [([], ["2500000", "5000"]), ([], [])]
+
+
+def test_gates_read_texts_once_more(spark, sf_dir):
+    """Once for the candidates, which are stored, and once for the snapshots."""
+    plan = evidence_queries.g12_gates(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(regexp_replace(coalesce(text") == 1
