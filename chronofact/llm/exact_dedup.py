@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from chronofact.llm.shared import written
 
 #: Bits of the hash that the directory can use; its histogram has 2^20 rows at most, whatever the input.
 MAX_DEPTH = 20
+#: Bytes of the texts that a task looks at together; bounds its memory, but for a single longer text.
+BYTES = 4_000_000
 
 
 def directory(cells: np.ndarray, sizes: np.ndarray, capacity: int, max_depth: int = MAX_DEPTH) -> np.ndarray:
@@ -40,19 +43,31 @@ def directory(cells: np.ndarray, sizes: np.ndarray, capacity: int, max_depth: in
 
 
 def fold(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Folds the equal texts of a batch into one entry, that of the largest doc_id, and names its bucket.
+    """Folds the equal texts of a part of a batch into one entry, that of the largest doc_id, and names its bucket.
 
-    A text with many copies leaves each batch once. Columns behind doc_id, text, h and text_sha256 go along.
+    A text with many copies leaves each part once. Columns behind doc_id, text, h and text_sha256 go along.
     """
-    for b in batches:
-        order = pc.sort_indices(b.select(["doc_id"]), sort_keys=[("doc_id", "descending")])
-        t = pa.table({"i": order, **{c: b[c].take(order) for c in ("h", "text_sha256", "text")}})
-        t = t.group_by(["h", "text_sha256", "text"], use_threads=False).aggregate([("i", "first"), ([], "count_all")])
-        win = b.take(t["i_first"].combine_chunks())
-        cell = (win["h"].to_numpy().view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)
-        bucket = pa.array(np.searchsorted(buckets, cell, side="right") - 1, pa.int32())
-        entry = {"bucket": bucket, "h": win["h"], "text_sha256": win["text_sha256"], "text": win["text"], "keep_id": win["doc_id"], "n": t["count_all"].combine_chunks()}
-        yield pa.RecordBatch.from_pydict(entry | {c: win[c] for c in b.schema.names[4:]})
+    for whole in batches:
+        for b in slices(whole, "text"):
+            order = pc.sort_indices(b.select(["doc_id"]), sort_keys=[("doc_id", "descending")])
+            t = pa.table({"i": order, **{c: b[c].take(order) for c in ("h", "text_sha256", "text")}})
+            t = t.group_by(["h", "text_sha256", "text"], use_threads=False).aggregate([("i", "first"), ([], "count_all")])
+            win = b.take(t["i_first"].combine_chunks())
+            cell = (win["h"].to_numpy().view(np.uint64) >> np.uint64(64 - MAX_DEPTH)).astype(np.int64)
+            bucket = pa.array(np.searchsorted(buckets, cell, side="right") - 1, pa.int32())
+            entry = {"bucket": bucket, "h": win["h"], "text_sha256": win["text_sha256"], "text": win["text"], "keep_id": win["doc_id"], "n": t["count_all"].combine_chunks()}
+            yield pa.RecordBatch.from_pydict(entry | {c: win[c] for c in b.schema.names[4:]})
+        # What Arrow has freed goes back to the system, as the executor shares its memory with other workers.
+        pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold some BYTES of the texts of a column, or a single larger text; rows keep their order."""
+    size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (size.cumsum() - size) // BYTES
+    start = np.flatnonzero(np.diff(part, prepend=-1))
+    for at, end in zip(start, np.append(start, len(part))[1:], strict=True):
+        yield batch.slice(at, end - at)
 
 
 class Chains:
@@ -62,9 +77,9 @@ class Chains:
         self.h: int | None = None
         self.links: list[list] = []
         self.out: list[tuple] = []
-        self.rows: list[pa.RecordBatch] = []
+        self.rows: list[tuple[pa.RecordBatch, int]] = []
 
-    def add(self, bucket: int, h: int, sha: str, text: str, keep: int | None, n: int, row: pa.RecordBatch | None = None) -> None:
+    def add(self, bucket: int, h: int, sha: str, text: str, keep: int | None, n: int, row: tuple[pa.RecordBatch, int] | None = None) -> None:
         if h != self.h:
             self.close()
             self.h = h
@@ -88,23 +103,33 @@ class Chains:
         if out:
             found = {f.name: pa.array([x[i] for x in out], f.type) for i, f in enumerate(INDEX)}
             if rows:
-                carried = pa.Table.from_batches(rows)
+                # Kept rows are gathered batch by batch; there are two where a chain began in the batch before.
+                carried = pa.Table.from_batches([b.take(pa.array([i for _, i in own])) for b, own in _runs(rows)])
                 found |= {c: carried[c].combine_chunks() for c in carried.schema.names}
             yield pa.RecordBatch.from_pydict(found)
 
 
+def _runs(rows: list[tuple[pa.RecordBatch, int]]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Consecutive rows of one batch together."""
+    for _, run in groupby(rows, key=lambda r: id(r[0])):
+        found = list(run)
+        yield found[0][0], found
+
+
 INDEX = pa.schema([("bucket", pa.int32()), ("h", pa.int64()), ("text_sha256", pa.string()), ("chain", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One owner's key range, sorted by hash. Holds the chains of one hash value at a time."""
     chains = Chains()
-    for b in batches:
-        # With columns that go along, the kept row's text goes along too.
-        carried = b.select(["text", *b.schema.names[6:]]) if b.num_columns > 6 else None
-        for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(6)), strict=True)):
-            chains.add(*row, None if carried is None else carried.slice(i, 1))
-        yield from chains.batch()
+    for whole in batches:
+        for b in slices(whole, "text"):
+            # With columns that go along, the kept row's text goes along too.
+            carried = b.select(["text", *b.schema.names[6:]]) if b.num_columns > 6 else None
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(6)), strict=True)):
+                chains.add(*row, None if carried is None else (carried, i))
+            yield from chains.batch()
+        pa.default_memory_pool().release_unused()
     chains.close()
     yield from chains.batch()
 

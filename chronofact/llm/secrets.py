@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows whose redacted texts are held at once.
+ROWS = 256
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -161,9 +163,12 @@ def redact_secrets(docs: DataFrame, rate: float = 0.01, alpha: float = 0.01) ->
     Null texts stay null. No helper column is added to docs, so no name can clash. An empty table gives no rows.
     """
 
-    @F.pandas_udf(T.StringType())
-    def redacted(texts):
-        return texts.map(lambda t: redact(t, rate, alpha), na_action="ignore")
+    @F.arrow_udf(T.StringType())
+    def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for at in range(0, len(b), ROWS):
+                yield pa.array([redact(t.as_py(), rate, alpha) for t in b.slice(at, ROWS)], pa.string())
+            pa.default_memory_pool().release_unused()
 
     both = docs.select(F.struct("*").alias("doc"), redacted(F.col("text")).alias("new"))
     out = {c: F.col(f"doc.`{c}`") for c in docs.columns}

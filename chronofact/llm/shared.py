@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from chronofact.session import shared_folder
 
 
+#: Rows of an Arrow batch of whole texts, some 5 MB: its buffers outside the heap count in an executor's memory as well.
+BATCH = 1000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH rows at most, for the rest of the session; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

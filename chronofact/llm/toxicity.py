@@ -148,12 +148,14 @@ def score_texts(texts: list[str], weights: np.ndarray, m: Model) -> np.ndarray:
 def scored(m: Model) -> Column:
     """A column expression that scores the column text; null and empty texts get the intercept's score."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = m.dense()
         for b in batches:
-            rows = pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), pa.array(b, pa.string(), from_pandas=True)], names=["doc_id", "text"])
-            yield pd.Series(np.concatenate([np.zeros(0), *(score_texts(t, weights, m) for _, t in groups(iter([rows]), CHARS))]))
+            # Texts stay in Arrow's memory until their turn comes.
+            rows = pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), b], names=["doc_id", "text"])
+            for _, texts in groups(iter([rows]), CHARS):
+                yield pa.array(score_texts(texts, weights, m), pa.float64())
 
     return score(F.col("text"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chronofact.llm.exact_dedup import exact_survivors
 from chronofact.llm.packing import pack_documents
 from chronofact.llm.secrets import redact_secrets
-from chronofact.llm.shared import scratch_path, written
+from chronofact.llm.shared import narrow_batches, scratch_path, written
 from chronofact.llm.similar_texts import similar_groups
 from chronofact.llm.toxicity import scored, train
 
@@ -29,6 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Each row is scored by its text alone, null and empty ones too; null and repeated ids are rows of their own.
     """
+    narrow_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     return docs.where(scored(train(docs, labels)) < TOXIC)
 
@@ -39,6 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The decision is made by row. A null text counts as empty; a null doc_id is below all others; of rows that repeat id
     and text one stays; a row never goes because another row has its id.
     """
+    narrow_batches(spark)
     return exact_survivors(docs)
 
 
@@ -48,6 +50,7 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Links are by similarity, groups by links. The decision is made by row: of rows with one doc_id in a group one stays,
     and a row without doc_id stays only where no row of its group has one. Null and empty texts are alike.
     """
+    narrow_batches(spark)
     rows = numbered(docs, "near_rows")
     parts = similar_groups(rows.select("row", "doc.text"))
     ids = rows.select(F.col("row").alias("node"), F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id").join(parts, "node")
@@ -59,11 +62,13 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; all documents stay."""
+    narrow_batches(spark)
     return redact_secrets(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places all pieces of all documents in sequences of 2048 tokens."""
+    narrow_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

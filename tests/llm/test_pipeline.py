@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from chronofact.llm import exact_dedup
 from chronofact.llm.secrets import find_secrets, redact
 from chronofact.llm.toxicity import scored, train
 from tests.llm.test_similar_texts import brute_kept
@@ -107,3 +110,34 @@ def test_run_gives_what_plain_code_gives(spark, sf_dir):
             assert o == at
             at += n
         assert at <= 2048
+
+
+def test_stages_hold_few_texts_at_once(spark):
+    """Exact dedup looks at some megabytes of texts together, and stages send small batches to Python."""
+    n, text = 3000, "x" * 4000
+    ids = pa.array(range(n), pa.int64())
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "text": pa.array([f"{i} {text}" for i in range(n)]), "h": ids, "text_sha256": pa.array(map(str, range(n)))})
+    parts = list(exact_dedup.fold(iter([batch, batch.slice(0, 0)]), np.array([0])))
+    assert sum(p.num_rows for p in parts) == n and max(p["text"].nbytes for p in parts) <= 1.1 * exact_dedup.BYTES
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            stage(spark, table(spark, odd_rows()[:3]), "")
+            assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000", name
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_chain_across_parts_keeps_its_row(spark, monkeypatch):
+    """Kept rows come from several parts and batches where a hash value's chain goes on."""
+    monkeypatch.setattr(exact_dedup, "BYTES", 10)
+    entries = [(0, 1, "a", "one one one", 5, 1), (0, 1, "a", "one one one", 9, 2), (0, 1, "b", "two", 7, 1), (0, 2, "c", "", None, 1), (0, 3, "d", "three three", 2, 1)]
+    names = ["bucket", "h", "text_sha256", "text", "keep_id", "n", "doc"]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    rows = [(*e, f"row {e[4]}") for e in entries]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    got = pa.Table.from_batches(exact_dedup.own(iter([batch.slice(0, 2), batch.slice(2)])))
+    assert got.select(["keep_id", "text", "group_size", "doc"]).to_pylist() == [
+        {"keep_id": k, "text": t, "group_size": n, "doc": f"row {k}"} for k, t, n in ((9, "one one one", 3), (7, "two", 1), (None, "", 1), (2, "three three", 1))
+    ]
