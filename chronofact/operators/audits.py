@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chronofact.operators.fingerprints import differing_parts, only_parts
 
+#: Tasks that count keys, for each part of the table that is read.
+PARTS = 8
+
 
 def audit_foreign_key(child: DataFrame, fk: str | list[str], parent: DataFrame, pk: str | list[str], name: str) -> DataFrame:
     """(audit, key, n): non-null keys of child that parent lacks, with their number of rows."""
@@ -32,9 +35,14 @@ def audit_matches(pointers: DataFrame, rows: DataFrame, key: str, columns: list[
 
 
 def audit_unique_key(df: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Keys that several rows have; nulls don't count as equal."""
-    some = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in key)))
-    return some.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("audit"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key"), "n")
+    """Keys that several rows have; nulls don't count as equal.
+
+    Keys are dealt by hash before any is counted, to PARTS tasks for each part of df, so that a task counts a bounded
+    number of keys, however many df has: counting where they are read would hold nearly every key of a part.
+    """
+    some = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in key))).select(*[F.col(f"`{c}`") for c in key])
+    dealt = some.repartition(PARTS * max(1, df.rdd.getNumPartitions()), *[F.col(f"`{c}`") for c in key])
+    return dealt.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("audit"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key"), "n")
 
 
 def audit_checks(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:

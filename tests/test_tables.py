@@ -320,3 +320,16 @@ def test_shared_folder_is_named_on_clusters():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Far)
+
+
+def test_unique_keys_are_dealt_before_they_are_counted(spark):
+    """No task counts the keys of the rows that it reads, of which it could hold all."""
+    rows = spark.createDataFrame([(k % 50, None if k % 7 == 0 else k % 3) for k in range(400)], "k long, j long").repartition(2)
+    found = a.audit_unique_key(rows, ["k", "j"], "u")
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    assert found.rdd.getNumPartitions() == 2 * a.PARTS
+    want = {}
+    for k in range(400):
+        if k % 7:
+            want[f"{k % 50}|{k % 3}"] = want.get(f"{k % 50}|{k % 3}", 0) + 1
+    assert {r["key"]: r["n"] for r in found.collect()} == {k: n for k, n in want.items() if n > 1}
