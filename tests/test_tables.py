@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chronofact.operators import audits as a
@@ -13,7 +14,7 @@ from chronofact.operators import subscriptions as s
 from chronofact.operators import versioning as v
 from chronofact.operators.ordered import with_previous
 from chronofact.plans.tables import observations
-from chronofact.sources import sinks
+from chronofact.sources import articles, sinks
 from chronofact.sources.articles import extract_articles
 from chronofact.sources.feeds import parse_feeds, read_feed_entries
 from chronofact.sources.registry import due_sources, read_contract, read_sources, source_problems
@@ -333,3 +334,13 @@ def test_unique_keys_are_dealt_before_they_are_counted(spark):
         if k % 7:
             want[f"{k % 50}|{k % 3}"] = want.get(f"{k % 50}|{k % 3}", 0) + 1
     assert {r["key"]: r["n"] for r in found.collect()} == {k: n for k, n in want.items() if n > 1}
+
+
+def test_articles_are_read_a_few_pages_at_a_time():
+    """A batch of any size leaves in batches of ROWS pages, in order and with its other columns."""
+    n = 3 * articles.ROWS + 5
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(n)), "_html": pa.array([None if i % 9 == 0 else f"<h1>t {i}</h1>" for i in range(n)])})
+    parts = list(articles._articles(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [articles.ROWS] * 3 + [5]
+    got = pa.Table.from_batches(parts)
+    assert got["id"].to_pylist() == list(range(n)) and got["title"].to_pylist() == [None if i % 9 == 0 else f"t {i}" for i in range(n)]
