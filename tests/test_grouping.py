@@ -1,5 +1,6 @@
 """Event groups hold every copy of a title, and no link between different titles is lost to a representative's time."""
 
+import random
 from datetime import datetime, timedelta
 
 from chronofact.operators import grouping as gr
@@ -37,3 +38,29 @@ def test_labels_are_not_broadcast(spark, tmp_path, monkeypatch):
     got = gr.event_groups(items, pairs).collect()
     assert {r["id"]: r["event_id"] for r in got} == {i: i % 100 for i in range(200)}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_similar_titles_join_hashes_and_lose_no_pair(spark, monkeypatch):
+    """No join carries words, and the pairs are those of plain loops over classes."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(dict.fromkeys(rng.choices("abcdefghi", k=rng.randint(1, 6)))), rng.randint(0, 47 * 4)) for i in range(150)]
+    joined, join = [], type(spark.range(1)).join
+
+    def noted(df, other, *args):
+        joined.append({kind for side in (df, other) for _, kind in side.dtypes})
+        return join(df, other, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "join", noted)
+    items = spark.createDataFrame([(i, t, T0 + timedelta(hours=h)) for i, t, h in rows], "id int, title string, published_at timestamp")
+    got = sorted(map(tuple, gr.similar_titles(items).collect()))
+    classes = {}
+    for i, t, h in rows:
+        classes.setdefault((tuple(t.split()), h // 48), []).append((i, h))
+    known = [(min(i for i, _ in m), set(w), t, min(h for _, h in m), max(h for _, h in m)) for (w, t), m in classes.items()]
+    want = []
+    for a, wa, ta, fa, la in known:
+        for b, wb, tb, fb, lb in known:
+            if a < b and abs(ta - tb) <= 1 and (ta == tb or max(fb - la, fa - lb) <= 48) and len(wa & wb) / len(wa | wb) >= 0.6:
+                want.append((a, b))
+    assert got == sorted(want) and len(got) > 50
+    assert len(joined) == 2 and not any("string" in kind for kinds in joined for kind in kinds)
