@@ -137,20 +137,42 @@ def prefix_keys(rows: DataFrame, percent: int, words_in_shingle: int) -> DataFra
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """keyed(key, row, group) -> (key, row, group, size, p) of the keys that rows of several groups share; size counts a
-    key's rows, p is its least row and that row's group. Keys are shuffled once, by windows, and carry no sketches."""
+    """keyed(key, row, group, ...) -> (key, row, group, ..., size, p) of the keys that rows of several groups share; size counts
+    a key's rows, p is its least row and that row's group. Keys are shuffled once, by windows; they carry no sketches but for
+    the few rows that are compared by pivots."""
     w = Window.partitionBy("key")
     least = F.min(F.struct("row", "group")).over(w)
-    sized = keyed.select("key", "row", "group", F.count("*").over(w).alias("size"), least.alias("p"), F.min("group").over(w).alias("_a"), F.max("group").over(w).alias("_b"))
+    sized = keyed.select("*", F.count("*").over(w).alias("size"), least.alias("p"), F.min("group").over(w).alias("_a"), F.max("group").over(w).alias("_b"))
     return sized.where("_a <> _b").drop("_a", "_b")
 
 
+def untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """The different pairs (u, v) that are in no table of ``tried``: by one aggregation, as Spark would put an anti-join
+    below ``distinct`` and make a row of each time that a pair meets."""
+    marked = [x.withColumn("_old", F.lit(x is not pairs)) for x in (pairs, *tried)]
+    return reduce(DataFrame.union, marked).groupBy("u", "v").agg(F.max("_old").alias("_old")).where("not _old").select("u", "v")
+
+
 def likely_pairs(pairs: DataFrame, lean: DataFrame, percent: int, far: int | None) -> DataFrame:
     """The pairs (u, v) whose sketches, looked up in lean(row, n, fingerprint's words), may be of similar texts."""
     u, v = (lean.select(F.col("row").alias(e), F.struct("n", *FP).alias(f"_s{e}")) for e in "uv")
     return pairs.join(v, "v").join(u, "u").where(_likely("_su", "_sv", percent, far)).select("u", "v")
 
 
+def pivot_pairs(held: DataFrame, pivots: int, percent: int, far: int | None) -> tuple[DataFrame, DataFrame]:
+    """held(key, row, group, s) with sketches s -> (the pairs (u, v) of each key's rows with its pivots, the pivots (key, row));
+    pivots are the least rows of each of ``pivots`` shares of a key's rows.
+
+    The join itself looks at the sketches, so that it makes no row of a pair that is of one group, unlikely, or known to
+    meet under an earlier choice: there it is made too, as each key's rows go on until all of them have met.
+    """
+    least = held.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group", "s")).alias("p"))
+    met = held.join(least, "key").where("p.group <> group").where(_likely("s", "p.s", percent, far))
+    if far is not None:
+        met = met.where(F.shiftright("key", 24) == _first_choice("s", "p.s"))
+    return met.select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v")), least.select("key", F.col("p.row").alias("row"))
+
+
 def grouped_by(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """rows(row, ...) with the column group: the row's component, or the row where it has none."""
     named = rows.join(parts.select(F.col("node").alias("row"), F.col("component").alias("group")), "row", "left")
@@ -200,6 +222,16 @@ def _likely(a: str, b: str, percent: int, far: int | None) -> Column:
     return (sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FP), F.lit(0)) <= far) & sizes
 
 
+def _first_choice(a: str, b: str) -> Column:
+    """The number of the first of the CHOICES in whose blocks two sketches agree, null if they agree in none."""
+    differ = [F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}")) for f in FP[: BLOCKS // 8]]
+    agree = sum((F.when(F.shiftright(differ[i // 8], i % 8 * 8).bitwiseAND(255) == 0, 1 << i).otherwise(0) for i in range(1, BLOCKS)), F.lit(0).cast("long"))
+    choices = F.lit([sum(1 << i for i in choice) for choice in CHOICES.tolist()]).cast("array<long>")
+    # A function of one element, so that the blocks are compared once and not once a choice.
+    first = F.transform(F.array(agree), lambda x: F.array_position(F.transform(choices, lambda c: x.bitwiseAND(c) == c), F.lit(True)))[0]
+    return F.when(first > 0, first - 1)
+
+
 def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole shingle sets have a Jaccard similarity of ``percent`` or more."""
     both = pairs.join(held.select(F.col("row").alias("u"), F.col("hashes").alias("_hu")), "u").join(held.select(F.col("row").alias("v"), F.col("hashes").alias("_hv")), "v")
@@ -216,7 +248,7 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     read. A bucket's rows are first compared with its least row: under the FIRST choices, which tell most groups, then
     under all choices, where only buckets that hold several groups count. While they do, a small bucket compares all its
     pairs across groups, and a larger one is worked off by pivots, eight times as many each round, compared with rows of
-    other groups only. So a large group of near copies becomes one after a round or two instead of forming all its pairs,
+    other groups only; these carry their sketches, so that only likely pairs become rows, each under its first choice. So a large group of near copies becomes one after a round or two instead of forming all its pairs,
     and a bucket is done when its rows are in one group or all pairs across groups are compared. Scratch tables are
     emptied once nothing reads them any more.
 
@@ -235,23 +267,23 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
     left = written(buckets(block_keys(lean.withColumn("group", F.col("row")), CHOICES[:FIRST])), "buckets")
     tried, sets, parts, first, pivots, far = [], [], None, True, 1, FAR
     while True:
-        going = left.where(f"size > {SMALL}")
+        going = left.where(f"size > {SMALL}").drop("size", "p")
         if pivots == 1:
-            met = left
+            pairs = left.where("p.group <> group").select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"))
         else:
-            least = going.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(pivots)).alias("_s")).agg(F.min(F.struct("row", "group")).alias("p"))
-            met = going.drop("p").join(least, "key")
-        # A pair that meets under many keys is looked at once: pairs are made different before sketches are read.
-        pairs = met.where("p.group <> group").select(F.least("row", "p.row").alias("u"), F.greatest("row", "p.row").alias("v"))
-        if pivots > 1:
             few = left.where(f"size <= {SMALL}")
             a = few.select("key", F.col("row").alias("u"), F.col("group").alias("_a"))
             b = few.select("key", F.col("row").alias("v"), F.col("group").alias("_b"))
-            pairs = pairs.union(a.join(b, "key").where("u < v and _a <> _b").select("u", "v"))
-        pairs = pairs.distinct()
-        if tried:
-            pairs = pairs.join(reduce(DataFrame.union, tried), ["u", "v"], "left_anti")
-        pairs = written(likely_pairs(pairs, lean, percent, far), "pairs")
+            pairs = a.join(b, "key").where("u < v and _a <> _b").select("u", "v")
+        # A pair that meets under many keys is looked at once: pairs are made different before sketches are read.
+        pairs = likely_pairs(untried(pairs, tried), lean, percent, far)
+        if pivots > 1:
+            if "s" not in going.columns:
+                # Sketches are looked up once, and go along with the rows from here on.
+                going = written(going.join(lean.select("row", F.struct("n", *FP).alias("s")), "row"), "going")
+            met, least = pivot_pairs(going, pivots, percent, far)
+            pairs = untried(pairs.union(met), tried)
+        pairs = written(pairs, "pairs")
         if pivots <= PIVOTS:
             # Sets are read for the rows of the pairs up to the second round under all choices, and then for all rows that go on.
             wanted = pairs.select(F.col("u").alias("row")).union(pairs.select("v"))
@@ -270,8 +302,10 @@ def similar_groups(rows: DataFrame, percent: int = 80, words_in_shingle: int = 5
             after = written(buckets(block_keys(grouped_by(lean, parts), CHOICES)), "buckets")
         else:
             # Rows that served as pivots are compared with the whole bucket; the others go on while their groups differ.
-            rest = left.where("row <> p.row") if pivots == 1 else going.join(least.select("key", F.col("p.row").alias("row")), ["key", "row"], "left_anti")
-            after = written(buckets(grouped_by(rest.select("key", "row"), parts).select("key", "row", "group")), "buckets")
+            rest = left.where("row <> p.row").drop("size", "p") if pivots == 1 else going.join(least, ["key", "row"], "left_anti")
+            after = written(buckets(grouped_by(rest.drop("group"), parts)), "buckets")
+            if pivots == PIVOTS:
+                emptied(going)
             pivots *= PIVOTS
         emptied(left)
         left, first = after, False

@@ -1,9 +1,13 @@
 """The pipeline's near-dedup stage against brute-force Jaccard."""
 
 import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronofact.llm.similar_texts import CHOICES, buckets, grown, shingles, similar_groups
+from chronofact.llm.similar_texts import CHOICES, FAR, FP, block_keys, buckets, grown, pivot_pairs, shingles, similar_groups, sketches, untried, wide_fingerprint
 
 
 def brute_sets(text):
@@ -78,6 +82,42 @@ def test_keys_are_shuffled_once(spark):
     assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
 
 
+def test_pivots_make_likely_pairs_once(spark):
+    """A pair of near copies meets in many buckets; the join makes a row of it in the first one only, and of no unlikely pair."""
+    rng = random.Random(5)
+    base = [f"g{i}" for i in range(150)]
+    texts = [" ".join(edited(rng, base, rng.randint(0, 9))) for _ in range(70)]
+    lean = sketches(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    group = F.when(F.col("row") % 7 < 5, 0).otherwise(F.col("row"))
+    keyed = buckets(block_keys(lean.withColumn("group", group), CHOICES))
+    held = keyed.select("key", "row", "group").join(lean.select("row", F.struct("n", *FP).alias("s")), "row")
+    fps = [wide_fingerprint(shingles(t)) for t in texts]
+    of = [i if i % 7 >= 5 else 0 for i in range(70)]
+    across = [(u, v) for u in range(70) for v in range(u + 1, 70) if of[u] != of[v]]
+    met = {p: sum(bool((fps[p[0]][c] == fps[p[1]][c]).all()) for c in CHOICES) for p in across}
+    far = {p: int(np.unpackbits(fps[p[0]] ^ fps[p[1]]).sum()) for p in across}
+    want = {p for p in across if met[p] and far[p] <= FAR}
+    # With so many shares each row is a pivot, so a pair comes from both its ends.
+    pairs, least = pivot_pairs(held, 1 << 30, 80, FAR)
+    got = [tuple(r) for r in pairs.collect()]
+    assert {*got} == want and len(got) == 2 * len(want) and least.count() == held.count()
+    assert sum(met.values()) > 5 * len(want) and any(met[p] and far[p] > FAR for p in across)
+    assert re.search(r"Join .*bit_count", pairs._jdf.queryExecution().executedPlan().toString())
+    # Pivots of a few shares leave no pair out either, once those that have served are gone.
+    seen, rest = [], held
+    for pivots in (2, 8, 1 << 30):
+        pairs, least = pivot_pairs(rest, pivots, 80, FAR)
+        seen += [tuple(r) for r in pairs.collect()]
+        rest = rest.join(least, ["key", "row"], "left_anti")
+    assert {*seen} == want and rest.count() == 0
+
+
+def test_untried_pairs(spark):
+    pairs, old = (spark.createDataFrame(x, "u long, v long") for x in ([(1, 2), (1, 2), (3, 4), (5, 6)], [(3, 4), (7, 8)]))
+    assert sorted(map(tuple, untried(pairs, [old]).collect())) == [(1, 2), (5, 6)]
+    assert sorted(map(tuple, untried(pairs, []).collect())) == [(1, 2), (3, 4), (5, 6)]
+
+
 def test_components_grow(spark):
     parts = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (9, 5)], "node long, component long")
     links = spark.createDataFrame([(1, 2), (9, 20), (20, 21), (2, 0), (30, 31)], "u long, v long")
