@@ -129,3 +129,29 @@ def test_gates_read_texts_once_more(spark, sf_dir):
     """Once for the candidates, which are stored, and once for the snapshots."""
     plan = evidence_queries.g12_gates(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(regexp_replace(coalesce(text") == 1
+
+
+def test_gates_shuffle_whole_candidates_once(spark):
+    """One shuffle for candidates, one for their spans and numbers, one for texts; values of several numbers contaminate quotes that have them all."""
+    cases = [
+        ("s", 1, "benchmark_scores", "5 and 7", "scores 5 and 7", None),
+        ("s", 2, "input_price_usd", "3", "3 beside 5 and 7", "ambiguous_attribution"),
+        ("s", 3, "output_price_usd", "9", "7 or 9", None),
+        ("t", 4, "input_price_usd", "5", "costs 5 or 6", None),
+        ("t", 5, "input_price_usd", "5", "costs 5", "duplicate"),
+        ("u", 7, "input_price_usd", "5", "costs 5", "ungrounded_span"),
+        ("v", 8, None, "5", "costs 5", None),
+        ("v", 9, None, "5", "costs 5", "duplicate"),
+        ("v", 10, None, "6", "costs 6", None),
+    ]
+    cands = spark.createDataFrame([(s, i, f, v, "disclosed", q, 0.9) for s, i, f, v, q, _ in cases], "snapshot_id string, cand_pos long, field string, value string, disclosure_status string, quoted_span string, confidence double")
+    snaps = spark.createDataFrame([("s", "scores 5 and 7, 3 beside 5 and 7, 7 or 9"), ("t", "costs 5 or 6"), ("v", "costs 5, costs 6")], "snapshot_id string, content_text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = g.gate_facts(cands, snaps)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3, plan
+        assert {r["cand_pos"]: r["reason"] for r in got.collect()} == {i: why for _, i, _, _, _, why in cases}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
